@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, secrets, sharding, tokenfiles
+from . import bpe, decontaminate, neardup, secrets, sharding, tokenfiles
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4_bpe(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op6_minhash_near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.op8_token_files(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op4_bpe, op8_token_files, op9_sharding, op10_secret_scan)
+    f.__name__: f for f in (op1_benchmark_decontamination, op4_bpe, op6_minhash_near_dedup, op8_token_files, op9_sharding, op10_secret_scan)
 }
 
-ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op6_minhash_near_dedup": neardup.ORACLE}
