@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, quality, secrets, sharding, tokenfiles
+from . import bpe, decontaminate, neardup, quality, secrets, sharding, tokenfiles, topk
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.op1_benchmark_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op2_exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op3_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op3_quality_classifier, op4_bpe, op6_minhash_near_dedup, op8_token_files, op9_sharding, op10_secret_scan)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_exact_top_k, op3_quality_classifier, op4_bpe, op6_minhash_near_dedup, op8_token_files, op9_sharding, op10_secret_scan)
 }
 
-ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op6_minhash_near_dedup": neardup.ORACLE}
+ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op2_exact_top_k": topk.ORACLE, "op6_minhash_near_dedup": neardup.ORACLE}
