@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, quality, secrets, sharding, tokenfiles, topk
+from . import bpe, decontaminate, neardup, quality, secrets, sharding, tokenfiles, topk, urlfilter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op6_minhash_near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.op7_url_filter(table(spark, sf_dir, "pages"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.op8_token_files(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_exact_top_k, op3_quality_classifier, op4_bpe, op6_minhash_near_dedup, op8_token_files, op9_sharding, op10_secret_scan)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_exact_top_k, op3_quality_classifier, op4_bpe, op6_minhash_near_dedup, op7_url_filter, op8_token_files, op9_sharding, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op2_exact_top_k": topk.ORACLE, "op6_minhash_near_dedup": neardup.ORACLE}
