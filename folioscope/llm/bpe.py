@@ -3,7 +3,7 @@
 Method. A word's parts stand in one list of boundaries with, beside each, the rank of the pair that starts there. The
 smallest rank is found by scanning the list; its right boundary is deleted and the two neighbouring ranks are looked up
 again, until no pair has a rank. That is quadratic in a word, so words over LONG_WORD bytes take the same merges from a
-heap over linked parts. Words that were seen before come from a bounded cache in each worker.
+heap over linked parts. What stands between white space and was seen before comes from a bounded cache in each worker.
 
 The vocabulary is a tokenizer file (JSON, word-end BPE): NFC, white space to a space, lower case, the file's split
 expression, bytes as printable characters. Ids equal those of the tokenizers library on the same file.
@@ -19,6 +19,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,10 +32,11 @@ from .common import byte_chunks
 #: Bytes of a word from which on the heap takes over from the scan.
 LONG_WORD = 256
 #: Words that a worker remembers; beyond, it starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
 
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d a-z0-9]+")
 _FULL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
 _NONE = 1 << 60
 
@@ -69,7 +71,7 @@ class Vocabulary:
         chars = _byte_characters()
         self.bytes = [self.ids[c] for c in chars]
         self.ends = [self.ids[c + self.suffix] for c in chars]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
@@ -118,34 +120,51 @@ class Vocabulary:
             push(i)
         return [p for p in parts if p >= 0]
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text that holds no special token, normalised."""
+    def chunks(self, text: str) -> list[str]:
+        """The normalised text, which holds no special token, cut at white space; no word crosses a cut."""
         if text.isascii():
-            return _ASCII.findall(text.lower())
-        text = _SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        return _FULL.findall(text)
+            text = text.lower()
+        else:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if _SEPARATORS.search(text):  # str.split() takes these four for white space, the file doesn't
+            return [c for c in _SPACE.split(text) if c]
+        return text.split()
+
+    @staticmethod
+    def words(chunk: str) -> list[str]:
+        """The words of a chunk by the file's expression."""
+        return _ASCII.findall(chunk) if chunk.isascii() else _FULL.findall(chunk)
 
     def parts(self, text: str) -> list[str]:
         """Ordinary stretches at even places, special tokens at odd ones."""
         return self.split_special.split(text) if self.split_special and "<|" in text else [text]
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def _learn(self, chunk: str) -> bytes:
+        cache = self.cache
+        if len(cache) >= CACHE_WORDS:
+            cache.clear()
+        out = []
+        for w in self.words(chunk):
+            ids = cache.get(w)
+            if ids is None:
+                ids = array("I", self.merge(w.encode())).tobytes()
+                if len(w) <= LONG_WORD:
+                    cache[w] = ids
+            out.append(ids)
+        ids = b"".join(out)
+        if len(chunk) <= LONG_WORD:
+            cache[chunk] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, 32 bits each."""
+        get, learn, out = self.cache.get, self._learn, []
         for k, part in enumerate(self.parts(text)):
             if k % 2:
-                out.append(self.special[part])
-                continue
-            cache = self.cache
-            for w in self.words(part):
-                ids = cache.get(w)
-                if ids is None:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    ids = self.merge(w.encode())
-                    if len(w) <= LONG_WORD:
-                        cache[w] = ids = tuple(ids)
-                out.extend(ids)
-        return out
+                out.append(array("I", [self.special[part]]).tobytes())
+            else:
+                out += [get(c) or learn(c) for c in self.chunks(part)]
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """The file has no decoder: tokens as they stand, a space between them; unknown ids are left out."""
@@ -173,8 +192,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         v = vocabulary(path)
         for batch in batches:
             for first, texts in byte_chunks(batch.column("text")):
-                ids = [v.encode(t.decode("utf-8", "replace")) for t in texts]
-                packed = [np.array(x, dtype="<u4").tobytes() for x in ids]
+                packed = [v.encode(t.decode("utf-8", "replace")) for t in texts]
                 decoded = [v.decode(np.frombuffer(p, dtype="<u4").tolist()) for p in packed]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(packed, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 

@@ -39,6 +39,7 @@ from .common import byte_chunks, scratch_path
 #: Ids to a word and their bits, by selector; selector 15 is the escape.
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
+_BITS = np.array([i.bit_length() for i in range(1 << 16)], dtype=np.uint8)
 #: Ids after which a block ends, and words between two offsets.
 BLOCK_IDS = 1 << 17
 STRIDE = 1024
@@ -53,13 +54,12 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     bits = np.zeros(n + 64, dtype=np.uint8)  # zeros after the end let the last word be short
-    rest, shift = values.copy(), 32
-    while shift:  # bits of each value by halving
-        big = rest >> np.uint64(shift) > 0
-        bits[:n] += np.where(big, shift, 0).astype(np.uint8)
-        rest = np.where(big, rest >> np.uint64(shift), rest)
-        shift >>= 1
-    bits[:n] += (rest > 0).astype(np.uint8)
+    if int(values.max()) < 1 << 16:
+        bits[:n] = _BITS[values.astype(np.uint16)]
+    else:
+        for shift in range(0, 64, 16):  # the highest 16 bits that aren't 0 decide
+            piece = (values >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.uint16)
+            bits[:n] = np.where(piece > 0, _BITS[piece] + np.uint8(shift), bits[:n])
     top, span = {1: bits}, 1
     while span < 32:  # largest of each run of 2, 4, 8, 16, 32
         top[span * 2] = np.maximum(top[span][: len(bits) - span], np.concatenate((top[span][span:], np.zeros(max(0, len(bits) - span - len(top[span][span:])), np.uint8))))
@@ -140,45 +140,71 @@ def unpack_from(words: np.ndarray, offsets: list[int], start: int, n: int) -> np
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, which sees each word once: texts are split as it would split them."""
+    """Ids by the tokenizers library, which sees each word once: texts are cut where the file cuts them, and new words go
+    to the library many at a time, joined by spaces; a word ends where a token carries the word-end suffix."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.split, self.cache = Tokenizer.from_file(path), vocabulary(path), {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.split, self.kind, self.cache = vocabulary(path), kind, {}
+        self.tokenizer = Tokenizer(Tokenizer.from_file(path).model)  # normalised words only: no normaliser again
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(max(self.split.tokens) + 1, dtype=bool)
+        self.ends[[i for i, t in self.split.tokens.items() if t.endswith(self.split.suffix)]] = True
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """word -> ids, as bytes."""
+        out = {}
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=np.uint32)
+            after = ((np.flatnonzero(self.ends[ids]) + 1) * np.dtype(self.kind).itemsize).tolist()
+            raw, at = ids.astype(self.kind).tobytes(), 0
+            for w, to in zip(some, after, strict=True):
+                out[w] = raw[at:to]
+                at = to
+        return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         v: Vocabulary = self.split
-        cut = [[(k % 2, [p] if k % 2 else v.words(p)) for k, p in enumerate(v.parts(t))] for t in texts]
-        cache = self.cache
+        cache, end = self.cache, {}
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = list({w for parts in cut for odd, ws in parts if not odd for w in ws if w not in cache})
-        fresh = {}
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (cache if len(w) <= LONG_WORD else fresh)[w] = e.ids
-        out = []
-        for parts in cut:
-            ids: list[int] = []
-            for odd, ws in parts:
-                if odd:
-                    ids.append(v.special[ws[0]])
-                elif fresh:
-                    for w in ws:
-                        ids.extend(cache[w] if w in cache else fresh[w])
-                else:
-                    for x in map(cache.__getitem__, ws):
-                        ids.extend(x)
-            out.append(np.array(ids, dtype=np.uint32))
-        return out
+        found: list[list[bytes | None]] = []  # each text's ids, chunk by chunk
+        at: list[int] = []  # where a chunk isn't known yet: text, place and chunk, in three plain lists that the garbage collector needn't walk
+        place: list[int] = []
+        what: list[str] = []
+        for t in texts:
+            ids: list[bytes | None] = []
+            for k, p in enumerate(v.parts(t)):
+                if k % 2:
+                    ids.append(end.setdefault(p, np.array([v.special[p]], dtype=self.kind).tobytes()))
+                    continue
+                chunks = v.chunks(p)
+                got = list(map(cache.get, chunks))
+                if None in got:
+                    some = [i for i, x in enumerate(got) if x is None]
+                    at += [len(found)] * len(some)
+                    place += [len(ids) + i for i in some]
+                    what += [chunks[i] for i in some]
+                ids += got
+            found.append(ids)
+        new = {c: v.words(c) for c in set(what)}
+        fresh = self.learn(list({w for words in new.values() for w in words if w not in cache}))
+        cache.update((w, x) for w, x in fresh.items() if len(w) <= LONG_WORD)
+        for c, words in new.items():
+            fresh[c] = b"".join([fresh[w] if w in fresh else cache[w] for w in words])
+            if len(c) <= LONG_WORD:
+                cache[c] = fresh[c]
+        for k, i, c in zip(at, place, what, strict=True):
+            found[k][i] = fresh[c]
+        return list(map(b"".join, found))
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def _encoder(path: str, kind: str) -> LibraryEncoder:
+    return LibraryEncoder(path, kind)
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame:
@@ -186,10 +212,10 @@ def encode_ids(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame
     kind = "<u4" if wide else "<u2"
 
     def encode(batches):
-        e = _encoder(path)
+        e, end = _encoder(path, kind), np.array([end_id], dtype=kind).tobytes()
         for batch in batches:
             for first, texts in byte_chunks(batch.column("text")):
-                ids = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in e.encode([t.decode("utf-8", "replace") for t in texts])]
+                ids = [x + end for x in e.encode([t.decode("utf-8", "replace") for t in texts])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)).cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id bigint, ids binary")
