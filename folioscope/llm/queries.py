@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, quality, secrets, sharding, tokenfiles, topk, urlfilter
+from . import bpe, decontaminate, neardup, pii, quality, secrets, sharding, tokenfiles, topk, urlfilter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4_bpe(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op5_pii_surrogates(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op6_minhash_near_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_exact_top_k, op3_quality_classifier, op4_bpe, op6_minhash_near_dedup, op7_url_filter, op8_token_files, op9_sharding, op10_secret_scan)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_exact_top_k, op3_quality_classifier, op4_bpe, op5_pii_surrogates, op6_minhash_near_dedup, op7_url_filter, op8_token_files, op9_sharding, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op2_exact_top_k": topk.ORACLE, "op6_minhash_near_dedup": neardup.ORACLE}
