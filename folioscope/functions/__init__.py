@@ -1 +1 @@
-
+"""Column functions: text, geometry."""

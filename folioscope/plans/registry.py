@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import page_queries
+
+_MODULES = (page_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.SQL.items()}
