@@ -148,3 +148,24 @@ def sql_with(*parts: str) -> str:
         fields = ", ".join(f"e.{f} AS {f}" for f in _FIELDS[part])
         out.append(f"{name} AS (SELECT {_KEYS}, {fields} FROM (SELECT {_KEYS}, unnest([{entries}]) AS e FROM page))")
     return "WITH " + ",\n".join(out)
+
+
+#: Findings of three runs: suppliers are archives, seq is the order of insertion within an archive.
+FINDING = """
+SELECT 'run' || CAST(CAST(l_quantity AS INT) % 3 AS STRING) AS run_id, CAST(l_suppkey AS STRING) AS doc_id, CAST(l_partkey % 40 AS INT) + 1 AS page_no,
+  'A' || lpad(CAST(l_linenumber AS STRING), 2, '0') AS rule_id, CASE l_linenumber % 5 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LOW' ELSE 'ODD' END AS level,
+  'm' || CAST(l_partkey % 3 AS STRING) AS message, CAST(l_partkey % 4 AS INT) AS x,
+  CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_shipdate, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS INT) AS seq
+FROM lineitem
+"""
+#: Verdicts on some findings, by finding key; deciders come back later, so that a key can have several.
+KEYED = f"SELECT *, run_id || '|' || doc_id || '|' || CAST(page_no AS STRING) || '|' || rule_id || '|' || CAST(row_number() OVER (PARTITION BY run_id, doc_id, page_no, rule_id ORDER BY seq) AS STRING) AS finding_key FROM ({FINDING}) f"
+VERDICT = f"SELECT finding_key, CASE seq % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'unsure' END AS verdict, 'u' || CAST(seq % 5 AS STRING) AS reviewer, CAST(2024 + seq % 2 AS STRING) || '.01.' || lpad(CAST(seq % 28 + 1 AS STRING), 2, '0') AS decided_at FROM ({KEYED}) k WHERE seq % 4 <> 0"
+
+
+def relation(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    """SQL over driver tables; each name in tables is read from sf_dir."""
+    for name in tables or ("lineitem",):
+        table(spark, sf_dir, name).createOrReplaceTempView(f"folioscope_{name}")
+        sql = sql.replace(f"FROM {name}", f"FROM folioscope_{name}").replace(f"JOIN {name}", f"JOIN folioscope_{name}")
+    return spark.sql(sql)
