@@ -6,9 +6,10 @@ shingle is hashed to a value and to one of the t bins, in round t + j to bin j;
 A set stops after the first round that leaves no bin empty, and round 2t at the latest fills every bin; the share of
 equal coordinates is concentrated about the similarity as with t independent functions. Bands of coordinates become
 bucket keys; t follows from the wished bound on missed links. Within a bucket no pairs are listed: every member meets
-the bucket's leader, connected components are formed, and only buckets that still hold several components meet again,
-under other leaders and at last in full across components. Pairs pass a filter on sizes and sketches (six standard
-deviations below the threshold) and are then confirmed on the full sets.
+the bucket's leader; these pairs pass a filter on sizes and sketches (six standard deviations below the threshold) and are
+confirmed on the full sets; connected components are formed. Buckets that still hold several components are gathered into
+clusters, and in a cluster the members outside its largest component meet all others: block by block, blocks bounded by
+their shingles, with exact intersections counted through an index of the block's shingles. Only links leave a block.
 
 Links within a component that add nothing to it aren't looked for: components and kept documents are what is returned.
 All state (links, labels, sets of candidates) stays in tables in the shared folder; the driver gets counts only.
@@ -32,10 +33,14 @@ from .common import byte_chunks, discard, settle
 
 #: Bound on the chance that a link at the threshold shares no bucket.
 MISS = 1e-8
-#: Leaders that a bucket tries while it holds several components and the rest is large.
-LEADERS = 5
+#: Shingles of a block: a cluster is cut into PIECES blocks, but into blocks of no fewer and no more than these.
+PIECES, LEAST_BLOCK, MOST_BLOCK = 16, 16_384, 1 << 20
+#: Shingles from which on a cluster is taken bucket by bucket.
+HUGE_CLUSTER = PIECES * MOST_BLOCK
+#: Rows to a file of the small tables that components() goes through.
+FILE_ROWS = 200_000
 #: Words whose hashes a worker remembers.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 400_000
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -131,14 +136,16 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable over edges (a, b), by neighbour minima and pointer jumps."""
     both = settle(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    files = max(1, min(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // FILE_ROWS)))
+    put = lambda x: settle(x.coalesce(files), "labels")
+    labels = put(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     total = lambda x: x.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
     before = total(labels)
     while before is not None:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
-        step = settle(labels.join(near, labels.node == near.a).select("node", F.least("label", "m").alias("label")), "labels")
+        step = put(labels.join(near, labels.node == near.a).select("node", F.least("label", "m").alias("label")))
         up = step.select(F.col("node").alias("parent"), F.col("label").alias("top"))
-        jumped = settle(step.join(up, step.label == up.parent).select("node", "top").withColumnRenamed("top", "label"), "labels")
+        jumped = put(step.join(up, step.label == up.parent).select("node", F.col("top").alias("label")))
         after = total(jumped)
         discard(labels)
         discard(step)
@@ -150,57 +157,49 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-class _Linker:
-    """Confirms pairs of class representatives."""
+def _expanded(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, set (sorted hashes, 64 bits each) of the documents in ids."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, k: int, percent: int, t: int):
-        self.docs, self.reps, self.k, self.percent = docs, reps, k, percent
-        s = percent / 100
-        self.least = t * s - 6 * math.sqrt(t * s * (1 - s))
+    def expand(batches):
+        for batch in batches:
+            for first, texts in byte_chunks(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array([shingle_set(t, k).tobytes() for t in texts], pa.binary())], names=["doc_id", "set"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    return settle(texts.mapInArrow(expand, "doc_id bigint, set binary"), "sets")
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose sizes and sketches allow the threshold."""
-        side = lambda x: self.reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        wide = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * na >= {self.percent} * nb and 100 * nb >= {self.percent} * na")
-        least = self.least
 
-        def alike(batches):
-            for batch in batches:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(batch.num_rows, -1) for c in ("sa", "sb")) if batch.num_rows else (np.zeros((0, 1)), np.zeros((0, 1)))
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int, t: int) -> DataFrame:
+    """The pairs whose sizes and sketches allow the threshold."""
+    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    wide = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
+    least = t * percent / 100 - 6 * math.sqrt(t * percent / 100 * (1 - percent / 100))
+
+    def alike(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
                 keep = pa.array((x == y).sum(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
-        return wide.select("a", "b", "sa", "sb").mapInArrow(alike, "a bigint, b bigint")
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that hold on the full sets."""
-        pairs = settle(self.likely(pairs), "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        k, percent = self.k, self.percent
-
-        def expand(batches):
-            for batch in batches:
-                for first, texts in byte_chunks(batch.column("text")):
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array([shingle_set(t, k).tobytes() for t in texts], pa.binary())], names=["doc_id", "set"])
-
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-        sets = settle(texts.mapInArrow(expand, "doc_id bigint, set binary"), "sets")
-        side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
-
-        def hold(batches):
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                    x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+    return wide.select("a", "b", "sa", "sb").mapInArrow(alike, "a bigint, b bigint")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that hold on the full sets."""
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
+
+    def hold(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
-        found = settle(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(hold, "a bigint, b bigint"), "links")
-        discard(sets)
-        discard(pairs)
-        return found
+    return settle(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(hold, "a bigint, b bigint"), "links")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -210,61 +209,75 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     classes = settle(signs.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
     # one row for each representative: a doc_id that came more than once has the same set in every such row, or else several
     reps = settle(signs.join(classes, (signs["class"] == classes["class"]) & (signs.doc_id == classes.rep)).select(signs.doc_id, "n", "keys", "sketch").distinct(), "representatives")
-    linker = _Linker(docs, reps, shingle, percent, rows * bands)
-    members = settle(reps.select("doc_id", "n", F.explode("keys").alias("key")), "buckets")
-    labels, links = None, None
-    for turn in range(LEADERS):
-        if turn:
-            members, work = _open_buckets(members, labels)
-            if work <= 4 * n_reps:
-                break
-        else:
-            n_reps = reps.count()
-        order = F.col("doc_id") if not turn else F.xxhash64("doc_id", F.lit(turn))
-        heads = members.groupBy("key").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-        heads = settle(heads, "heads")
-        seen = members.withColumn("order", order)
-        met = seen.join(heads, "key")
-        if turn:  # the head is known by its order value
-            first = met.where("order = head").select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"))
-            met = seen.join(settle(first, "heads"), "key").where("label <> la").withColumnRenamed("a", "head")
-        pairs = met.where("doc_id <> head").select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
-        new = linker.confirmed(pairs)
-        links = new if links is None else links.union(new)
-        labels = components(links)
-        discard(heads)
-    else:
-        members, work = _open_buckets(members, labels)
-    if work:
-        links = links.union(linker.confirmed(_across(members, percent)))
-        labels = components(links)
+    members = reps.select("doc_id", "n", F.explode("keys").alias("key"))
+    heads = settle(members.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "head"), "heads")
+    shared = settle(members.join(heads, "key").select("key", "head", "doc_id", "n"), "buckets")
+    pairs = settle(_likely(shared.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), reps, percent, rows * bands), "pairs")
+    sets = _expanded(docs, shared.select("doc_id").distinct(), shingle)
+    links = _confirmed(pairs, sets, percent)
+    labels = components(links)
+    more = _across(shared, labels, sets, percent)
+    if more is not None:
+        labels = components(links.union(more))
     found = settle(classes.join(labels, classes.rep == labels.node, "left").select("class", F.coalesce("label", "rep").alias("component_id")), "components")
+    for done in (shared, sets, heads, reps, pairs):
+        discard(done)
     out = signs.select("doc_id", "class", "n").join(found, "class", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
-    """The members, with labels, of buckets that hold several components, and the pairs that _across would look at."""
-    plain = members.select("doc_id", "n", "key")
-    named = settle(plain.join(labels, plain.doc_id == labels.node, "left").select("doc_id", "n", "key", F.coalesce("label", "doc_id").alias("label")), "buckets")
-    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    left = settle(named.join(settle(several, "keys"), "key"), "buckets")
-    sizes = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    work = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("most")).agg(F.sum(F.col("m") * (F.col("m") - F.col("most")))).first()[0]
+def _across(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between components that share a bucket; None if no bucket holds several."""
+    named = settle(shared.join(labels, shared.doc_id == labels.node, "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label")), "buckets")
+    several = settle(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "lo"), "keys")
+    left = settle(named.join(several, "key"), "buckets")
     discard(named)
-    return left, int(work or 0)
-
-
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components within a bucket whose sizes allow the threshold: those outside the bucket's largest component meet the others."""
-    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = settle(sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top")).select("key", F.col("top.label").alias("main")), "keys")
-    named = settle(members.join(main, "key"), "buckets")
-    x, y = named.where("label <> main").alias("x"), named.alias("y")
-    fits = f"x.label <> y.label and (y.label = y.main or x.doc_id < y.doc_id) and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
-    met = x.join(y, F.expr(f"x.key = y.key and {fits}"))
-    return met.select(F.expr("least(x.doc_id, y.doc_id)").alias("a"), F.expr("greatest(x.doc_id, y.doc_id)").alias("b")).distinct()
+    if left.isEmpty():
+        return None
+    clusters = components(left.where("lo <> label").select(F.col("lo").alias("a"), F.col("label").alias("b")).distinct())
+    clustered = left.join(clusters, left.label == clusters.node).select("key", "doc_id", "n", left.label, clusters.label.alias("cluster"))
+    once = settle(clustered.groupBy("cluster", "label", "doc_id", "n").agg(F.collect_list("key").alias("keys")), "clusters")
+    weights = once.groupBy("cluster").agg(F.sum("n").alias("weight"))
+    huge = settle(weights.where(F.col("weight") > HUGE_CLUSTER).select("cluster"), "huge")
+    plain = once.join(huge, "cluster", "left_anti").select(F.struct(F.col("cluster").alias("id"), F.lit(0).alias("bucket")).alias("group"), "doc_id", "n", "label")
+    by_key = once.join(huge, "cluster", "left_semi").select(F.explode("keys").alias("key"), "doc_id", "n", "label").select(F.struct(F.col("key").alias("id"), F.lit(1).alias("bucket")).alias("group"), "doc_id", "n", "label")
+    rows = settle(plain.union(by_key), "groups")
+    parts = rows.groupBy("group", "label").agg(F.sum("n").alias("w"))
+    main = parts.groupBy("group").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("weight"))
+    block = F.least(F.greatest(F.lit(LEAST_BLOCK), F.col("weight") / PIECES), F.lit(MOST_BLOCK))
+    main = settle(main.select("group", F.col("top.label").alias("main"), F.ceil((F.col("weight") - F.col("top.w")) / block).alias("na"), F.ceil(F.col("weight") / block).alias("nb")), "main")
+    dealt = rows.join(main, "group").join(sets, "doc_id")
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    fields = ["doc_id", "label", "main", "set"]
+    few = dealt.where("label <> main").select("group", own("na").alias("i"), every("nb").alias("j"), F.lit(True).alias("few"), *fields)
+    all_ = dealt.where("na > 0").select("group", every("na").alias("i"), own("nb").alias("j"), F.lit(False).alias("few"), *fields)
+
+    def meet(table: pa.Table) -> pa.Table:
+        few = table.column("few").to_numpy(zero_copy_only=False)
+        ids, label, main = (table.column(c).to_numpy() for c in ("doc_id", "label", "main"))
+        held = [np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()]
+        mine, theirs = np.flatnonzero(few), np.flatnonzero(~few)
+        out: list[tuple[int, int]] = []
+        if len(mine) and len(theirs):
+            size = np.array([len(held[i]) for i in theirs])
+            flat, owner = np.concatenate([held[i] for i in theirs]), np.repeat(np.arange(len(theirs)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for x in mine.tolist():
+                lo, hi = np.searchsorted(flat, held[x], "left"), np.searchsorted(flat, held[x], "right")
+                runs = hi - lo
+                at = np.repeat(lo - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
+                both = np.bincount(owner[at], minlength=len(theirs))
+                linked = (100 * both >= percent * (size + len(held[x]) - both)) & (label[theirs] != label[x])
+                out += [(int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))) for y in theirs[linked].tolist()]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    found = settle(few.unionByName(all_).groupBy("group", "i", "j").applyInArrow(meet, "a bigint, b bigint"), "links")
+    for done in (left, once, rows, main, several, huge):
+        discard(done)
+    return found
 
 
 def deduplicate(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
