@@ -178,5 +178,21 @@ NAMES = {
     "B01": "seal_tilt", "B02": "seal_overlap", "B03": "seal_on_date", "B04": "blank_cell", "B05": "copy_position", "B06": "struck_lines", "B07": "inspector_seal", "B08": "page_red", "B09": "number_position", "B10": "pen_color",
     "F01": "assembly_slash", "F02": "design_version", "F03": "report_pages", "F04": "repair_seal", "F05": "repair_closure", "F06": "inspection_header", "F07": "reject_note", "F08": "hardness", "F09": "label_quantity", "F10": "substitute", "F11": "report_batch", "F12": "certificate_closure",
 }
+
+
+def all_text_rules(spark, sf_dir: str):
+    """Every enabled rule that reads lines alone, over all pages, in one scan: findings with the catalog's level and title."""
+    from pyspark.sql import functions as F
+
+    found = page_rules.findings(pages_for(spark, sf_dir, "lines"))
+    return found.join(F.broadcast(c.as_table(spark)), "rule_id").select("doc_id", "page_no", "rule_id", "level", "title", "no", "evidence", "detail", "confidence")
+
+
+_ALL = [r for r in TEXT + ("B08", "B10") if c.BOOK[r].enabled] + ["F02", "F03", "F06", "F07", "F08", "F12"]
+_ON_LINES = {r: ORACLES[r].split(derived.sql_with(*PARTS[r]), 1)[1].replace("tnotes", "tlines") for r in _ALL}
+_CATALOG = ", ".join(f"('{r.id}', '{r.level}', '{r.title.replace(chr(39), chr(39) * 2)}')" for r in c.RULES)
+ALL_SQL = f"{derived.sql_with('lines')}, found AS ({' UNION ALL '.join(_ON_LINES[r] for r in _ALL)}) SELECT doc_id, page_no, rule_id, level, title, no, evidence, detail, confidence FROM found JOIN (VALUES {_CATALOG}) k(rule_id, level, title) USING (rule_id)"
+
 QUERIES = {f"{r.lower()}_{n}": query(r) for r, n in NAMES.items()}
 SQL = {f"{r.lower()}_{n}": ORACLES[r] for r, n in NAMES.items()}
+QUERIES["all_text_rules"], SQL["all_text_rules"] = all_text_rules, ALL_SQL
