@@ -6,8 +6,9 @@ radius s, and a data node with centre p and radius r, no product of their member
 
     q.p + s |p| + r |q| + s r
 
-so a pair of nodes is left out when that is below the worst kth score among the query node's members. The pair whose
-radius is larger is opened first, the children with the largest bounds before the others; pairs of leaves are multiplied.
+so a pair of nodes is left out when that is below the worst kth score among the query node's members. Both nodes of a
+pair are opened at once and all pairs of their children bounded in one product; those with the largest bounds go first,
+and pairs of leaves are multiplied.
 
 Queries come in blocks of bounded size; each block is indexed once and broadcast. A task indexes its own vectors, at
 most TREE_POINTS at a time, and hands on k rows for each query; a window then keeps the best k of all tasks. No row is
@@ -102,28 +103,35 @@ class Search:
     def add(self, ids: np.ndarray, points: np.ndarray) -> None:
         if not len(ids) or not len(self.ids):
             return
-        tree = cover_tree(points)
-        stack = [(math.inf, self.root, tree)]
+        stack = [(math.inf, self.root, cover_tree(points))]
         while stack:
             bound, q, p = stack.pop()
             if bound < self.kth[q.members].min():
                 continue
-            if not q.children and not p.children:
-                self._multiply(q.members, p.members, ids, points)
-            elif p.children and (p.radius >= q.radius or not q.children):
-                self._open(stack, [(bound_, q, p.children[i]) for i, bound_ in self._bounds(q.centre, q.norm, q.radius, p)])
-            else:
-                self._open(stack, [(bound_, q.children[i], p) for i, bound_ in self._bounds(p.centre, p.norm, p.radius, q)])
+            mine, theirs = q.children or [q], p.children or [p]
+            bounds = self._bounds(q, p)
+            for i, x in enumerate(mine):
+                near = np.flatnonzero(bounds[i] >= self.kth[x.members].min())
+                near = near[np.argsort(-bounds[i][near], kind="stable")]
+                if x.children:
+                    stack += [(bounds[i, j], x, theirs[j]) for j in near[::-1].tolist()]  # the largest is popped first
+                    continue
+                stack += [(bounds[i, j], x, theirs[j]) for j in near[::-1].tolist() if theirs[j].children]
+                leaves = [j for j in near.tolist() if not theirs[j].children]
+                at, step = 0, 16
+                while at < len(leaves):  # the best first; what they raise the kth score to may end the search
+                    some = [j for j in leaves[at : at + step] if bounds[i, j] >= self.kth[x.members].min()]
+                    if not some:
+                        break
+                    self._multiply(x.members, np.concatenate([theirs[j].members for j in some]), ids, points)
+                    at, step = at + step, step * 2
 
     @staticmethod
-    def _bounds(centre: np.ndarray, norm: float, radius: float, opened: Node) -> list[tuple[int, float]]:
-        b = opened.centres @ centre + radius * opened.norms + opened.radii * norm + radius * opened.radii
-        b += 1e-9 * (norm + radius) * (opened.norms + opened.radii) + 1e-6
-        order = np.argsort(b)  # the largest is popped first
-        return list(zip(order.tolist(), b[order].tolist(), strict=True))
-
-    def _open(self, stack: list, pairs: list) -> None:
-        stack += [x for x in pairs if x[0] >= self.kth[x[1].members].min()]
+    def _bounds(q: Node, p: Node) -> np.ndarray:
+        """For each child of q (or q, a leaf) and each of p the largest product that their members can have."""
+        (c, n, r), (d, m, s) = ((x.centres, x.norms, x.radii) if x.children else (x.centre[None, :], np.array([x.norm]), np.array([x.radius])) for x in (q, p))
+        b = c @ d.T + r[:, None] * m + n[:, None] * s + r[:, None] * s
+        return b + 1e-9 * (n + r)[:, None] * (m + s) + 1e-6
 
     def _multiply(self, mine: np.ndarray, theirs: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
         self.multiplied += len(mine) * len(theirs)
