@@ -3,7 +3,8 @@
 Method. A word's parts stand in one list of boundaries with, beside each, the rank of the pair that starts there. The
 smallest rank is found by scanning the list; its right boundary is deleted and the two neighbouring ranks are looked up
 again, until no pair has a rank. That is quadratic in a word, so words over LONG_WORD bytes take the same merges from a
-heap over linked parts. What stands between white space and was seen before comes from a bounded cache in each worker.
+heap over linked parts. Texts with characters whose Unicode properties differ between versions are normalised and split by
+the library. What stands between white space and was seen before comes from a bounded cache in each worker.
 
 The vocabulary is a tokenizer file (JSON, word-end BPE): NFC, white space to a space, lower case, the file's split
 expression, bytes as printable characters. Ids equal those of the tokenizers library on the same file.
@@ -38,9 +39,15 @@ _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d a-z0-9]+"
 _FULL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
+#: Characters whose properties no version of Unicode has changed or will; texts with others are split by the library itself.
+_RARE = re.compile("[^\x00-\u024f\u2010-\u2027]")
 _NONE = 1 << 60
 
 
+class _Word(str):
+    """A chunk that is one word already."""
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -72,6 +79,7 @@ class Vocabulary:
         self.bytes = [self.ids[c] for c in chars]
         self.ends = [self.ids[c + self.suffix] for c in chars]
         self.cache: dict[str, bytes] = {}
+        self.path, self.back = path, {c: b for b, c in enumerate(chars)}
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
@@ -124,15 +132,27 @@ class Vocabulary:
         """The normalised text, which holds no special token, cut at white space; no word crosses a cut."""
         if text.isascii():
             text = text.lower()
+        elif _RARE.search(text):
+            return self._split_by_library(text)
         else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if _SEPARATORS.search(text):  # str.split() takes these four for white space, the file doesn't
             return [c for c in _SPACE.split(text) if c]
         return text.split()
 
+    def _split_by_library(self, text: str) -> list[str]:
+        if not hasattr(self, "library"):
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [_Word(bytes([self.back[c] for c in p]).decode("utf-8", "surrogatepass")) for p, _ in pieces]
+
     @staticmethod
     def words(chunk: str) -> list[str]:
         """The words of a chunk by the file's expression."""
+        if type(chunk) is _Word:
+            return [chunk]
         return _ASCII.findall(chunk) if chunk.isascii() else _FULL.findall(chunk)
 
     def parts(self, text: str) -> list[str]:
@@ -173,10 +193,8 @@ class Vocabulary:
 
     def text(self, ids: list[int]) -> str:
         """Readable text again, lower case, words apart by one space."""
-        if not hasattr(self, "_back"):
-            self._back = {c: b for b, c in enumerate(_byte_characters())}
         joined = "".join(self.tokens[i] for i in ids).replace(self.suffix, " ") if self.suffix else "".join(self.tokens[i] for i in ids)
-        return b"".join(bytes([self._back[c]]) if c in self._back else c.encode() for c in joined).decode("utf-8", "replace").rstrip(" ")
+        return b"".join(bytes([self.back[c]]) if c in self.back else c.encode() for c in joined).decode("utf-8", "replace").rstrip(" ")
 
 
 @lru_cache(maxsize=2)

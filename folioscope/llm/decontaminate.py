@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, byte_chunks
+from .common import WORD_TABLE, byte_chunks, settle
 
 #: Broadcast no more windows than this (about 100 bytes each).
 MAX_WINDOWS = 2_000_000
@@ -185,7 +185,7 @@ def _by_join(docs: DataFrame, bench: DataFrame, n: int, cut: bool) -> DataFrame:
     """The same report for a benchmark of any size: windows of both sides meet in a shuffle join."""
     windows = benchmark_windows(bench, n)
     lengths = F.array(*[F.lit(k) for k in range(1, n + 1)])
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # numbers hold only once written
     worded = rows.select("_row", _words_column(F.col("text")).alias("w"))
     grams = worded.select("_row", "w", F.explode(lengths).alias("k")).where(F.size("w") >= F.col("k"))
     grams = grams.select("_row", "k", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.array_join(F.slice(F.col("w"), i, F.col("k")), " "))).alias("at", "window"))

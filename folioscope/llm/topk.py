@@ -46,8 +46,8 @@ class Node:
     radii: np.ndarray | None = None
 
 
-def cover_tree(points: np.ndarray) -> Node | None:
-    """The tree over the rows of points."""
+def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node | None:
+    """The tree over the rows of points; nodes of up to `leaf` members stay closed."""
     if not len(points):
         return None
     squares = np.einsum("ij,ij->i", points, points)
@@ -66,7 +66,7 @@ def cover_tree(points: np.ndarray) -> Node | None:
         top, c = todo.pop()
         away = far(top.members, c)
         widest = float(away.max())
-        if len(top.members) <= LEAF or widest < 1e-6:
+        if len(top.members) <= leaf or widest < 1e-6:
             continue
         scale = 2.0 ** (math.ceil(math.log2(widest)) - 1)
         rest, centre = top.members, c  # the node's own centre is its first child's
@@ -76,7 +76,7 @@ def cover_tree(points: np.ndarray) -> Node | None:
             near |= rest == centre
             child = node(centre, rest[near], d[near])
             top.children.append(child)
-            if len(child.members) > LEAF and len(child.members) < len(top.members):
+            if len(child.members) > leaf and len(child.members) < len(top.members):
                 todo.append((child, centre))
             rest = rest[~near]
             centre = int(rest[0]) if len(rest) else -1
@@ -94,7 +94,7 @@ class Search:
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, root: Node | None = None):
         self.ids, self.queries, self.k = ids, queries, k
-        self.root = root or cover_tree(queries)
+        self.root = root or cover_tree(queries, 1)  # down to single queries: a wide group prunes nothing
         self.best = [np.zeros(0) for _ in ids]
         self.who = [np.zeros(0, dtype=np.int64) for _ in ids]
         self.kth = np.full(len(ids), -np.inf)
