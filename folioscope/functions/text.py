@@ -43,3 +43,8 @@ def fingerprint(text: str) -> str:
     """16 hexadecimal digits of the white-space-free text; '' under 20 characters."""
     t = f"regexp_replace({text}, {pattern(chr(92) + 's+')}, '')"
     return f"(CASE WHEN length({t}) < 20 THEN '' ELSE substring(sha1(encode({t}, 'UTF-8')), 1, 16) END)"
+
+
+def number(text: str, kind: str = "INT") -> str:
+    """The value of a run of digits, full-width ones included; null if there is none or it is too large."""
+    return f"try_cast(translate({text}, '０１２３４５６７８９．', '0123456789.') AS {kind})"

@@ -37,7 +37,7 @@ class Forms:
 
 
 def _marker_of(text: str) -> str:
-    number = lambda p, i: f"CAST(nullif(regexp_extract({text}, {t.pattern(p)}, {i}), '') AS INT)"
+    number = lambda p, i: t.number(f"regexp_extract({text}, {t.pattern(p)}, {i})")
     cur, total = number(r"第\s*(\d+)\s*页", 1), number(r"共\s*(\d+)\s*页", 1)
     slash = r"(?<!\d)(\d{1,3})\s*/\s*(\d{1,3})\s*页"
     a, b = number(slash, 1), number(slash, 2)

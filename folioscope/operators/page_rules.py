@@ -114,7 +114,7 @@ def prepared(pages: DataFrame) -> DataFrame:
 
 def _a01() -> str:
     part = lambda i: f"regexp_extract(m, {t.pattern(DATE)}, {i})"
-    n = lambda i: f"CAST({part(i)} AS INT)"
+    n = lambda i: t.number(part(i))
     keep = f"{n(3)} BETWEEN 1 AND 12 AND {n(5)} BETWEEN 1 AND 31 AND ({part(2)} <> '.' OR {part(4)} <> '.' OR length({part(3)}) <> 2 OR length({part(5)}) <> 2)"
     lines = "filter(lines, l -> NOT (contains(l.text, '年') AND contains(l.text, '月') AND contains(l.text, '日')))"
     return per_match(DATE, 0.85, keep, lines)
@@ -133,7 +133,7 @@ def _a06() -> str:
 
 def _a09() -> str:
     total, current = t.pattern(r"共\s*(\d+)\s*页"), t.pattern(r"第\s*\d+\s*页")
-    said = f"exists(lines, l -> rlike(l.text, {total}) AND (CAST(regexp_extract(l.text, {total}, 1) AS INT) <= 1 OR rlike(l.text, {current})))"
+    said = f"exists(lines, l -> rlike(l.text, {total}) AND ({t.number(f'regexp_extract(l.text, {total}, 1)')} <= 1 OR rlike(l.text, {current})))"
     loose = f"filter(lines, l -> rlike(l.text, {total}) OR rlike(l.text, {current}))"
     return page_finding(f"page_count >= 2 AND NOT ({BLANK}) AND NOT {said} AND size({loose}) > 0", 0.6, g.first(loose))
 
@@ -150,7 +150,7 @@ def _a10() -> str:
 
 def _a11() -> str:
     pat = rf"\(\s*-\s*({t.NUM})\s*[{t.WAVES}]\s*\+?\s*({t.NUM})\s*\)"
-    n = lambda i: f"CAST(regexp_extract(m, {t.pattern(pat)}, {i}) AS DOUBLE)"
+    n = lambda i: t.number(f"regexp_extract(m, {t.pattern(pat)}, {i})", "DOUBLE")
     return per_match(pat, 0.8, f"abs({n(1)} - {n(2)}) < 1e-9D")
 
 
@@ -179,7 +179,7 @@ def _a15() -> str:
 
 def _a16() -> str:
     pat = r"[（(](\d{1,2})\s*处[)）]|(?<![\d.])(\d{1,2})\s*-\s*[ΦR]|测量\s*(\d{1,2})\s*点"
-    n = lambda x: "coalesce(" + ", ".join(f"CAST(nullif(regexp_extract({x}.text, {t.pattern(pat)}, {i}), '') AS INT)" for i in (1, 2, 3)) + ")"
+    n = lambda x: "coalesce(" + ", ".join(t.number(f"regexp_extract({x}.text, {t.pattern(pat)}, {i})") for i in (1, 2, 3)) + ")"
     anchors = f"filter(lines, a -> actual_column IS NOT NULL AND {g.cy('a')} > {g.cy('actual_column.hdr')} AND {g.cx('a')} < actual_column.x1 AND {n('a')} BETWEEN 2 AND 5)"
     values = f"filter(transform({anchors}, a -> {band_value('a', 'actual_column')}), v -> rlike(v.text, '[～~]'))"
     return f"transform({values}, v -> {finding('v.line_no', 'v.text', 'NULL', 0.6)})"
