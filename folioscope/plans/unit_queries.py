@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import classify, model, page_rules, segment
+from ..operators import classify, image, model, page_rules, segment
 from ..sources import derived
 from ..sources.tables import table
 from . import catalog as c
@@ -187,6 +187,12 @@ def _(spark, d):
     return s.selectExpr("doc_id", "page_no", "s.seal_no", f"{g.normal_angle('(s.angle * 7)')} AS angle")
 
 
+@_add("img_merge_nested", None)
+def _(spark, d):
+    s = image.with_merged_seals(derived.pages(spark, d, "seals")).select("doc_id", "page_no", F.explode("seals").alias("s"))
+    return s.selectExpr("doc_id", "page_no", "s.seal_no", "s.x", "s.y", "s.w", "s.h", "round(s.fill, 6) AS fill")
+
+
 @_add("jn_text_to_cell", f"{derived.sql_with('rows', 'cells')} SELECT l.doc_id, l.page_no, l.line_no, k.cell_no FROM trows l LEFT JOIN cells k ON k.doc_id = l.doc_id AND k.page_no = l.page_no AND l.x + l.w / 2.0 BETWEEN k.x AND k.x + k.w AND l.y + l.h / 2.0 BETWEEN k.y AND k.y + k.h QUALIFY row_number() OVER (PARTITION BY l.doc_id, l.page_no, l.line_no ORDER BY k.w * k.h, k.cell_no) = 1")
 def _(spark, d):
     owned = f"transform(lines, l -> named_struct('line_no', l.line_no, 'cell_no', {g.owner('cells', g.cx('l'), g.cy('l'))}.cell_no))"
