@@ -22,6 +22,7 @@ import re
 import unicodedata
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .common import byte_chunks
 
 #: Bytes of a word from which on the heap takes over from the scan.
 LONG_WORD = 256
-#: Words that a worker remembers; beyond, it starts anew.
+#: Chunks and words that a worker remembers.
 CACHE_WORDS = 1_000_000
 
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d a-z0-9]+")
@@ -44,6 +45,13 @@ _RARE = re.compile("[^\x00-\u024f\u2010-\u2027]")
 _NONE = 1 << 60
 
 
+def trim(cache: dict) -> None:
+    """Drops the newer half of a full cache: what came first is, as a rule, what comes most often."""
+    if len(cache) >= CACHE_WORDS:
+        for key in list(islice(reversed(cache), CACHE_WORDS // 2)):
+            del cache[key]
+
+
 class _Word(str):
     """A chunk that is one word already."""
 
@@ -151,8 +159,10 @@ class Vocabulary:
     @staticmethod
     def words(chunk: str) -> list[str]:
         """The words of a chunk by the file's expression."""
-        if type(chunk) is _Word:
+        if type(chunk) is _Word or chunk.isalpha():
             return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():  # the common case, without an expression
+            return [chunk[:-1], chunk[-1]]
         return _ASCII.findall(chunk) if chunk.isascii() else _FULL.findall(chunk)
 
     def parts(self, text: str) -> list[str]:
@@ -161,8 +171,7 @@ class Vocabulary:
 
     def _learn(self, chunk: str) -> bytes:
         cache = self.cache
-        if len(cache) >= CACHE_WORDS:
-            cache.clear()
+        trim(cache)
         out = []
         for w in self.words(chunk):
             ids = cache.get(w)

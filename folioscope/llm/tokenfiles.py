@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_WORDS, LONG_WORD, Vocabulary, default_vocabulary, vocabulary
+from .bpe import LONG_WORD, Vocabulary, default_vocabulary, trim, vocabulary
 from .common import byte_chunks, scratch_path
 
 #: Ids to a word and their bits, by selector; selector 15 is the escape.
@@ -158,7 +158,7 @@ class LibraryEncoder:
         out = {}
         for i in range(0, len(words), 2000):
             some = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
             after = ((np.flatnonzero(self.ends[ids]) + 1) * np.dtype(self.kind).itemsize).tolist()
             raw, at = ids.astype(self.kind).tobytes(), 0
             for w, to in zip(some, after, strict=True):
@@ -169,8 +169,7 @@ class LibraryEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         v: Vocabulary = self.split
         cache, end = self.cache, {}
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        trim(cache)
         found: list[list[bytes | None]] = []  # each text's ids, chunk by chunk
         at: list[int] = []  # where a chunk isn't known yet: text, place and chunk, in three plain lists that the garbage collector needn't walk
         place: list[int] = []
