@@ -48,3 +48,31 @@ s AS (SELECT x.vec_id, w.k, round(sum(CAST(x.v AS DOUBLE) * w.m) + any_value(b.b
 t AS (SELECT vec_id, max(s) AS top, arg_max(k, (s, -k)) AS predicted FROM s GROUP BY vec_id)
 SELECT t.vec_id, CAST(any_value(t.predicted) AS INT) AS predicted, round(1 / sum(exp(s.s - t.top)), 6) AS p FROM t JOIN s USING (vec_id) GROUP BY t.vec_id
 """
+
+
+def folds_of(group: str, k: int = 5):
+    """Fold of a row: rows of one group stay together."""
+    return F.pmod(F.xxhash64(F.col(group)), F.lit(k)).cast("int")
+
+
+def cross_validated(rows: DataFrame, group: str, k: int = 5, max_iter: int = 50) -> DataFrame:
+    """fold, n, accuracy of logistic regressions on scaled features, each judged on the groups that it didn't see. rows: features (array), label, and the group."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    data = rows.select(array_to_vector(F.transform("features", lambda x: x.cast("double"))).alias("raw"), F.col("label").cast("double").alias("label"), folds_of(group, k).alias("fold"))
+    steps = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(maxIter=max_iter)])
+    out = None
+    for fold in range(k):
+        model = steps.fit(data.where(F.col("fold") != fold))
+        judged = model.transform(data.where(F.col("fold") == fold)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+        out = judged if out is None else out.union(judged)
+    return out
+
+
+def usable_folds(rows: DataFrame, group: str, most: int = 5) -> int:
+    """As many folds as the rarest class has groups, at most `most`; 1 if that is no cross-validation."""
+    fewest = rows.groupBy("label").agg(F.countDistinct(group).alias("g")).agg(F.min("g")).first()[0] or 0
+    return max(1, min(most, int(fewest)))
