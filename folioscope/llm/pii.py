@@ -208,7 +208,13 @@ def _replaced(m: str, attempts: str | None) -> str:
 
 
 def _matches(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
+    """All matches in text. The expression is slow; a text without a digit, an at sign and an honorific can't match any of its parts."""
+    titles = [t for ts in HONORIFICS.values() for t in ts]
+    maybe = F.coalesce(text, F.lit("")).rlike("[0-9@]")
+    for t in titles:
+        if not any(t != u and t.startswith(u) for u in titles):
+            maybe = maybe | F.contains(F.coalesce(text, F.lit("")), F.lit(t))
+    return F.when(maybe, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def corpus_entities(docs: DataFrame) -> DataFrame:
