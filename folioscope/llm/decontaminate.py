@@ -220,9 +220,10 @@ def _by_join(docs: DataFrame, bench: DataFrame, n: int, cut: bool) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, drop_share: float = DROP_SHARE, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs without benchmark passages: spans are cut out; a document that is benchmark text by drop_share or more goes. Columns and their order stay."""
-    seen = contamination(docs, benchmark, n=n, cut=True, max_windows=max_windows)
+    rest = [c for c in docs.columns if c != "text"]
+    seen = contamination(docs.select(F.struct(*rest).alias("_row"), "text") if rest else docs, benchmark, n=n, cut=True, max_windows=max_windows)
     kept = seen.where((F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words")))
-    return kept.select(*[F.coalesce("clean_text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return kept.select(*[F.coalesce("clean_text", "text").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_benchmark_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

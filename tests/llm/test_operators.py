@@ -46,6 +46,7 @@ def test_spans_go_and_clean_documents_stay(spark, table, passages, words):
     docs, items = passages
     out = {r.doc_id: r.text for r in decontaminate.decontaminate(table(docs), table(items, "item_id bigint, text string")).collect()}
     assert out[2] == docs[1][1] and out[5] == docs[4][1]
+    assert {(r.n_words, r.items) for r in decontaminate.decontaminate(table(docs), table(items, "item_id bigint, text string")).collect()} == {("x", "x")}
     assert 4 not in out and words(1, 25) not in out[1] and out[1].endswith(" tail") and out[1].startswith(words(50, 30))
 
 
