@@ -48,3 +48,15 @@ def fingerprint(text: str) -> str:
 def number(text: str, kind: str = "INT") -> str:
     """The value of a run of digits, full-width ones included; null if there is none or it is too large."""
     return f"try_cast(translate({text}, '０１２３４５６７８９．', '0123456789.') AS {kind})"
+
+
+def safe_name(text: str) -> str:
+    """A file name: 32 plain characters and six digits of the whole name's digest."""
+    return f"concat(left(regexp_replace({text}, '[^A-Za-z0-9_-]+', '_'), 32), '_', left(sha1(encode({text}, 'UTF-8')), 6))"
+
+
+def escaped(text: str) -> str:
+    """For HTML."""
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = f"replace({text}, {quoted(c)}, {quoted(name)})"
+    return text

@@ -39,6 +39,11 @@ def import_run(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
+def append_log(rows: DataFrame, path: str) -> None:
+    """Adds events to a log; nothing in it is ever rewritten."""
+    rows.write.mode("append").parquet(path)
+
+
 def overridden(rules: DataFrame, overrides: DataFrame) -> DataFrame:
     """Rules (rule_id, enabled, level) with stored overrides; null keeps a field."""
     o = overrides.select("rule_id", F.col("enabled").alias("_e"), F.col("level").alias("_l"))

@@ -129,6 +129,13 @@ def _changed(rule: Rule, change: dict) -> Rule:
     return replace(rule, level=level, enabled=truth(change.get("enabled", rule.enabled)), title=change.get("title", rule.title), include=tuple(change.get("include", rule.include)), exclude=tuple(change.get("exclude", rule.exclude)), params={**rule.params, **(change.get("params") or {})})
 
 
+def difference(rule: Rule, params: dict) -> dict:
+    """The params that differ from the rule's own; an unknown name is an error."""
+    if unknown := set(params) - set(rule.params):
+        raise ValueError(f"{rule.id} has no {', '.join(sorted(unknown))}")
+    return {k: v for k, v in params.items() if v != rule.params[k]}
+
+
 def truth(value: object) -> bool:
     """What a configuration file means by a word."""
     return value.strip().lower() not in ("false", "0", "off", "no", "") if isinstance(value, str) else bool(value)

@@ -79,6 +79,16 @@ def test_degraded_crops():
         assert out.shape == img.shape and (out != img).any() and (out == image.degraded(img, how, 3)).all()
 
 
+def test_seal_features_and_windows():
+    img = page(60, 90)
+    img[10:50, 10:50] = (10, 40, 220)
+    f = image.seal_features(img)
+    assert f.shape == (32 * 32 + 16 * 16 + 9,) and f[1280] == 1.5 and f[1281] == pytest.approx(1600 / 5400) and f[1285:].sum() > 0
+    assert image.seal_features(np.repeat(np.repeat(img, 3, 0), 3, 1))[1282] < f[1282]
+    assert image.normalised(img, 45).shape == (30, 45, 3) and (image.resized(np.full((7, 9), 3.0), 4, 5) == 3).all()
+    assert image.crop_window((10, 10, 40, 20), 60, 90) == (4, 4, 56, 36) and image.crop_window((0, 0, 5, 5), 60, 90) is None
+
+
 def test_measured_rows(spark):
     img = page(200, 300)
     img[50:90, 50:110] = (10, 40, 220)

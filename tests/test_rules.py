@@ -154,6 +154,9 @@ def test_catalog_changes():
     assert book["A12"].enabled and book["A12"].level == "LOW" and book["A12"].params == {"a": 1} and not c.BOOK["A12"].enabled
     over = c.with_overrides(book, {"A12": {"enabled": None, "level": "HIGH", "params": "no json"}, "Z99": {"level": "LOW"}})
     assert over["A12"].enabled and over["A12"].level == "HIGH" and over["A12"].params == {"a": 1}
+    assert c.difference(c.BOOK["A10"], {"max_decimals": 4}) == {"max_decimals": 4} and c.difference(c.BOOK["A10"], {"max_decimals": 3}) == {}
+    with pytest.raises(ValueError):
+        c.difference(c.BOOK["A10"], {"decimals": 4})
     for bad in ({"Z99": {}}, {"A01": {"level": "SEVERE"}}):
         with pytest.raises(ValueError):
             c.with_packs(c.BOOK, bad)
