@@ -83,12 +83,12 @@ def _(spark, d):
     return _find(spark, d).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("run_id").alias("runs"))
 
 
-@_add("ag_stats", f"SELECT (SELECT count(*) FROM ({_PAGES}) p) AS pages, (SELECT count(DISTINCT doc_id) FROM ({_PAGES}) p) AS documents, count(*) AS findings, count_if(level = 'CRITICAL') AS critical, count_if(level = 'HIGH') AS high, count_if(level = 'MEDIUM') AS medium, count_if(level = 'LOW') AS low FROM ({_FIND}) x")
+@_add("ag_stats", f"SELECT (SELECT count(*) FROM ({_PAGES}) p) AS pages, (SELECT count(DISTINCT doc_id) FROM ({_PAGES}) p) AS documents, count(*) AS findings, count(*) FILTER (WHERE level = 'CRITICAL') AS critical, count(*) FILTER (WHERE level = 'HIGH') AS high, count(*) FILTER (WHERE level = 'MEDIUM') AS medium, count(*) FILTER (WHERE level = 'LOW') AS low FROM ({_FIND}) x")
 def _(spark, d):
     return f.statistics(_find(spark, d), derived.relation(spark, d, _PAGES))
 
 
-@_add("ag_level_matrix", f"SELECT doc_id, count_if(level = 'CRITICAL') AS critical, count_if(level = 'HIGH') AS high, count_if(level = 'MEDIUM') AS medium, count_if(level = 'LOW') AS low FROM ({_FIND}) x GROUP BY doc_id")
+@_add("ag_level_matrix", f"SELECT doc_id, count(*) FILTER (WHERE level = 'CRITICAL') AS critical, count(*) FILTER (WHERE level = 'HIGH') AS high, count(*) FILTER (WHERE level = 'MEDIUM') AS medium, count(*) FILTER (WHERE level = 'LOW') AS low FROM ({_FIND}) x GROUP BY doc_id")
 def _(spark, d):
     return f.level_matrix(_find(spark, d))
 
@@ -127,17 +127,17 @@ def _(spark, d):
     return f.deduplicated(both.select("rule_id", "doc_id", "page_no", "x", "message", "seq"), "rule_id", "doc_id", "page_no", "x", "message")
 
 
-@_add("ag_dashboard", f"SELECT count(*) AS total, count(verdict) AS judged, count_if(verdict IS NULL) AS todo, count_if(level IN ('CRITICAL', 'HIGH')) AS grave, round(count_if(verdict = 'true') / nullif(count_if(verdict IN ('true', 'false')), 0), 4) AS true_rate FROM ({_JUDGED}) j")
+@_add("ag_dashboard", f"SELECT count(*) AS total, count(verdict) AS judged, count(*) FILTER (WHERE verdict IS NULL) AS todo, count(*) FILTER (WHERE level IN ('CRITICAL', 'HIGH')) AS grave, round(count(*) FILTER (WHERE verdict = 'true') / nullif(count(*) FILTER (WHERE verdict IN ('true', 'false')), 0), 4) AS true_rate FROM ({_JUDGED}) j")
 def _(spark, d):
     return f.dashboard(_reviewed(spark, d))
 
 
-@_add("ag_siblings", f"SELECT run_id, doc_id, rule_id, count(*) AS n, count_if(verdict IS NULL) AS todo FROM ({_JUDGED}) j GROUP BY ALL")
+@_add("ag_siblings", f"SELECT run_id, doc_id, rule_id, count(*) AS n, count(*) FILTER (WHERE verdict IS NULL) AS todo FROM ({_JUDGED}) j GROUP BY ALL")
 def _(spark, d):
     return _reviewed(spark, d).groupBy("run_id", "doc_id", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict").isNull()).alias("todo"))
 
 
-@_add("set_evaluate", f"WITH p AS (SELECT DISTINCT doc_id, page_no, rule_id FROM ({_FIND}) x WHERE level IN ('HIGH', 'MEDIUM')), g AS (SELECT doc_id, page_no, rule_id, bool_or(kind = 'positive') AS pos, bool_or(kind = 'negative') AS neg FROM ({_GOLD}) y GROUP BY ALL), j AS (SELECT p.doc_id IS NOT NULL AS said, coalesce(pos, false) AS pos, coalesce(neg, false) AS neg FROM p FULL JOIN g ON p.doc_id = g.doc_id AND p.page_no = g.page_no AND p.rule_id = g.rule_id), c AS (SELECT count_if(said AND pos) AS tp, count_if(said AND neg) AS fp, count_if(NOT said AND pos) AS fn, count_if(said AND NOT pos AND NOT neg) AS unjudged FROM j) SELECT *, round(tp / greatest(1, tp + fn), 4) AS recall, round(tp / greatest(1, tp + fp), 4) AS precision FROM c")
+@_add("set_evaluate", f"WITH p AS (SELECT DISTINCT doc_id, page_no, rule_id FROM ({_FIND}) x WHERE level IN ('HIGH', 'MEDIUM')), g AS (SELECT doc_id, page_no, rule_id, bool_or(kind = 'positive') AS pos, bool_or(kind = 'negative') AS neg FROM ({_GOLD}) y GROUP BY ALL), j AS (SELECT p.doc_id IS NOT NULL AS said, coalesce(pos, false) AS pos, coalesce(neg, false) AS neg FROM p FULL JOIN g ON p.doc_id = g.doc_id AND p.page_no = g.page_no AND p.rule_id = g.rule_id), c AS (SELECT count(*) FILTER (WHERE said AND pos) AS tp, count(*) FILTER (WHERE said AND neg) AS fp, count(*) FILTER (WHERE NOT said AND pos) AS fn, count(*) FILTER (WHERE said AND NOT pos AND NOT neg) AS unjudged FROM j) SELECT *, round(tp / greatest(1, tp + fn), 4) AS recall, round(tp / greatest(1, tp + fp), 4) AS precision FROM c")
 def _(spark, d):
     return f.evaluation(_find(spark, d).where("level IN ('HIGH', 'MEDIUM')"), derived.relation(spark, d, _GOLD))
 
@@ -261,7 +261,7 @@ def _(spark, d):
     return s.where(~F.col("lang").isin("en", "fr")).join(l, s.sample_id == l.doc_id).select("sample_id", "quality", "toxic")
 
 
-@_add("ag_sample_stats", f"SELECT count(*) AS samples, CAST(sum(CASE WHEN synthetic THEN 1 ELSE 0 END) AS BIGINT) AS synthetic, count(DISTINCT doc) AS docs, count(l.doc_id) AS labeled, count_if(l.quality = 1) AS good, count_if(l.quality = 0) AS bad, count_if(NOT s.synthetic AND l.toxic = 0) AS human FROM ({_SAMPLES}) s LEFT JOIN labels l ON l.doc_id = s.sample_id")
+@_add("ag_sample_stats", f"SELECT count(*) AS samples, CAST(sum(CASE WHEN synthetic THEN 1 ELSE 0 END) AS BIGINT) AS synthetic, count(DISTINCT doc) AS docs, count(l.doc_id) AS labeled, count(*) FILTER (WHERE l.quality = 1) AS good, count(*) FILTER (WHERE l.quality = 0) AS bad, count(*) FILTER (WHERE NOT s.synthetic AND l.toxic = 0) AS human FROM ({_SAMPLES}) s LEFT JOIN labels l ON l.doc_id = s.sample_id")
 def _(spark, d):
     s, l = _samples(spark, d)
     j = s.join(l, s.sample_id == l.doc_id, "left")
