@@ -8,7 +8,8 @@ which scores all urls in one projection. Sums are exact, so the trees don't depe
 
 Features: lengths of url, host, path and query, depth, host labels, longest label, hyphens, share of digits in url and
 host, entropy of url and host, parameters, scheme, file suffix, and of the host's last label its share of blocked
-labelled urls (smoothed) and its frequency.
+labelled urls (smoothed towards one half) and its frequency. Blocked and allowed urls weigh the same in total, so that the
+rules' preference decides nothing where the features say nothing.
 
 Defined results. A null url, or one without `://`, has an empty host and path and no rule; the trees judge it as the
 text it is. An empty path fits no rule, since rules' paths begin with a slash. Without any labelled url, or with labels
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,15 +128,20 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
     plain = settle(some.select(*FEATURES[:-2], "suffix", "blocked"), "urls")
     by_suffix = plain.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("b")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
     total, bad = plain.agg(F.count(F.lit(1)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
-    prior = (bad + 0.5) / (total + 1) if total else 0.0
-    forest = Forest(round(math.log(prior / (1 - prior)), 6) if total else -1.0, [], [(r["suffix"], round((r["b"] + 20 * prior) / (r["n"] + 20), 6), round(math.log1p(r["n"]), 6)) for r in by_suffix], round(prior, 6))
-    if total and 0 < bad < total:
+    both = total and 0 < bad < total
+    heavy, light = (total / (2 * bad), total / (2 * (total - bad))) if both else (1.0, 1.0)  # both kinds count the same
+    rate = lambda r: (heavy * r["b"] + 10) / (heavy * r["b"] + light * (r["n"] - r["b"]) + 20)
+    base = 0.0 if both else 4.0 if total and bad else -4.0
+    forest = Forest(base, [], [(r["suffix"], round(rate(r), 6), round(math.log1p(r["n"]), 6)) for r in by_suffix], 0.5)
+    if both:
         full = forest.with_suffix(plain)
         cuts = full.agg(*[F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 10_000).alias(f) for f in FEATURES]).first()
-        edges = [sorted({float(x) for x in cuts[f]}) for f in FEATURES]
+        seen = [sorted({float(x) for x in cuts[f]}) for f in FEATURES]
+        edges = [[(a + b) / 2 for a, b in pairwise(v)] for v in seen]  # half-way, so that values in between go to the nearer side
         below = lambda f, cuts: F.size(F.filter(F.array(*[F.lit(e) for e in cuts]), lambda e: e < F.col(f)))
         bins = F.array(*[below(f, edges[i]) for i, f in enumerate(FEATURES)])
-        data = settle(full.select(*FEATURES, "blocked", bins.alias("bins")), "urls")
+        weight = F.when(F.col("blocked") == 1, heavy).otherwise(light)
+        data = settle(full.select(*FEATURES, "blocked", weight.alias("weight"), bins.alias("bins")), "urls")
         for _ in range(TREES):
             forest.trees.append(_tree(data, forest, edges))
         discard(data)
@@ -150,8 +157,8 @@ def _tree(data: DataFrame, forest: Forest, edges: list[list[float]]) -> str:
     open_ = [1]
     for level in range(DEPTH + 1):
         node = _walk(1, splits, lambda i: str(i), edges)
-        rows = data.select(F.expr(node).alias("node"), "bins", p.alias("p"), "blocked").where(F.col("node").isin(open_))
-        g, h = F.round((F.col("p") - F.col("blocked")) * UNIT).cast("long"), F.round(F.col("p") * (1 - F.col("p")) * UNIT).cast("long")
+        rows = data.select(F.expr(node).alias("node"), "bins", p.alias("p"), "blocked", "weight").where(F.col("node").isin(open_))
+        g, h = F.round((F.col("p") - F.col("blocked")) * F.col("weight") * UNIT).cast("long"), F.round(F.col("p") * (1 - F.col("p")) * F.col("weight") * UNIT).cast("long")
         cells = rows.select("node", g.alias("g"), h.alias("h"), F.posexplode("bins").alias("f", "b")).groupBy("node", "f", "b").agg(F.sum("g"), F.sum("h"), F.count(F.lit(1)))
         sums = {(r[0], r[1], r[2]): (r[3], r[4], r[5]) for r in cells.collect()}
         after = []
