@@ -10,8 +10,10 @@ domain (and people of one domain stay together). Given names rotate within a lis
 names are composed of syllables in the name's script. Letters, digits and separators stay where they were.
 
 Collision checks run over the distinct entities of the whole corpus: an entity whose surrogate equals another's, or equals
-an entity that really occurs, tries the next key of its own until none is left. Few entities ever need one; up to
-LITERAL_LIMIT of them travel as a literal, more by a join on the text's digest.
+an entity that really occurs, tries the next key of its own until none is left. From the WIDEN-th key on a surrogate also
+grows by a syllable, letter or digit a key, since a format can have fewer forms than entities (all ten one-digit mailboxes
+of a domain); IPv4 addresses can't grow. Collisions that ATTEMPTS keys leave are an error, never a result. Few entities
+ever need a second key; up to LITERAL_LIMIT of them travel as a literal, more by a join on the text's digest.
 
 Defined results. Null and empty texts stay as they are. Texts without entities stay byte for byte. Number runs that fail
 their checksum: IBAN-like strings stay, runs of 13 to 19 digits count as account numbers. Repeated rows get equal texts.
@@ -30,6 +32,8 @@ KEY = "folioscope"
 LITERAL_LIMIT = 500
 #: Keys that an entity may try.
 ATTEMPTS = 64
+#: Keys that it tries in its own format before its surrogate grows, and by how much that can be at most.
+WIDEN, WIDEST = 8, 8
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -154,37 +158,45 @@ def _pattern(text: str, seed: str) -> str:
       WHEN {c} between 'a' and 'z' THEN chr(97 + {h} % 26) WHEN {c} between 'A' and 'Z' THEN chr(65 + {h} % 26) ELSE {c} END), '')"""
 
 
-def _syllables(seed: str, script: str) -> str:
-    """Three syllables, the first letter a capital."""
+def _wider(attempt: str) -> str:
+    """By how many syllables, letters or digits the surrogate of an attempt is longer than its format."""
+    return f"least(greatest(cast({attempt} as int) - {WIDEN - 1}, 0), {WIDEST})"
+
+
+def _syllables(seed: str, script: str, more: str) -> str:
+    """Three syllables and up to five more, the first letter a capital."""
     h = lambda i: f"cast(conv(substr({seed}, {i}, 2), 16, 10) as int)"
     out = []
     for consonants, vowels in (("bcdfghjklmnprstv", "aeiou"), ("бвгджзклмнпрстфх", "аеиоу")):
-        parts = [f"substr({_q(s)}, {h(8 * k + j)} % {len(s)} + 1, 1)" for k in range(3) for j, s in ((1, consonants), (4, vowels))]
-        out.append(f"concat(upper({parts[0]}), {', '.join(parts[1:])})")
+        parts = [f"substr({_q(s)}, {h(8 * k + j)} % {len(s)} + 1, 1)" for k in range(8) for j, s in ((1, consonants), (4, vowels))]
+        longer = f"if({more} = 0, '', substr(concat({', '.join(parts[6:])}), 1, 2 * {more}))"
+        out.append(f"concat(upper({parts[0]}), {', '.join(parts[1:6])}, {longer})")
     return f"if({script}, {out[1]}, {out[0]})"
 
 
 def surrogate(type_: str, form: str, attempt: str) -> str:
     """SQL for the surrogate of an entity's form."""
     tag = (type_, attempt)
-    seed = _hash(*tag, form)
-    mail = f"concat({_pattern(f'substring_index({form}, {chr(39)}@{chr(39)}, 1)', seed)}, '@', {_domain(form)})"
-    middle = f"substr({form}, 2, length({form}) - 2)"
+    seed, more = _hash(*tag, form), _wider(attempt)
+    longer = lambda x, c: f"concat({x}, repeat('{c}', {more}))"
+    local = longer(f"substring_index({form}, '@', 1)", "a")
+    mail = f"concat({_pattern(local, seed)}, '@', {_domain(form)})"
+    middle = longer(f"substr({form}, 2, length({form}) - 2)", "0")
     body = f"concat(substr({form}, 1, 1), {_feistel(middle, *tag)})"
     check = f"cast((10 - {_luhn_sum('concat(y, ' + chr(39) + '0' + chr(39) + ')')} % 10) % 10 as string)"
     card = f"transform(array({body}), y -> concat(y, {check}))[0]"
-    account = f"transform(array({_pattern(f'substr({form}, 5)', seed)}), y -> concat(substr({form}, 1, 2), lpad(cast(98 - {_mod97(f'concat(y, substr({form}, 1, 2), {chr(39)}00{chr(39)})')} as string), 2, '0'), y))[0]"
-    phone = f"concat(split_part({form}, '.', 1), '.', {_feistel(f'split_part({form}, {chr(39)}.{chr(39)}, 2)', *tag)})"
+    account = f"transform(array({_pattern(longer(f'substr({form}, 5)', '0'), seed)}), y -> concat(substr({form}, 1, 2), lpad(cast(98 - {_mod97(f'concat(y, substr({form}, 1, 2), {chr(39)}00{chr(39)})')} as string), 2, '0'), y))[0]"
+    phone = f"concat(split_part({form}, '.', 1), '.', {_feistel(longer(f'split_part({form}, {chr(39)}.{chr(39)}, 2)', '0'), *tag)})"
     cases = [
         f"WHEN {type_} = 'email' THEN {mail}", f"WHEN {type_} = 'iban' THEN {account}", f"WHEN {type_} = 'card' THEN {card}",
-        f"WHEN {type_} IN ('account', 'ssn') THEN {_feistel(form, *tag)}", f"WHEN {type_} = 'phone' THEN {phone}", f"WHEN {type_} = 'ipv4' THEN {_octets(form, *tag)}",
+        f"WHEN {type_} IN ('account', 'ssn') THEN {_feistel(longer(form, '0'), *tag)}", f"WHEN {type_} = 'phone' THEN {phone}", f"WHEN {type_} = 'ipv4' THEN {_octets(form, *tag)}",
     ]
     for (gender, script), names in GIVEN.items():
         listed, n = f"array({', '.join(map(_q, names))})", len(names)
         shift = f"cast({_number(_q(gender), _q(script))} % {n - 1} as int)"
-        cases.append(f"WHEN {type_} IN ('given-{gender}-{script}', 'given-n-{script}') AND array_contains({listed}, {form}) THEN element_at({listed}, cast((array_position({listed}, {form}) + {shift}) % {n} + 1 as int))")
+        cases.append(f"WHEN {type_} IN ('given-{gender}-{script}', 'given-n-{script}') AND {more} = 0 AND array_contains({listed}, {form}) THEN element_at({listed}, cast((array_position({listed}, {form}) + {shift}) % {n} + 1 as int))")
     ending = f"CASE WHEN {type_} = 'given-m-latin' THEN 'ro' WHEN {type_} = 'given-f-latin' THEN 'na' WHEN {type_} = 'given-m-cyrillic' THEN 'рий' WHEN {type_} = 'given-f-cyrillic' THEN 'на' ELSE '' END"
-    return f"CASE {' '.join(cases)} ELSE concat({_syllables(seed, f'endswith({type_}, {chr(39)}cyrillic{chr(39)})')}, {ending}) END"
+    return f"CASE {' '.join(cases)} ELSE concat({_syllables(seed, f'endswith({type_}, {chr(39)}cyrillic{chr(39)})', more)}, {ending}) END"
 
 
 def _domain(form: str) -> str:
@@ -193,9 +205,9 @@ def _domain(form: str) -> str:
 
 
 def _placed(m: str, s: str) -> str:
-    """The letters and digits of s at the places that letters and digits have in m."""
+    """The letters and digits of s at the places that letters and digits have in m, and after them what s has more."""
     step = f"if(rlike(c, '[0-9A-Za-z]'), named_struct('o', concat(t.o, substr({s}, t.i, 1)), 'i', t.i + 1), named_struct('o', concat(t.o, c), 'i', t.i))"
-    return f"aggregate(transform(sequence(1, length({m})), i -> substr({m}, i, 1)), named_struct('o', '', 'i', 1), (t, c) -> {step}, t -> t.o)"
+    return f"aggregate(transform(sequence(1, length({m})), i -> substr({m}, i, 1)), named_struct('o', '', 'i', 1), (t, c) -> {step}, t -> concat(t.o, substr({s}, t.i)))"
 
 
 def _replaced(m: str, attempts: str | None) -> str:
@@ -236,12 +248,13 @@ def collisions(found: DataFrame) -> DataFrame:
         taken = state.join(real, ["type", "surrogate"], "left_semi").where("not startswith(type, 'given-')").select("type", "form")
         bad = settle(twice.union(taken).distinct(), "collisions")
         if bad.isEmpty():
-            break
+            return state.where("attempt > 0").select("type", "form", "attempt")
         again = state.join(bad.withColumn("again", F.lit(1)), ["type", "form"], "left")
         new = settle(named(again.select("type", "form", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))), "entities")
         discard(state)
         state = new
-    return state.where("attempt > 0").select("type", "form", "attempt")
+    left = ", ".join(f"{r['count']} of {r['type']}" for r in bad.groupBy("type").count().collect())
+    raise RuntimeError(f"after {ATTEMPTS} keys there are entities without a surrogate of their own: {left}")
 
 
 def replace_pii(docs: DataFrame, *, with_entities: bool = False) -> DataFrame:

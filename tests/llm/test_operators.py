@@ -246,6 +246,28 @@ def test_numbers_stay_distinct_and_collisions_move_on(spark):
         pii.LITERAL_LIMIT = limit
 
 
+def test_pii_surrogates_grow_where_a_format_has_no_free_form(spark, table, monkeypatch):
+    mails, phones = [f"{i}@q.de" for i in range(10)], [f"+123-{i:02}" for i in range(100)]
+    names = [f"Dr Q{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    syllables = pii._syllables
+    # names of one form before they grow
+    monkeypatch.setattr(pii, "_syllables", lambda seed, script, more: f"if({more} = 0, 'Bababa', {syllables(seed, script, more)})")
+    docs = table([(i, x) for i, x in enumerate([*mails, *phones, *names])])
+    out = {r.doc_id: r.text for r in pii.op5_pii_surrogates(docs).collect()}
+    for part in (mails, phones, names):
+        at = [*mails, *phones, *names].index(part[0])
+        new = [out[at + i] for i in range(len(part))]
+        assert len(set(new)) == len(part) and not set(new) & set(part)
+    assert all(out[i].startswith("+123-") for i in range(10, 110))
+
+
+def test_pii_collisions_that_stay_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ATTEMPTS", 2)
+    monkeypatch.setattr(pii, "surrogate", lambda *_: "'same'")
+    with pytest.raises(RuntimeError, match="2 of ipv4|1 of ipv4"):
+        pii.collisions(spark.createDataFrame([("ipv4", "1.2.3.4"), ("ipv4", "1.2.3.5")], "type string, form string"))
+
+
 def test_pii_on_an_empty_table_runs_without_python(spark, table):
     assert pii.op5_pii_surrogates(table([])).count() == 0
     plan = pii.op5_pii_surrogates(table([(1, "a@b.de")]))._jdf.queryExecution().executedPlan().toString()
