@@ -95,7 +95,7 @@ def units(paged: DataFrame) -> DataFrame:
         F.min_by("keys", "unit_no").alias("keys"),
     )
     markers = F.expr("flatten(transform(runs, r -> r.markers))")
-    name = F.concat(F.col("doc_id"), F.lit("#U"), F.lpad(F.col("unit_no").cast("string"), 3, "0"))
+    name = F.concat(F.col("doc_id"), F.lit("#U"), F.expr("lpad(unit_no, greatest(3, length(unit_no)), '0')"))  # lpad cuts what is longer
     return joined.withColumn("markers", markers).select("doc_id", name.alias("unit_id"), "unit_no", "form_type", "pages", F.size("pages").alias("page_count"), F.element_at("pages", 1).alias("start_page"), F.element_at("pages", -1).alias("end_page"), "declared_total", F.expr("get(markers, 0)").alias("first_marker"), "markers", "keys")
 
 

@@ -23,6 +23,12 @@ def cut(spark, pages):
     return paged, {r.unit_id: r for r in segment.units(paged).collect()}
 
 
+def test_unit_numbers_above_999_are_not_cut(spark):
+    df = spark.createDataFrame([digest(i, marker=(1, 1)) for i in range(1, 1003)], DIGEST)
+    ids = [r.unit_id for r in segment.units(segment.page_units(df)).orderBy("unit_no").collect()]
+    assert ids == [f"D#U{i:03d}" for i in range(1, 1003)]
+
+
 def test_units(spark):
     pages = lambda us: sorted(u.pages for u in us.values())
     assert pages(cut(spark, [digest(1, keys={"k": "1"}), digest(2, keys={"k": "1"}), digest(3, keys={"k": "2"})])[1]) == [[1, 2], [3]]
