@@ -99,6 +99,11 @@ def units(paged: DataFrame) -> DataFrame:
     return joined.withColumn("markers", markers).select("doc_id", name.alias("unit_id"), "unit_no", "form_type", "pages", F.size("pages").alias("page_count"), F.element_at("pages", 1).alias("start_page"), F.element_at("pages", -1).alias("end_page"), "declared_total", F.expr("get(markers, 0)").alias("first_marker"), "markers", "keys")
 
 
+def listed(u: DataFrame, doc_id: str | None = None) -> DataFrame:
+    """The units of a run by doc_id and first page, of one document if asked for."""
+    return (u if doc_id is None else u.where(F.col("doc_id") == doc_id)).orderBy("doc_id", "start_page")
+
+
 def _unit_finding(rows: DataFrame, rule: str, page: str, detail: str, confidence: object) -> DataFrame:
     conf = confidence if isinstance(confidence, str) else f"{confidence}D"
     return rows.where(c.BOOK[rule].applies()).selectExpr("doc_id", "unit_id", f"'{rule}' AS rule_id", f"CAST({page} AS INT) AS page_no", f"CAST({detail} AS STRING) AS detail", f"{conf} AS confidence")

@@ -130,6 +130,11 @@ def _(spark, d):
     return _units(spark, d).where("CAST(doc_id AS BIGINT) % 100 = 7").orderBy("doc_id", "start_page").select("unit_id", "form_type", "start_page", "end_page")
 
 
+@_add("so_run_units", f"{_SEG} SELECT unit_id, form_type, pages[1] AS start_page, pages[len(pages)] AS end_page FROM full_u")
+def _(spark, d):
+    return segment.listed(_units(spark, d)).select("unit_id", "form_type", "start_page", "end_page")
+
+
 @_add("fn_unit_label", f"{_SEG} SELECT unit_id, form_type || '（p' || pages[1] || '-' || pages[len(pages)] || '）' AS label FROM full_u")
 def _(spark, d):
     return _units(spark, d).select("unit_id", F.concat("form_type", F.lit("（p"), F.col("start_page").cast("string"), F.lit("-"), F.col("end_page").cast("string"), F.lit("）")).alias("label"))

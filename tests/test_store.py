@@ -29,6 +29,12 @@ def test_unit_numbers_above_999_are_not_cut(spark):
     assert ids == [f"D#U{i:03d}" for i in range(1, 1003)]
 
 
+def test_units_of_a_run_are_listed_for_all_documents(spark):
+    u = segment.units(segment.page_units(spark.createDataFrame([digest(n, keys={"k": str(n)}, doc=d) for d in ("8", "7", "12") for n in (1, 2)], DIGEST)))
+    assert [(r.doc_id, r.start_page) for r in segment.listed(u).collect()] == [(d, n) for d in ("12", "7", "8") for n in (1, 2)]
+    assert [r.unit_id for r in segment.listed(u, "8").collect()] == ["8#U001", "8#U002"]
+
+
 def test_units(spark):
     pages = lambda us: sorted(u.pages for u in us.values())
     assert pages(cut(spark, [digest(1, keys={"k": "1"}), digest(2, keys={"k": "1"}), digest(3, keys={"k": "2"})])[1]) == [[1, 2], [3]]
