@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import findings as f
 from folioscope.operators import segment, store
+from folioscope.plans import registry
 from folioscope.sources import derived, tables
 
 DIGEST = "doc_id string, page_no int, form_type string, keys map<string,string>, marker struct<current:int,total:int>, has_title boolean, text_len int, fingerprint string"
@@ -35,6 +36,12 @@ def test_units_of_a_run_are_listed_for_all_documents(spark):
     assert [r.unit_id for r in segment.listed(u, "8").collect()] == ["8#U001", "8#U002"]
 
 
+def test_html_is_escaped_to_its_end(spark, tmp_path):
+    spark.createDataFrame([(1, "x" * 400 + "<a b=\"c\">&'"), (2, None)], "page_id int, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    shown = {r.page_id: r.shown for r in registry.queries()["fn_escape_whole"](spark, str(tmp_path)).collect()}
+    assert shown == {1: "x" * 400 + "&lt;a b=&quot;c&quot;&gt;&amp;&#x27;", 2: None}
+
+
 def test_units(spark):
     pages = lambda us: sorted(u.pages for u in us.values())
     assert pages(cut(spark, [digest(1, keys={"k": "1"}), digest(2, keys={"k": "1"}), digest(3, keys={"k": "2"})])[1]) == [[1, 2], [3]]
