@@ -123,8 +123,18 @@ def merged_gold(verdicts: DataFrame) -> DataFrame:
 
 
 def ledger(findings: DataFrame) -> DataFrame:
-    """The exported list: a number from 1 by severity, and text fields made safe for CSV. Numbers need one order over all rows: meant for one run's list."""
-    w = Window.orderBy(level_rank(F.col("level"), 3), "doc_id", "page_no", "finding_key")
+    """The exported list: a number from 1 by severity, and text fields made safe for CSV.
+
+    Rows are numbered within their rank and archive; the counts of these, summed up in order, give each range its offset.
+    """
+    findings = findings.withColumn("_rank", level_rank(F.col("level"), 3))
+    sizes = findings.groupBy("_rank", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("_before", F.sum("n").over(Window.partitionBy("_rank").orderBy("doc_id")) - F.col("n"))
+    ranks = sizes.groupBy("_rank").agg(F.sum("n").alias("n"))
+    above = ranks.alias("r").join(F.broadcast(ranks.alias("a")), F.expr("a._rank < r._rank"), "left").groupBy("r._rank").agg(F.coalesce(F.sum("a.n"), F.lit(0)).alias("_above"))  # four rows at most
+    offsets = before.join(F.broadcast(above), "_rank").select("_rank", F.col("doc_id").alias("_doc"), (F.col("_above") + F.col("_before")).alias("_offset"))
+    findings = findings.join(offsets, (findings["_rank"] == offsets["_rank"]) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop(offsets["_rank"])
+    w = Window.partitionBy("_rank", "doc_id").orderBy("page_no", "finding_key")
     flat = lambda x: F.regexp_replace(x, "[\r\n]", " ")
     quoted = lambda x: F.when(x.rlike('[,"]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
-    return findings.select(F.row_number().over(w).alias("no"), "finding_key", "level", quoted(flat(F.col("message"))).alias("message"))
+    return findings.select((F.row_number().over(w) + F.col("_offset")).cast("int").alias("no"), "finding_key", "level", quoted(flat(F.col("message"))).alias("message"))

@@ -155,6 +155,11 @@ def _(spark, d):
     return f.ledger(_keyed(spark, d).where("run_id = 'run0' AND doc_id = '3'"))
 
 
+@_add("wn_run_ledger", f"SELECT CAST(row_number() OVER (ORDER BY {_RANK3}, doc_id, page_no, finding_key) AS INT) AS no, finding_key, level, message FROM ({_KEYED}) k WHERE run_id = 'run0'")
+def _(spark, d):
+    return f.ledger(_keyed(spark, d).where("run_id = 'run0'"))
+
+
 @_add("jn_run_totals", f"SELECT r.run_id, r.target, coalesce(x.n, 0) AS findings, coalesce(v.n, 0) AS judged FROM ({_RUNS}) r LEFT JOIN (SELECT run_id, count(*) AS n FROM ({_FIND}) z GROUP BY 1) x USING (run_id) LEFT JOIN (SELECT split_part(finding_key, '|', 1) AS run_id, count(*) AS n FROM ({_VERD}) z GROUP BY 1) v USING (run_id)")
 def _(spark, d):
     return f.run_totals(derived.relation(spark, d, _RUNS, "region"), _find(spark, d), _verdicts(spark, d))

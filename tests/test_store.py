@@ -42,6 +42,18 @@ def test_html_is_escaped_to_its_end(spark, tmp_path):
     assert shown == {1: "x" * 400 + "&lt;a b=&quot;c&quot;&gt;&amp;&#x27;", 2: None}
 
 
+def test_ledger_numbers_a_whole_run(spark):
+    rows = [(doc, page, level, f"{doc}|{page}|{level}", "m") for doc in ("1", "10", "2") for page in (1, 2, 10) for level in ("LOW", "CRITICAL", "ODD", "HIGH")]
+    df = spark.createDataFrame(rows, "doc_id string, page_no int, level string, finding_key string, message string").repartition(5)
+    rank = {"CRITICAL": 0, "HIGH": 1}
+    want = [r[3] for r in sorted(rows, key=lambda r: (rank.get(r[2], 3), r[0], r[1], r[3]))]
+    got = f.ledger(df)
+    assert [(r.no, r.finding_key) for r in got.orderBy("no").collect()] == list(enumerate(want, 1))
+    assert got.schema["no"].dataType.simpleString() == "int"
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
 def test_units(spark):
     pages = lambda us: sorted(u.pages for u in us.values())
     assert pages(cut(spark, [digest(1, keys={"k": "1"}), digest(2, keys={"k": "1"}), digest(3, keys={"k": "2"})])[1]) == [[1, 2], [3]]
