@@ -73,6 +73,15 @@ def level_matrix(findings: DataFrame) -> DataFrame:
     return findings.groupBy("doc_id").agg(*counts)
 
 
+def archive_overview(pages: DataFrame, units: DataFrame, findings: DataFrame) -> DataFrame:
+    """Pages, units, findings and a count for each level of every document that has pages or findings, 0 where there are none."""
+    p = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
+    u = units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"))
+    n = findings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("findings"), *[F.count_if(F.col("level") == x).alias(x.lower()) for x in LEVELS])
+    counts = ["pages", "units", "findings", *[x.lower() for x in LEVELS]]
+    return p.join(n, "doc_id", "full").join(u, "doc_id", "left").fillna(0, counts).select("doc_id", *counts)
+
+
 def collapse(findings: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Systemic rows (archive and rule), batch rows (rule over the remaining), and the findings left as they are."""
     size = pages.groupBy("doc_id").agg(F.countDistinct("page_no").alias("doc_pages"))

@@ -7,11 +7,12 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import classify, image, model, page_rules, segment
+from ..operators import classify, findings, image, model, page_rules, segment
 from ..sources import derived
 from ..sources.tables import table
 from . import catalog as c
 from .page_queries import _CELL_SHARE_Y, _column, _labelled, pages_for
+from .store_queries import _PAGES
 
 Q, S = {}, {}
 
@@ -135,6 +136,11 @@ def _(spark, d):
     return segment.listed(_units(spark, d)).select("unit_id", "form_type", "start_page", "end_page")
 
 
+@_add("jn_archive_overview", f"{_SEG}, p AS (SELECT doc_id, count(*) AS pages FROM ({_PAGES}) z GROUP BY 1), x AS (SELECT doc_id, count(*) AS findings, count(*) FILTER (WHERE level = 'CRITICAL') AS critical, count(*) FILTER (WHERE level = 'HIGH') AS high, count(*) FILTER (WHERE level = 'MEDIUM') AS medium, count(*) FILTER (WHERE level = 'LOW') AS low FROM ({derived.FINDING}) z GROUP BY 1), n AS (SELECT doc_id, count(*) AS units FROM full_u GROUP BY 1) SELECT coalesce(p.doc_id, x.doc_id) AS doc_id, coalesce(pages, 0) AS pages, coalesce(units, 0) AS units, coalesce(findings, 0) AS findings, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low FROM p FULL JOIN x ON p.doc_id = x.doc_id LEFT JOIN n ON n.doc_id = coalesce(p.doc_id, x.doc_id)")
+def _(spark, d):
+    return findings.archive_overview(derived.relation(spark, d, _PAGES), _units(spark, d), derived.relation(spark, d, derived.FINDING))
+
+
 @_add("fn_unit_label", f"{_SEG} SELECT unit_id, form_type || '（p' || pages[1] || '-' || pages[len(pages)] || '）' AS label FROM full_u")
 def _(spark, d):
     return _units(spark, d).select("unit_id", F.concat("form_type", F.lit("（p"), F.col("start_page").cast("string"), F.lit("-"), F.col("end_page").cast("string"), F.lit("）")).alias("label"))

@@ -54,6 +54,14 @@ def test_ledger_numbers_a_whole_run(spark):
     assert "SinglePartition" not in plan
 
 
+def test_archive_overview_has_one_sided_documents(spark):
+    pages = spark.createDataFrame([("both", 1), ("both", 2), ("pages", 1)], "doc_id string, page_no int")
+    units = spark.createDataFrame([("both", "both#U001"), ("pages", "pages#U001")], "doc_id string, unit_id string")
+    rows = spark.createDataFrame([("both", "LOW"), ("both", "ODD"), ("found", "CRITICAL")], "doc_id string, level string")
+    got = {r.doc_id: tuple(r)[1:] for r in f.archive_overview(pages, units, rows).collect()}
+    assert got == {"both": (2, 1, 2, 0, 0, 0, 1), "pages": (1, 1, 0, 0, 0, 0, 0), "found": (0, 0, 1, 1, 0, 0, 0)}
+
+
 def test_units(spark):
     pages = lambda us: sorted(u.pages for u in us.values())
     assert pages(cut(spark, [digest(1, keys={"k": "1"}), digest(2, keys={"k": "1"}), digest(3, keys={"k": "2"})])[1]) == [[1, 2], [3]]
