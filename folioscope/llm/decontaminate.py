@@ -2,12 +2,14 @@
 
 Method. Every benchmark item becomes windows of `n` consecutive words (an item with fewer words is one window).
 Words get small integers, windows a 64-bit polynomial hash over those integers. The hash set is broadcast after its
-size was counted; executors roll the same hash over document words, look hits up by binary search, and verify each hit
-word by word (a word has one integer, so equal integers are equal words). Hit words are then reported, cut out, or the
-document is dropped.
+size was counted, in words and in bytes; executors roll the same hash over document words, look hits up by binary search,
+and verify each hit word by word (a word has one integer, so equal integers are equal words). Hit words are then reported,
+cut out, or the document is dropped.
 
-A benchmark larger than `max_windows` isn't broadcast: its windows and the documents' windows then meet in a shuffle
-join on the window text, which needs no bound.
+A benchmark of more than `max_windows` words or MAX_BYTES of text isn't brought to the driver. A bitmap of fixed size over
+the hashes of its windows is broadcast instead; document windows that pass it, of the lengths that the benchmark has, meet
+the benchmark's distinct windows in a shuffle join on the window's text, which is the verification. Hot windows stand once
+on the benchmark's side, so that an adaptive join can split the documents' side.
 
 Defined results. Null or empty text: no words, clean. Null benchmark text: no windows. Empty benchmark: all clean.
 Repeated documents: a row each. Repeated items: each counts under its item_id. Null item_id is left out of item lists
@@ -23,14 +25,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import WORD_TABLE, byte_chunks, settle
 
-#: Broadcast no more windows than this (about 100 bytes each).
-MAX_WINDOWS = 2_000_000
+#: Broadcast no benchmark of more words (under 100 bytes each in the index, with its window and its owners) and text than this.
+MAX_WINDOWS, MAX_BYTES = 1_000_000, 32 << 20
+#: Bits of the bitmap over the windows of a larger benchmark (32 MB), and how many bits a window sets.
+BITMAP_BITS, PROBES = 28, 2
 #: Drop a document when at least this share of its words is benchmark text; below, cut the spans out.
 DROP_SHARE = 0.5
 
@@ -44,6 +49,7 @@ REPORT = T.StructType(
         T.StructField("clean_text", T.StringType()),
     ]
 )
+_ARROW = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64()))), ("clean_text", pa.string())])
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -54,25 +60,26 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 class WindowIndex:
-    """The benchmark's windows: sorted hashes per window length, and what verification needs."""
+    """The benchmark's windows: per window length sorted hashes, the words and, as offsets into one array, the owners."""
 
     def __init__(self, items: list[tuple[object, str | None]], n: int):
-        self.n, self.vocabulary = n, {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(dict)
-        for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in split_words((text or "").encode())]
-            k = min(n, len(ids))
-            for i in range(len(ids) - k + 1 if k else 0):
-                owners = by_length[k].setdefault(tuple(ids[i : i + k]), set())
-                if item_id is not None:
-                    owners.add(str(item_id))
+        self.n, self.vocabulary, self.items = n, {}, [None if i is None else str(i) for i, _ in items]
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        for owner, (_, text) in enumerate(items):
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in split_words((text or "").encode())], dtype=np.int32)
+            if k := min(n, len(ids)):
+                by_length[k].append((owner, np.lib.stride_tricks.sliding_window_view(ids, k)))
         self.tables = []
-        for k, windows in sorted(by_length.items()):
-            grid = np.array(list(windows), dtype=np.int64).reshape(len(windows), k)
-            hashes = self.roll(grid.T)
+        for k, parts in sorted(by_length.items()):
+            grid = np.concatenate([w for _, w in parts])
+            owner = np.repeat(np.array([o for o, _ in parts], dtype=np.int32), [len(w) for _, w in parts])
+            windows, which = np.unique(grid, axis=0, return_inverse=True)
+            hashes = self.roll(windows.T)
             order = np.argsort(hashes, kind="stable")
-            owners = list(windows.values())
-            self.tables.append((k, hashes[order], grid[order], [sorted(owners[i]) for i in order]))
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            held = np.unique(np.stack([place[which.ravel()], owner], axis=1), axis=0)
+            self.tables.append((k, hashes[order], windows[order], np.searchsorted(held[:, 0], np.arange(len(order) + 1)), held[:, 1].astype(np.int32)))
 
     @staticmethod
     def roll(columns: np.ndarray) -> np.ndarray:
@@ -81,11 +88,11 @@ class WindowIndex:
             out = out * np.uint64(_MULTIPLIER) + c.astype(np.uint64)
         return out
 
-    def hits(self, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int, list[list[str]]]]:
-        """(positions, windows, length, owners) of all verified occurrences in ids; 0 is no benchmark word."""
+    def hits(self, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+        """(positions, windows, length, offsets, owners) of all verified occurrences in ids; 0 is no benchmark word."""
         known = np.concatenate(([0], np.cumsum(ids > 0)))
         found = []
-        for k, hashes, grid, owners in self.tables:
+        for k, hashes, grid, offsets, owners in self.tables:
             if len(ids) < k:
                 continue
             at = np.flatnonzero(known[k:] - known[:-k] == k)
@@ -98,7 +105,7 @@ class WindowIndex:
                 rows = lo[some] + step
                 same = (np.stack([ids[at[some] + j] for j in range(k)], axis=1) == grid[rows]).all(axis=1)
                 if same.any():
-                    found.append((at[some][same], rows[same], k, owners))
+                    found.append((at[some][same], rows[same], k, offsets, owners))
         return found
 
 
@@ -112,27 +119,32 @@ def _scan(index: WindowIndex, texts: list[bytes], cut: bool) -> list[dict]:
     ids = np.array(pieces, dtype=np.int64)
     starts = np.concatenate(([0], np.cumsum(np.array(sizes, dtype=np.int64) + 1)))
     edge, items = np.zeros(len(ids) + 1, dtype=np.int64), defaultdict(set)
-    for at, rows, k, owners in index.hits(ids):
+    for at, rows, k, offsets, owners in index.hits(ids):
         np.add.at(edge, at, 1)
         np.add.at(edge, at + k, -1)
-        for doc, row in zip((np.searchsorted(starts, at, "right") - 1).tolist(), rows.tolist(), strict=True):
-            items[doc].update(owners[row])
+        met = np.unique(np.stack([np.searchsorted(starts, at, "right") - 1, rows], axis=1), axis=0)
+        for doc, row in met.tolist():
+            items[doc].update(owners[offsets[row] : offsets[row + 1]].tolist())
     hit = np.cumsum(edge[:-1]) > 0
-    below = np.concatenate(([0], np.cumsum(hit)))
     out = []
     for doc, (n, text) in enumerate(zip(sizes, texts, strict=True)):
         first = int(starts[doc])
-        n_hit = int(below[first + n] - below[first])
-        row = {"n_words": n, "n_hit": n_hit, "n_items": len(items[doc]) if n_hit else 0, "items": sorted(items[doc]) if n_hit else [], "spans": []}
-        if n_hit:
-            marks = np.flatnonzero(np.diff(np.concatenate(([0], hit[first : first + n].astype(np.int8), [0])))).reshape(-1, 2)
-            row["spans"] = marks.tolist()
-        if cut:
-            row["clean_text"] = _without(text, row["spans"]).decode("utf-8", "replace") if n_hit else None
-        out.append(row)
+        named = {index.items[i] for i in items[doc]} - {None} if doc in items else ()
+        out.append(_line(text, n, hit[first : first + n], sorted(named), cut))
     return out
 
 
+def _line(text: bytes, n: int, hit: np.ndarray, items: list[str], cut: bool) -> dict:
+    """A document's report from the marks of its words."""
+    n_hit = int(hit.sum())
+    row = {"n_words": n, "n_hit": n_hit, "n_items": len(items), "items": items, "spans": []}
+    if n_hit:
+        row["spans"] = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).reshape(-1, 2).tolist()
+    if cut:
+        row["clean_text"] = _without(text, row["spans"]).decode("utf-8", "replace") if n_hit else None
+    return row
+
+
 def _without(text: bytes, spans: list[list[int]]) -> bytes:
     """text without the words of spans and what stands between them."""
     where = [m.span() for m in _WORD.finditer(text)]
@@ -145,11 +157,21 @@ def _without(text: bytes, spans: list[list[int]]) -> bytes:
 
 def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
     """item_id, k, window: the windows as text, words joined by a space."""
-    words = _words_column(F.col("text"))
-    items = benchmark.select("item_id", words.alias("w")).where(F.size("w") > 0)
-    k = F.least(F.lit(n), F.size("w"))
-    starts = F.sequence(F.lit(1), F.size("w") - k + 1)
-    return items.select("item_id", k.alias("k"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i, k), " "))).alias("window"))
+
+    def windows(batches):
+        for batch in batches:
+            owner = batch.column("item_id")
+            for first, texts in byte_chunks(batch.column("text")):
+                for i, text in enumerate(texts):
+                    words = split_words(text)
+                    k = min(n, len(words))
+                    count = len(words) - k + 1 if k else 0
+                    for at in range(0, count, 10_000):
+                        some = [b" ".join(words[j : j + k]).decode("utf-8", "replace") for j in range(at, min(at + 10_000, count))]
+                        owners = pa.array([owner[first + i].as_py()] * len(some), owner.type)
+                        yield pa.RecordBatch.from_arrays([owners, pa.array([k] * len(some), pa.int32()), pa.array(some, pa.string())], names=["item_id", "k", "window"])
+
+    return benchmark.select("item_id", "text").mapInArrow(windows, f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, k int, window string")
 
 
 def _words_column(text: Column) -> Column:
@@ -157,73 +179,120 @@ def _words_column(text: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, cut: bool = False, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items, spans (of word numbers, end exclusive) and, if cut, clean_text (null where nothing is cut)."""
+def _reported(docs: DataFrame, benchmark: DataFrame, n: int, cut: bool, max_windows: int) -> DataFrame:
+    """row (a struct of the columns of docs) and report (a struct of REPORT): no name of docs meets one of these."""
     bench = benchmark.select("item_id", "text")
-    size = bench.select(F.greatest(F.size(_words_column(F.col("text"))) - n + 1, F.lit(1)).alias("w")).agg(F.sum("w")).first()[0] or 0
-    keep = [c for c in docs.columns if c not in REPORT.names]
-    if size > max_windows:
-        return _by_join(docs.select(*keep), bench, n, cut)
-    spark = docs.sparkSession
-    index = spark.sparkContext.broadcast(WindowIndex([(r[0], r[1]) for r in bench.collect()], n))
+    words, size = bench.select(F.size(_words_column(F.col("text"))).alias("w"), F.octet_length("text").alias("b")).agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     fields = [f for f in REPORT.fields if cut or f.name != "clean_text"]
-    schema = T.StructType([docs.schema[c] for c in keep] + fields)
-    arrow = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64()))), ("clean_text", pa.string())])
-    arrow = pa.schema([arrow.field(f.name) for f in fields])
+    schema = T.StructType([*rows.schema.fields, T.StructField("report", T.StructType(fields))])
+    kind = pa.struct([_ARROW.field(f.name) for f in fields])
+    if words > max_windows or size > MAX_BYTES:
+        return _by_join(rows, bench, n, cut, schema, kind)
+    index = docs.sparkSession.sparkContext.broadcast(WindowIndex([(r[0], r[1]) for r in bench.collect()], n))
 
     def scan(batches):
         for batch in batches:
-            for first, texts in byte_chunks(batch.column("text")):
-                rows = pa.RecordBatch.from_pylist(_scan(index.value, texts, cut), schema=arrow)
-                part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, *rows.columns], names=[*part.schema.names, *rows.schema.names])
+            row = batch.column("row")
+            for first, texts in byte_chunks(row.field("text")):
+                yield pa.RecordBatch.from_arrays([row.slice(first, len(texts)), pa.array(_scan(index.value, texts, cut), kind)], names=["row", "report"])
 
-    return docs.select(*keep).mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, schema)
 
 
-def _by_join(docs: DataFrame, bench: DataFrame, n: int, cut: bool) -> DataFrame:
-    """The same report for a benchmark of any size: windows of both sides meet in a shuffle join."""
-    windows = benchmark_windows(bench, n)
-    lengths = F.array(*[F.lit(k) for k in range(1, n + 1)])
-    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # numbers hold only once written
-    worded = rows.select("_row", _words_column(F.col("text")).alias("w"))
-    grams = worded.select("_row", "w", F.explode(lengths).alias("k")).where(F.size("w") >= F.col("k"))
-    grams = grams.select("_row", "k", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.array_join(F.slice(F.col("w"), i, F.col("k")), " "))).alias("at", "window"))
-    hits = grams.join(windows, ["k", "window"])
-    marks = hits.groupBy("_row").agg(
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1))))).alias("marks"),
-    )
-    empty = F.array().cast("array<string>")
-    out = rows.join(marks, "_row", "left").withColumn("_marks", F.coalesce(F.col("marks"), F.array().cast("array<int>")))
-    first = F.filter(F.col("_marks"), lambda x: ~F.array_contains(F.col("_marks"), x - 1))
-    last = F.filter(F.col("_marks"), lambda x: ~F.array_contains(F.col("_marks"), x + 1))
-    out = out.select(
-        *docs.columns,
-        F.size(_words_column(F.col("text"))).cast("long").alias("n_words"),
-        F.size("_marks").cast("long").alias("n_hit"),
-        F.size(F.coalesce("items", empty)).cast("long").alias("n_items"),
-        F.coalesce("items", empty).alias("items"),
-        F.zip_with(first, last, lambda a, b: F.array(a.cast("long"), b.cast("long") + 1)).alias("spans"),
-    )
-    if cut:
+def _hashes(words: list[bytes], k: int) -> np.ndarray:
+    """A hash for each window of k words."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    out = np.full(max(0, len(h) - k + 1), k, dtype=np.uint64)
+    for j in range(k):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(_MULTIPLIER) + h[j : j + len(out)]
+    return (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _bits(hashes: np.ndarray) -> list[np.ndarray]:
+    """The places that windows have in the bitmap."""
+    return [((hashes >> np.uint64(64 - BITMAP_BITS - 8 * i)) & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64) for i in range(PROBES)]
 
-        @F.pandas_udf("string")
-        def without(texts, spans):
-            import pandas as pd
 
-            return pd.Series([_without(t.encode(), [list(x) for x in s]).decode("utf-8", "replace") if t and len(s) else None for t, s in zip(texts, spans, strict=True)], dtype=object)
+def _bitmap(windows: DataFrame) -> np.ndarray:
+    """2^BITMAP_BITS bits, those of the windows set; the driver receives that many bits at most."""
 
-        out = out.withColumn("clean_text", without("text", "spans"))
+    def places(batches):
+        for batch in batches:
+            for window, k in zip(batch.column("window").to_pylist(), batch.column("k").to_pylist(), strict=True):
+                at = np.concatenate(_bits(_hashes(window.encode().split(b" "), k)))
+                yield pa.RecordBatch.from_arrays([pa.array(at + 1, pa.int64())], names=["at"])  # buckets count from 1
+
+    parts = windows.mapInArrow(places, "at bigint").groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
+    for r in parts:
+        part = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        first = (r["b"] - 1) * len(part)
+        out[first : first + len(part)] |= part[: len(out) - first]
     return out
 
 
+def _by_join(rows: DataFrame, bench: DataFrame, n: int, cut: bool, schema: T.StructType, kind: pa.StructType) -> DataFrame:
+    """The same report for a benchmark of any size: windows of both sides meet in a shuffle join."""
+    owned = settle(benchmark_windows(bench, n), "windows")
+    windows = settle(owned.select("k", "window").distinct(), "windows")
+    lengths = [r["k"] for r in windows.select("k").distinct().orderBy("k").collect()]  # n at most
+    bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(windows))
+    numbered = settle(rows.withColumn("n", F.monotonically_increasing_id()), "numbered")  # numbers hold only once written
+
+    def grams(batches):
+        for batch in batches:
+            number = batch.column("n")
+            for first, texts in byte_chunks(batch.column("text")):
+                for i, text in enumerate(texts):
+                    words = split_words(text)
+                    out = []
+                    for k in lengths:
+                        hashes = _hashes(words, k)
+                        likely = np.ones(len(hashes), dtype=bool)
+                        for at in _bits(hashes):
+                            likely &= (bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                        out += [(int(at), k, b" ".join(words[at : at + k])) for at in np.flatnonzero(likely)]
+                    for at in range(0, len(out), 10_000):
+                        some = out[at : at + 10_000]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([number[first + i].as_py()] * len(some), pa.int64()), pa.array([x[0] for x in some], pa.int32()), pa.array([x[1] for x in some], pa.int32()), pa.array([x[2].decode("utf-8", "replace") for x in some], pa.string())],
+                            names=["n", "at", "k", "window"],
+                        )
+
+    found = numbered.select("n", F.col("row.text").alias("text")).mapInArrow(grams, "n bigint, at int, k int, window string")
+    hits = settle(found.join(windows, ["k", "window"]), "hits")
+    marks = hits.groupBy("n").agg(F.collect_list(F.struct("at", "k")).alias("marks"))  # a document's own words bound its marks
+    items = hits.select("n", "k", "window").distinct().join(owned, ["k", "window"]).groupBy("n").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    wide = numbered.join(marks, "n", "left").join(items, "n", "left").select("row", "marks", "items")
+
+    def report(batches):
+        for batch in batches:
+            row = batch.column("row")
+            for first, texts in byte_chunks(row.field("text")):
+                out = []
+                for i, text in enumerate(texts):
+                    marks, size = batch.column("marks")[first + i].as_py() or [], len(split_words(text))
+                    edge = np.zeros(size + 1, dtype=np.int64)
+                    np.add.at(edge, [m["at"] for m in marks], 1)
+                    np.add.at(edge, [m["at"] + m["k"] for m in marks], -1)
+                    out.append(_line(text, size, np.cumsum(edge[:-1]) > 0, batch.column("items")[first + i].as_py() or [], cut))
+                yield pa.RecordBatch.from_arrays([row.slice(first, len(texts)), pa.array(out, kind)], names=["row", "report"])
+
+    return wide.mapInArrow(report, schema)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, cut: bool = False, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """docs with n_words, n_hit, n_items, items, spans (of word numbers, end exclusive) and, if cut, clean_text (null where nothing is cut)."""
+    seen = _reported(docs, benchmark, n, cut, max_windows)
+    return seen.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in REPORT.names], "report.*")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, drop_share: float = DROP_SHARE, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs without benchmark passages: spans are cut out; a document that is benchmark text by drop_share or more goes. Columns and their order stay."""
-    rest = [c for c in docs.columns if c != "text"]
-    seen = contamination(docs.select(F.struct(*rest).alias("_row"), "text") if rest else docs, benchmark, n=n, cut=True, max_windows=max_windows)
-    kept = seen.where((F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words")))
-    return kept.select(*[F.coalesce("clean_text", "text").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    seen = _reported(docs, benchmark, n, True, max_windows)
+    kept = seen.where((F.col("report.n_hit") == 0) | (F.col("report.n_hit") < drop_share * F.col("report.n_words")))
+    return kept.select(*[F.coalesce("report.clean_text", "row.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_benchmark_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -42,6 +42,29 @@ def test_a_large_benchmark_goes_through_the_join(spark, table, passages, odd):
     assert pick(decontaminate.contamination(d, b, cut=True)) == pick(decontaminate.contamination(d, b, cut=True, max_windows=0))
 
 
+def test_the_join_cuts_alike_and_lets_clashing_columns_pass(spark, table, passages, odd):
+    docs, items = passages
+    d, b = table(docs + odd), table(items, "item_id bigint, text string")
+    for name in ("_row", "_marks", "row", "marks", "at", "k", "window", "n", "report", "spans"):
+        d = d.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    for limit in (0, decontaminate.MAX_WINDOWS):
+        out = decontaminate.decontaminate(d, b, max_windows=limit)
+        assert out.columns == d.columns
+        kept = rows(out)
+        if limit:
+            assert kept == before
+        before = kept
+    assert all(r.report == f"report{r.doc_id}" for r in out.collect() if r.doc_id is not None)
+    assert rows(decontaminate.contamination(d, b, max_windows=0).drop("items", "spans")) == rows(decontaminate.contamination(d, b).drop("items", "spans"))
+
+
+def test_bytes_bound_what_the_driver_takes(spark, table, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_BYTES", 10)
+    monkeypatch.setattr(decontaminate, "WindowIndex", None)  # never built
+    got = rows(decontaminate.op1_benchmark_decontamination(table([(1, "a " + "w" * 50)]), table([(7, "W" * 50)], "item_id bigint, text string")))
+    assert got == [(1, 2, 1, 1, hashlib.sha256(b"7").hexdigest(), True)]
+
+
 def test_spans_go_and_clean_documents_stay(spark, table, passages, words):
     docs, items = passages
     out = {r.doc_id: r.text for r in decontaminate.decontaminate(table(docs), table(items, "item_id bigint, text string")).collect()}
