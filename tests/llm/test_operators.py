@@ -420,6 +420,46 @@ def test_shards_are_near_equal_and_gapless(spark, table, words, odd, hot):
     assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
 
 
+def near_equal(got, shards=8, slack=0.002):
+    total, largest = sum(r.size for r in got), max(r.size for r in got)
+    for s in range(shards):
+        mine = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in mine) == list(range(len(mine)))
+        assert abs(sum(r.size for r in mine) - total / shards) <= slack * total / shards + 2 * largest
+
+
+def test_any_ids_shard_alike(spark, table, words):
+    wide = [-(1 << 63), (1 << 63) - 1, -1, 0, 1, None, 1 << 62]
+    docs = [((i * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63), "hot text of many rows") for i in range(600)]
+    docs += [(i, words(7, 9)) for i in wide] + [(1 << 40 | i, words(i, 20)) for i in range(100)] + [(None, "null id")] * 3
+    got = sharding.op9_sharding(table(docs)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in docs)
+    near_equal(got)
+
+
+def test_repeated_rows_fill_shards_evenly(spark, table, words):
+    docs = [(1, "x" * 9)] * 400 + [(i, words(i, 3)) for i in range(2, 4)]
+    got = sharding.op9_sharding(table(docs)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in docs)
+    near_equal(got)
+
+
+def test_chunks_follow_the_bytes(spark, table, words, odd, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK_BYTES", 500)
+    docs = [(i, words(i, 5 + i * 37 % 120)) for i in range(300)] + [(1000 + i, words(1, 60)) for i in range(200)] + odd
+    got = sharding.op9_sharding(table(docs)).collect()
+    assert len(got) == len(docs)
+    near_equal(got)
+
+
+def test_chunks_are_counted_by_search():
+    keys = sharding._Keys(-5, 1 << 40, True)
+    r = random.Random(3)
+    for depth in (16, 60, 70, keys.bits):
+        x = r.getrandbits(depth)
+        assert keys.number(list(keys.fields(x, depth)), depth) == x
+
+
 def test_few_rows_and_none(spark, table):
     assert sharding.op9_sharding(table([])).count() == 0
     got = sharding.op9_sharding(table([(1, "a"), (1, "a"), (2, None)])).collect()
