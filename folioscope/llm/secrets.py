@@ -2,7 +2,8 @@
 
 Method. One automaton holds every rule's keyword; a single pass over a text's lower-cased form (A-Z only, so positions
 stay) gives keyword hits. At each hit the rule's expression is tried at that one place and nowhere else. Rules that carry
-their own checksum (CRC-32 in base 62, mod-97, Luhn-like) keep a match only if it holds. Long hexadecimal runs have no
+their own check (CRC-32 in base 62, mod-97, JSON of a web token) keep a match only if it holds. A web token's parts have no
+bound, so a run of its letters is split once, however often its keyword stands in it. Long hexadecimal runs have no
 keyword; a bounded expression finds them in one linear pass.
 
 Defined results. Null text counts as empty; an empty text has no spans. A kind's matches are leftmost and don't overlap;
@@ -36,6 +37,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _FORGE = re.compile(r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _REGISTRY = re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _JWT = re.compile(r"eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{16,}")
+_JWT_RUN, _JWT_REST = re.compile(r"[0-9A-Za-z_-]*"), re.compile(r"\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{16,}")
 _CHAT = re.compile(r"xox[abprs]-[0-9]{8,14}-[0-9A-Za-z-]{16,}")
 _KEY = re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----")
 _IBAN = re.compile(r"IBAN[:\x20]{0,3}([A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![A-Z0-9])")
@@ -110,8 +112,12 @@ def find(raw: bytes) -> list[tuple[int, int, str]]:
     out = [(*m.span(), "hex") for m in _HEX.finditer(text)]
     for kind, places in starts.items():
         _, pattern, keep = RULES[kind]
-        free = 0
+        free = run = 0
         for at in sorted(set(places)):
+            if kind == "jwt" and at >= max(free, run):
+                run = _JWT_RUN.match(text, at).end()
+                if not _JWT_REST.match(text, run):
+                    free = run  # nothing that starts in this run can match
             if at >= free and (m := pattern.match(text, at)):
                 free = m.end()  # a match that fails its test still takes its place
                 if keep(m):

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats and empty tables."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -482,6 +483,24 @@ def test_base_spans_are_the_brute_force_ones(spark, table, words, odd):
     assert secrets.op10_secret_scan(table([])).count() == 0
 
 
+def test_web_tokens_in_linear_time_and_as_by_the_expression():
+    import time
+
+    for text in ("eyJ" * 400_000, "EYJa" * 300_000 + ".eyJabcdefgh." + "x" * 20, ("eyJ" * 100_000 + ".") * 3, "AKIA" * 250_000, "token " * 170_000, "xoxb-" * 200_000, "IBAN" * 250_000):
+        began = time.perf_counter()
+        secrets.find(text.encode())
+        assert time.perf_counter() - began < 3
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    good = f"{part('{\"alg\":\"none\"}')}.{part('{\"sub\":\"1234\"}')}.{'s' * 20}"
+    r = random.Random(2)
+    bits = [good, "eyJ", "eyj", ".", "abcdefgh", " ", "eyJabcdefgh.eyJabcdefgh." + "s" * 16, good[:-15]]
+    for _ in range(500):
+        text = "".join(r.choice(bits) for _ in range(r.randint(1, 9)))
+        want = [m.span() for m in secrets._JWT.finditer(text) if secrets._jwt_holds(m)]
+        assert [(a, b) for a, b, k in secrets.find(text.encode()) if k == "jwt"] == want
+    assert any(k == "jwt" for _, _, k in secrets.find(good.encode()))
+
+
 def test_checksums_decide(spark, table):
     good = crc_token("ghp_", "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5")
     bad = good[:-1] + ("0" if good[-1] != "0" else "1")
