@@ -7,9 +7,10 @@ node, feature and bin; the driver sees only these sums, picks each node's split
 which scores all urls in one projection. Sums are exact, so the trees don't depend on how rows are dealt.
 
 Features: lengths of url, host, path and query, depth, host labels, longest label, hyphens, share of digits in url and
-host, entropy of url and host, parameters, scheme, file suffix, and of the host's last label its share of blocked
-labelled urls (smoothed towards one half) and its frequency. Blocked and allowed urls weigh the same in total, so that the
-rules' preference decides nothing where the features say nothing.
+host, entropy of url and host, parameters, scheme, file suffix, and of the host's last label its share of blocked urls among
+all labelled ones (smoothed towards one half) and its frequency there. These statistics are a table with a row a suffix,
+joined to the urls. Blocked and allowed urls weigh the same in total, so that the rules' preference decides nothing where
+the features say nothing.
 
 Defined results. A null url, or one without `://`, has an empty host and path and no rule; the trees judge it as the
 text it is. An empty path fits no rule, since rules' paths begin with a slash. Without any labelled url, or with labels
@@ -30,8 +31,8 @@ from .common import discard, settle
 #: (action, host, path): fixed by the contract of op7.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 TRAIN_ROWS, BINS, TREES, DEPTH, RATE, RIDGE, UNIT = 8192, 16, 8, 3, 0.4, 1.0, 1_000_000
-#: Suffixes with statistics of their own: the most frequent ones; the rest share the prior.
-SUFFIXES = 64
+#: Files of the sample's tables.
+FILES = 4
 
 FEATURES = (
     "url_length", "host_length", "path_length", "query_length", "depth", "labels", "longest_label", "hyphens", "digit_share", "host_digit_share", "entropy", "host_entropy",
@@ -91,14 +92,11 @@ def lexical(parsed: DataFrame) -> DataFrame:
 class Forest:
     base: float
     trees: list[str]
-    suffixes: list[tuple[str, float, float]]
-    prior: float
+    suffixes: DataFrame  # suffix, suffix_blocked, suffix_log
 
     def with_suffix(self, df: DataFrame) -> DataFrame:
-        blocked, often = F.lit(self.prior), F.lit(0.0)
-        for name, rate, log in self.suffixes:
-            blocked, often = F.when(F.col("suffix") == name, rate).otherwise(blocked), F.when(F.col("suffix") == name, log).otherwise(often)
-        return df.withColumn("suffix_blocked", blocked).withColumn("suffix_log", often)
+        """df with the statistics of its suffixes; one that no labelled url has is half blocked and never seen."""
+        return df.join(self.suffixes, "suffix", "left").fillna({"suffix_blocked": 0.5, "suffix_log": 0.0})
 
     def margin(self) -> Column:
         return F.expr(" + ".join([f"{self.base!r}D", *self.trees]))
@@ -122,20 +120,20 @@ def _pick(sums: dict, node: int) -> tuple[float, int, int] | None:
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
     """Trees from labelled: the columns of lexical() and blocked (0 or 1)."""
-    n = labelled.count()
-    share = min(1.0, rows / max(1, n))
-    some = labelled.where(F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    plain = settle(some.select(*FEATURES[:-2], "suffix", "blocked"), "urls")
-    by_suffix = plain.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("b")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
-    total, bad = plain.agg(F.count(F.lit(1)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
-    both = total and 0 < bad < total
+    counts = settle(labelled.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("b")), "suffixes")
+    total, bad = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    both = 0 < bad < total
     heavy, light = (total / (2 * bad), total / (2 * (total - bad))) if both else (1.0, 1.0)  # both kinds count the same
-    rate = lambda r: (heavy * r["b"] + 10) / (heavy * r["b"] + light * (r["n"] - r["b"]) + 20)
-    base = 0.0 if both else 4.0 if total and bad else -4.0
-    forest = Forest(base, [], [(r["suffix"], round(rate(r), 6), round(math.log1p(r["n"]), 6)) for r in by_suffix], 0.5)
+    blocked = (heavy * F.col("b") + 10) / (heavy * F.col("b") + light * (F.col("n") - F.col("b")) + 20)
+    suffixes = counts.select("suffix", F.round(blocked, 6).alias("suffix_blocked"), F.round(F.log1p("n"), 6).alias("suffix_log"))
+    forest = Forest(0.0 if both else 4.0 if total and bad else -4.0, [], suffixes)
     if both:
-        full = forest.with_suffix(plain)
+        share = min(1.0, rows / total)
+        some = labelled.where(F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        full = settle(forest.with_suffix(some.select(*FEATURES[:-2], "suffix", "blocked")).select(*FEATURES, "blocked").coalesce(FILES), "urls")
         cuts = full.agg(*[F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 10_000).alias(f) for f in FEATURES]).first()
+        if cuts[FEATURES[0]] is None:  # a sample of a few rows can be empty
+            return forest
         seen = [sorted({float(x) for x in cuts[f]}) for f in FEATURES]
         edges = [[(a + b) / 2 for a, b in pairwise(v)] for v in seen]  # half-way, so that values in between go to the nearer side
         below = lambda f, cuts: F.size(F.filter(F.array(*[F.lit(e) for e in cuts]), lambda e: e < F.col(f)))
@@ -145,7 +143,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
         for _ in range(TREES):
             forest.trees.append(_tree(data, forest, edges))
         discard(data)
-    discard(plain)
+        discard(full)
     return forest
 
 
