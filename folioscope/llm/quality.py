@@ -148,7 +148,10 @@ def fit(stats: DataFrame, labels: DataFrame, remainder: int = 2) -> Model:
             ridge[0, 0] = 0
             return np.linalg.solve(a + ridge + 1e-9 * np.eye(wide), sums[-wide:])
 
-        parts = rows.mapInArrow(equations, "sums binary").repartition(4).mapInArrow(added, "sums binary").collect()
+        sums = rows.mapInArrow(equations, "sums binary")
+        for tasks in _levels(len(rows.inputFiles())):
+            sums = sums.repartition(tasks).mapInArrow(added, "sums binary")
+        parts = sums.collect()
         folds = np.sum([np.frombuffer(bytes(r[0])) for r in parts], axis=0).reshape(FOLDS, size)
         model.weights = solved(folds.sum(axis=0))
         without = np.stack([solved(folds.sum(axis=0) - f) for f in folds])  # a row is judged by the sums of the other folds
@@ -165,6 +168,14 @@ def fit(stats: DataFrame, labels: DataFrame, remainder: int = 2) -> Model:
     return model
 
 
+def _levels(parts: int) -> list[int]:
+    """Tasks of each round of adding: a sixteenth of the round before, down to four."""
+    out = [max(4, -(-parts // 16))]
+    while out[-1] > 4:
+        out.append(max(4, -(-out[-1] // 16)))
+    return out
+
+
 def pooled(bins: list[tuple[float, int, float]]) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression by pooling adjacent violators: the first and last score of each pool, and its share of good rows."""
     pools: list[list[float]] = []
