@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,22 +45,50 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: the lineage ends at reliable files."""
+    """Writes df as a table in the shared folder and reads it again: the lineage ends at reliable files. The table goes with discard(), else when the driver ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    until_exit(spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._folioscope_path = path
     return back
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has a written path deleted when the driver ends, or by scratch()."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    for paths in _OPEN:
+        paths.append(path)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that settle() wrote, once nothing that is still to run reads it."""
     path = getattr(df, "_folioscope_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the tables that settle() wrote within it, but for those that the caller takes from the list."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.remove(paths)
+        for path in paths:
+            _delete(spark, path)
 
 
 def as_bytes(column: pa.Array) -> pa.Array:

@@ -281,9 +281,15 @@ def _across(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
 
 
 def deduplicate(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near duplicates of a smaller doc_id; documents without words stay. Columns and their order stay."""
-    drop = near_duplicates(docs, shingle=shingle, percent=percent).where("not kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """docs without near duplicates of a smaller doc_id; of rows that share doc_id and text one stays. Documents without words stay. Columns and their order stay."""
+    seen = settle(near_duplicates(docs, shingle=shingle, percent=percent).select("doc_id", "kept"), "kept")
+    ids = seen.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marked = settle(ids.where("not kept or n > 1"), "marked")
+    single = docs.join(marked.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    if marked.where("n > 1").isEmpty():
+        return single
+    repeated = docs.join(marked.where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 
 def op6_minhash_near_dedup(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LONG_WORD, Vocabulary, default_vocabulary, trim, vocabulary
-from .common import byte_chunks, scratch_path
+from .common import byte_chunks, scratch_path, until_exit
 
 #: Ids to a word and their bits, by selector; selector 15 is the escape.
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -296,6 +296,7 @@ def op8_token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     out = scratch_path(spark, "tokens")
     write_token_files(docs, out, path=path)
+    until_exit(spark, out)
     totals = spark.read.schema(BLOCK).parquet(out).groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()
     before, total = [], 0  # one entry a part: as many as there are tasks, not rows
     for r in totals:

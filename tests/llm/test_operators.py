@@ -196,6 +196,13 @@ def test_ids_read_back_as_text():
     assert v.text(np.frombuffer(v.encode("Über the Hill"), "<u4").tolist()) == "über the hill"
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=40), max_size=5))
+def test_any_texts_go_to_files_as_the_library_encodes_them(texts):
+    for text, ids in zip(texts, tokenfiles._encoder(bpe.default_vocabulary(), "<u4").encode(texts), strict=True):
+        assert hashlib.sha256(ids).hexdigest() == bpe.library_answer(text)[1]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 70_000), st.integers(0, 2**64 - 1)), max_size=300))
 def test_simple8b_round_trip(values):
@@ -349,6 +356,29 @@ def test_null_ids_and_empty_tables(spark, table):
     assert neardup.op6_minhash_near_dedup(table([])).count() == 0
 
 
+def test_no_pair_near_the_threshold_is_missed(spark, words):
+    docs, r = [], random.Random(11)
+    for g in range(1500):  # pairs of a similarity of 0.85 to 0.87, and no links between pairs
+        n = 40 + g % 60
+        a = words(50_000 + g, n + 2).split()
+        b = list(a)
+        while True:
+            b[r.randrange(len(b))] = f"z{r.randrange(10**6)}"
+            x, y = ({tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (a, b))
+            if 100 * len(x & y) < 87 * len(x | y):
+                break
+        if 100 * len(x & y) >= 85 * len(x | y):
+            docs += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(b))]
+    assert len(docs) > 800
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), shingle=3, percent=85).collect()}
+    assert all(got[i] == i // 2 * 2 for i, _ in docs)
+
+
+def test_of_repeated_rows_one_stays(spark, table, words):
+    docs = table([(1, words(1, 30))] * 4 + [(2, words(1, 30)), (3, words(3, 30)), (3, words(4, 30)), (None, "x"), (None, "x")])
+    assert rows(neardup.deduplicate(docs).select("doc_id", "text")) == sorted([(1, words(1, 30)), (3, words(3, 30)), (3, words(4, 30)), (None, "x"), (None, "x")], key=repr)
+
+
 def test_sketches_fill_and_estimate():
     r = np.random.default_rng(2)
     for n in (1, 2, 7, 50, 400):
@@ -400,6 +430,7 @@ def test_trees_learn_their_labels_and_need_none(spark):
     out = urlfilter.filter_urls(df, rules).collect()
     assert all((r.block_score > 0.5) == (r.verdict == "block") for r in out)
     assert {r.verdict for r in urlfilter.filter_urls(df, (("block", "nowhere", "/"),)).collect()} == {"allow"}
+    assert {r.verdict for r in urlfilter.filter_urls(df, (("block", "com", "/"),)).collect()} == {"block"}
     assert urlfilter.op7_url_filter(df.limit(0)).count() == 0
     plan = urlfilter.op7_url_filter(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

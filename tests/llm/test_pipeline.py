@@ -48,5 +48,37 @@ def test_stages_one_by_one(spark, corpus):
 
 
 def test_run_is_the_stages_in_turn(spark, corpus):
+    from pathlib import Path
+
+    from folioscope.llm.common import shared_dir
+
+    folder = Path(f"{shared_dir(spark)}/folioscope")
+    before = {x.name for x in folder.iterdir()} if folder.exists() else set()
     out = cp.run(spark, corpus)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() > 100
+    left = {x.name for x in folder.iterdir()} - before
+    assert len(left) == 1 and left.pop().startswith("stage-byte-pair")
+
+
+@pytest.mark.parametrize("case", ["empty", "no benchmark", "repeats", "clashes"])
+def test_odd_tables_run(spark, words, tmp_path, case):
+    docs = [] if case == "empty" else [(i, words(i, 40) + ".", "en", "s", 1) for i in range(12)] + [(None, words(99, 30), None, None, None)]
+    if case == "repeats":
+        docs += [docs[1]] * 5 + [(1, words(77, 40), "en", "s", 1)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(2)
+    if case == "clashes":
+        from pyspark.sql import functions as F
+
+        for name in ("score", "kept", "_row", "_text", "row", "report", "n", "k", "items", "entities", "class", "key", "ids", "keys"):
+            table = table.withColumn(name, F.lit(name))
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    bench = [] if case == "no benchmark" else [(1, words(900, 30))]
+    spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs_ = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        docs_ = stage(spark, docs_, str(tmp_path))
+        assert docs_.columns == table.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in cp.run(spark, str(tmp_path)).collect())
+    want = [(False, i) for i in range(12)] * (case != "empty") + [(True, 0)] * (case != "empty")
+    assert got == sorted(want + [(False, 1)] * (case == "repeats"))
