@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope import importable
 from folioscope.llm import bpe, decontaminate, neardup, pii, quality
-from folioscope.llm.common import settle, table
+from folioscope.llm.common import discard, scratch, settle, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One document, that of the smallest doc_id, of each group of near duplicates: five-word shingles, similarity 0.8. Repeated rows count as copies."""
     return neardup.deduplicate(docs, shingle=5, percent=80)
 
 
@@ -58,5 +58,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        with scratch(spark) as tables:  # a stage's own tables go once its result is written
+            done = settle(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+            tables.remove(done._folioscope_path)
+        discard(docs)
+        docs = done
     return docs
