@@ -104,6 +104,39 @@ def test_top_k_is_exact_with_ties_and_bad_rows(spark):
     assert rows(topk.op2_exact_top_k(df)) == exact(vectors)
 
 
+def test_top_k_over_many_cells_groups_and_blocks(spark, monkeypatch):
+    for name, value in (("CELL", 100), ("BLOCK", 64), ("QUERY_GROUP", 4), ("LEAF", 16), ("HELD", 300), ("BUCKET_BYTES", 4096), ("KEPT_QUERIES", 8), ("KEPT_VECTORS", 128), ("STEP", 100)):
+        monkeypatch.setattr(topk, name, value)
+    r = np.random.default_rng(9)
+    centres = r.normal(0, 1, (5, 12))
+    vectors = [(i * 10, (centres[i % 5] * (1 + i % 3) + r.normal(0, 0.05, 12)).tolist()) for i in range(600)] + [(7000 + i, r.normal(0, 1, 12).tolist()) for i in range(300)]
+    vectors += [(100, vectors[10][1])] * 3 + [(8000 + i, [1.0] * 3) for i in range(30)]  # repeated rows, short vectors
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").repartition(3)
+    padded = [(i, v + [0.0] * (12 - len(v))) for i, v in vectors]
+    ids = np.array([i for i, _ in padded])
+    m = np.floor(1024 * np.array([v for _, v in padded]))
+    want = []
+    for q in sorted({i for i in ids.tolist() if i % 100 == 0}):
+        s = m @ m[np.flatnonzero(ids == q)[0]]
+        order = [j for j in np.lexsort((ids, -s)).tolist() if ids[j] != q][:10]
+        want += [(q, n, int(ids[j]), int(s[j])) for n, j in enumerate(order, 1)]
+    assert rows(topk.op2_exact_top_k(df)) == sorted(want, key=repr)
+
+
+def test_top_k_of_large_numbers_is_exact(spark):
+    r = np.random.default_rng(4)
+    v = r.integers(10**8 - 50, 10**8, (120, 7))
+    rows_ = [(i * 20, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows_, "id bigint, v array<bigint>")
+    want = []
+    for q in range(0, 2400, 100):
+        best = sorted((-sum(a * b for a, b in zip(v[q // 20].tolist(), x, strict=True)), i) for i, x in rows_ if i != q)[:10]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert rows(topk.top_inner_products(df, df.where("id % 100 = 0"))) == sorted(want, key=repr)
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_inner_products(spark.createDataFrame([(0, [1 << 40])], "id bigint, v array<bigint>"), df)
+
+
 def test_top_k_with_few_candidates_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (100, [1.0, 2.0]), (7, [3.0, 0.0])], "vec_id bigint, embedding array<float>")
     assert rows(topk.op2_exact_top_k(df)) == exact([(0, [1, 2]), (100, [1, 2]), (7, [3, 0])])
