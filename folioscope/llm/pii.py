@@ -1,13 +1,16 @@
 """Personal data: surrogates in place of detected entities. DataFrame and SQL functions only.
 
 Method. One expression finds e-mail addresses, IBANs, card and account numbers, social security numbers, phone numbers,
-IPv4 addresses and names after an honorific. An entity has a type and a canonical form (digits of a phone number, a name's
-single words, ...), and its surrogate is a keyed function of type and form alone: the same entity gets the same surrogate
-in every document, in whatever notation. Number types go through a four-round Feistel permutation of their digits, which
-can't map two numbers of a format to one; card numbers keep their first digit and get a new check digit, IBANs keep their
-country and get new check digits, phone numbers their country code, addresses four octets, e-mail addresses their top
-domain (and people of one domain stay together). Given names rotate within a list of the same gender and script; other
-names are composed of syllables in the name's script. Letters, digits and separators stay where they were.
+IPv4 addresses and names after an honorific; where a document has such names, their words are also found when they stand
+alone in it. An entity has a type and a canonical form (digits of a phone number, a name's single words, ...), and its
+surrogate is a keyed function of type and form alone: the same entity gets the same surrogate in every document, in
+whatever notation and place. Number types go through a four-round Feistel permutation of their digits, which can't map two
+numbers of a format to one; card numbers keep their first digit and get a new check digit, account numbers walk on until
+they fail the cards' check, IBANs keep their country and get new check digits, phone numbers their country code, addresses
+four octets, e-mail addresses their top domain (and people of one domain stay together). Listed given names rotate within
+the list of their gender and script; other words of names are composed of syllables in the word's script (Latin, Cyrillic,
+Greek, Armenian; words of other scripts get Latin ones) and keep the class of their ending, which tells the gender where
+anything does. Letters, digits, separators, hyphens and the case of e-mail addresses stay where they were.
 
 Collision checks run over the distinct entities of the whole corpus: an entity whose surrogate equals another's, or equals
 an entity that really occurs, tries the next key of its own until none is left. From the WIDEN-th key on a surrogate also
@@ -16,8 +19,9 @@ of a domain); IPv4 addresses can't grow. Collisions that ATTEMPTS keys leave are
 ever need a second key; up to LITERAL_LIMIT of them travel as a literal, more by a join on the text's digest.
 
 Defined results. Null and empty texts stay as they are. Texts without entities stay byte for byte. Number runs that fail
-their checksum: IBAN-like strings stay, runs of 13 to 19 digits count as account numbers. Repeated rows get equal texts.
-Extra columns pass through; a column named `entities` is replaced where entities are asked for. Empty tables stay empty.
+their checksum: IBAN-like strings stay, runs of 13 to 19 digits count as account numbers. A name is up to 16 capitalised
+words; bare mentions are whole words, before or after the name. Repeated rows get equal texts. Extra columns pass through;
+a column named `entities` is replaced where entities are asked for. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -49,7 +53,8 @@ HONORIFICS = {
     "n": ("Dr", "Prof"),
 }
 _TITLE = "|".join(sorted((t for ts in HONORIFICS.values() for t in ts), key=len, reverse=True))
-_PERSON = rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?:[ -]\p{{Lu}}\p{{Ll}}{{1,30}}){{0,2}}(?![\p{{L}}])"
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}{1,30}(?:\p{Lu}\p{Ll}{1,30})?"
+_PERSON = rf"(?<![\p{{L}}])(?:{_TITLE})\.? {_NAME}(?:[ -]{_NAME}){{0,15}}(?![\p{{L}}])"
 PATTERN = "|".join((_EMAIL, _IBAN, _NUMBER, _SSN, _PHONE, _IPV4, _PERSON))
 
 #: Given names that rotate, by gender and script.
@@ -59,6 +64,17 @@ GIVEN = {
     ("m", "cyrillic"): "Иван Пётр Сергей Андрей Алексей Дмитрий Николай Михаил Павел Юрий Олег Игорь".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Людмила Галина Нина Вера".split(),
 }
+#: Consonants and vowels of composed names by script, endings of women's names, and what closes other names.
+SYLLABLES = {
+    "latin": ("bcdfghjklmnprstv", "aeiou", "a", "n"),
+    "cyrillic": ("бвгджзклмнпрстфх", "аеиоу", "ая", "н"),
+    "greek": ("βγδζθκλμνπρστφχψ", "αειου", "αη", "ς"),
+    "armenian": ("բգդզթլխկհմնպսվտր", "աեիու", "ա", "ն"),
+}
+#: Country codes of one and two digits; all others have three.
+COUNTRY = "(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
+#: Steps that an account number may walk until it fails the cards' check: nine in ten numbers do.
+WALK = 40
 KINDS = ("email", "iban", "card", "account", "ssn", "phone", "ipv4", "person")
 
 
@@ -94,29 +110,31 @@ def kind(m: str) -> str:
 
 
 def _code(m: str) -> str:
-    """The country code of a phone number as written, '' without one."""
-    return f"if(startswith({m}, '+'), regexp_extract({m}, '^[+]([0-9]{{1,3}})(?=[^0-9])', 1), '')"
+    """The country code of a phone number, as written apart or by the list of codes; '' without a plus sign."""
+    apart = f"regexp_extract({m}, '^[+]([0-9]{{1,3}})(?=[^0-9])', 1)"
+    return f"if(startswith({m}, '+'), if({apart} <> '', {apart}, regexp_extract({m}, {_q('^[+]' + COUNTRY)}, 1)), '')"
 
 
-def _gender(m: str) -> str:
-    first = f"regexp_replace(substring_index({m}, ' ', 1), '[.]$', '')"
-    return f"CASE WHEN {first} IN ({', '.join(map(_q, HONORIFICS['m']))}) THEN 'm' WHEN {first} IN ({', '.join(map(_q, HONORIFICS['f']))}) THEN 'f' ELSE 'n' END"
+def _rest(m: str) -> str:
+    """A name without its honorific; a bare word is all of itself."""
+    return f"substr({m}, locate(' ', {m}) + 1)"
 
 
 def _names(m: str) -> str:
     """The words of a name after the honorific."""
-    return f"split(substr({m}, locate(' ', {m}) + 1), '[ -]')"
+    return f"split({_rest(m)}, '[ -]')"
 
 
 def _script(word: str) -> str:
-    return f"if(rlike({word}, '^[\\\\p{{IsCyrillic}}]'), 'cyrillic', 'latin')"
+    cases = " ".join(f"WHEN rlike({word}, '^\\\\p{{Is{name.title()}}}') THEN '{name}'" for name in SYLLABLES if name != "latin")
+    return f"CASE {cases} ELSE 'latin' END"
 
 
 def entities(m: str, k: str) -> str:
     """SQL for array<struct<type, form>>: the entities of a match m of kind k."""
     d = _digits(m)
     one = lambda form: f"array(named_struct('type', {k}, 'form', {form}))"
-    words = f"transform({_names(m)}, (w, i) -> named_struct('type', concat(if(i = 0 AND size({_names(m)}) > 1, concat('given-', {_gender(m)}), 'surname'), '-', {_script('w')}), 'form', w))"
+    words = f"transform({_names(m)}, w -> named_struct('type', concat('name-', {_script('w')}), 'form', w))"
     return f"""CASE {k} WHEN 'email' THEN {one(f'lower({m})')} WHEN 'iban' THEN {one(f"replace({m}, ' ', '')")} WHEN 'ipv4' THEN {one(m)}
       WHEN 'phone' THEN {one(f"concat({_code(m)}, '.', substr({d}, length({_code(m)}) + 1))")} WHEN 'person' THEN {words} ELSE {one(d)} END"""
 
@@ -167,11 +185,23 @@ def _syllables(seed: str, script: str, more: str) -> str:
     """Three syllables and up to five more, the first letter a capital."""
     h = lambda i: f"cast(conv(substr({seed}, {i}, 2), 16, 10) as int)"
     out = []
-    for consonants, vowels in (("bcdfghjklmnprstv", "aeiou"), ("бвгджзклмнпрстфх", "аеиоу")):
+    for name, (consonants, vowels, *_) in SYLLABLES.items():
         parts = [f"substr({_q(s)}, {h(8 * k + j)} % {len(s)} + 1, 1)" for k in range(8) for j, s in ((1, consonants), (4, vowels))]
         longer = f"if({more} = 0, '', substr(concat({', '.join(parts[6:])}), 1, 2 * {more}))"
-        out.append(f"concat(upper({parts[0]}), {', '.join(parts[1:6])}, {longer})")
-    return f"if({script}, {out[1]}, {out[0]})"
+        out.append(f"WHEN '{name}' THEN concat(upper({parts[0]}), {', '.join(parts[1:6])}, {longer})")
+    return f"CASE {script} {' '.join(out)} END"
+
+
+def _composed(type_: str, form: str, seed: str, more: str) -> str:
+    """A word of syllables with the ending that its form has."""
+    script, last = f"substr({type_}, 6)", f"substr({form}, -1)"
+    cases = " ".join(f"WHEN '{name}' THEN if(contains('{women}', {last}), concat(substr(y, 1, length(y) - 1), '{women[0]}'), concat(y, '{closing}'))" for name, (_, _, women, closing) in SYLLABLES.items())
+    return f"transform(array({_syllables(seed, script, more)}), y -> CASE {script} {cases} END)[0]"
+
+
+def listed(type_: str, form: str) -> str:
+    """SQL: whether a word is a given name of the lists."""
+    return "(" + " OR ".join(f"{type_} = 'name-{script}' AND {form} IN ({', '.join(map(_q, names))})" for (_, script), names in GIVEN.items()) + ")"
 
 
 def surrogate(type_: str, form: str, attempt: str) -> str:
@@ -187,16 +217,16 @@ def surrogate(type_: str, form: str, attempt: str) -> str:
     card = f"transform(array({body}), y -> concat(y, {check}))[0]"
     account = f"transform(array({_pattern(longer(f'substr({form}, 5)', '0'), seed)}), y -> concat(substr({form}, 1, 2), lpad(cast(98 - {_mod97(f'concat(y, substr({form}, 1, 2), {chr(39)}00{chr(39)})')} as string), 2, '0'), y))[0]"
     phone = f"concat(split_part({form}, '.', 1), '.', {_feistel(longer(f'split_part({form}, {chr(39)}.{chr(39)}, 2)', '0'), *tag)})"
+    walked = f"aggregate(sequence(1, {WALK}), {_feistel(longer(form, '0'), *tag)}, (y, i) -> if({_luhn_sum('y')} % 10 = 0, {_feistel('y', *tag)}, y))"
     cases = [
-        f"WHEN {type_} = 'email' THEN {mail}", f"WHEN {type_} = 'iban' THEN {account}", f"WHEN {type_} = 'card' THEN {card}",
-        f"WHEN {type_} IN ('account', 'ssn') THEN {_feistel(longer(form, '0'), *tag)}", f"WHEN {type_} = 'phone' THEN {phone}", f"WHEN {type_} = 'ipv4' THEN {_octets(form, *tag)}",
+        f"WHEN {type_} = 'email' THEN {mail}", f"WHEN {type_} = 'iban' THEN {account}", f"WHEN {type_} = 'card' THEN {card}", f"WHEN {type_} = 'account' THEN {walked}",
+        f"WHEN {type_} = 'ssn' THEN {_feistel(longer(form, '0'), *tag)}", f"WHEN {type_} = 'phone' THEN {phone}", f"WHEN {type_} = 'ipv4' THEN {_octets(form, *tag)}",
     ]
     for (gender, script), names in GIVEN.items():
-        listed, n = f"array({', '.join(map(_q, names))})", len(names)
+        all_, n = f"array({', '.join(map(_q, names))})", len(names)
         shift = f"cast({_number(_q(gender), _q(script))} % {n - 1} as int)"
-        cases.append(f"WHEN {type_} IN ('given-{gender}-{script}', 'given-n-{script}') AND {more} = 0 AND array_contains({listed}, {form}) THEN element_at({listed}, cast((array_position({listed}, {form}) + {shift}) % {n} + 1 as int))")
-    ending = f"CASE WHEN {type_} = 'given-m-latin' THEN 'ro' WHEN {type_} = 'given-f-latin' THEN 'na' WHEN {type_} = 'given-m-cyrillic' THEN 'рий' WHEN {type_} = 'given-f-cyrillic' THEN 'на' ELSE '' END"
-    return f"CASE {' '.join(cases)} ELSE concat({_syllables(seed, f'endswith({type_}, {chr(39)}cyrillic{chr(39)})', more)}, {ending}) END"
+        cases.append(f"WHEN {type_} = 'name-{script}' AND {more} = 0 AND array_contains({all_}, {form}) THEN element_at({all_}, cast((array_position({all_}, {form}) + {shift}) % {n} + 1 as int))")
+    return f"CASE {' '.join(cases)} ELSE {_composed(type_, form, seed, more)} END"
 
 
 def _domain(form: str) -> str:
@@ -210,12 +240,19 @@ def _placed(m: str, s: str) -> str:
     return f"aggregate(transform(sequence(1, length({m})), i -> substr({m}, i, 1)), named_struct('o', '', 'i', 1), (t, c) -> {step}, t -> concat(t.o, substr({s}, t.i)))"
 
 
+def _cased(m: str, s: str) -> str:
+    """s with the capitals of m."""
+    return f"concat(array_join(transform(sequence(1, length({m})), i -> if(substr({m}, i, 1) <> lower(substr({m}, i, 1)), upper(substr({s}, i, 1)), substr({s}, i, 1))), ''), substr({s}, length({m}) + 1))"
+
+
 def _replaced(m: str, attempts: str | None) -> str:
     """SQL for what stands in place of a match m."""
     attempt = f"cast(coalesce(element_at({attempts}, concat(e.type, '|', e.form)), 0) as string)" if attempts else "'0'"
     found = f"transform({entities(m, 'k')}, e -> {surrogate('e.type', 'e.form', attempt)})"
-    name = f"concat(substr({m}, 1, locate(' ', {m})), array_join(s, ' '))"
-    one = f"CASE WHEN k IS NULL THEN {m} WHEN k = 'person' THEN {name} WHEN k IN ('email', 'ipv4') THEN s[0] ELSE {_placed(m, "replace(s[0], '.', '')")} END"
+    marks = f"regexp_extract_all({_rest(m)}, '[ -]', 0)"
+    name = f"concat(substr({m}, 1, locate(' ', {m})), array_join(zip_with(s, {marks}, (w, c) -> concat(w, coalesce(c, ''))), ''))"
+    halves = [_cased(f"substring_index({m}, '@', {i})", f"substring_index(s[0], '@', {i})") for i in (1, -1)]
+    one = f"CASE WHEN k IS NULL THEN {m} WHEN k = 'person' THEN {name} WHEN k = 'email' THEN concat({halves[0]}, '@', {halves[1]}) WHEN k = 'ipv4' THEN s[0] ELSE {_placed(m, "replace(s[0], '.', '')")} END"
     return f"transform(transform(array({kind(m)}), k -> named_struct('k', k, 's', {found})), x -> transform(array(x.k), k -> transform(array(x.s), s -> {one})[0])[0])[0]"
 
 
@@ -241,13 +278,17 @@ def collisions(found: DataFrame) -> DataFrame:
     named = lambda df: df.withColumn("surrogate", F.expr(surrogate("type", "form", "cast(attempt as string)")))
     state = settle(named(found.withColumn("attempt", F.lit(0))), "entities")
     real = found.select("type", F.col("form").alias("surrogate"), F.lit(True).alias("real"))
+    rotates = f"{listed('type', 'form')} AND attempt < {WIDEN}"
     for _ in range(ATTEMPTS):
-        first = state.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "form")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        twice = state.join(settle(first, "first"), ["type", "surrogate"]).where("form <> first.form").select("type", "form")
-        # given names rotate among themselves, so that a surrogate is a real name as a rule
-        taken = state.join(real, ["type", "surrogate"], "left_semi").where("not startswith(type, 'given-')").select("type", "form")
+        order = F.struct(F.expr(f"NOT ({rotates})").alias("free"), "attempt", "form")
+        first = settle(state.groupBy("type", "surrogate").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first")
+        twice = state.join(first, ["type", "surrogate"]).where("form <> first.form").select("type", "form")
+        # listed names rotate among themselves, so that a surrogate is a real name as a rule
+        taken = state.join(real, ["type", "surrogate"], "left_semi").where(f"NOT ({rotates})").select("type", "form")
         bad = settle(twice.union(taken).distinct(), "collisions")
+        discard(first)
         if bad.isEmpty():
+            discard(bad)
             return state.where("attempt > 0").select("type", "form", "attempt")
         again = state.join(bad.withColumn("again", F.lit(1)), ["type", "form"], "left")
         new = settle(named(again.select("type", "form", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))), "entities")
@@ -271,7 +312,11 @@ def replace_pii(docs: DataFrame, *, with_entities: bool = False) -> DataFrame:
     elif n:
         rows, attempts = _joined(rows, special), "_attempts"
     m = rows.withColumn("_m", _matches(F.col("_text")))
-    parts = F.split(F.col("_text"), PATTERN, -1)
+    # no other match is without digits and an at sign
+    m = m.withColumn("_words", F.expr(f"array_distinct(flatten(transform(filter(_m, m -> NOT rlike(m, '[0-9@]')), m -> {_names('m')})))"))
+    wider = F.concat(F.lit(f"{PATTERN}|(?<![\\p{{L}}])(?:"), F.array_join("_words", "|"), F.lit(")(?![\\p{L}])"))
+    m = m.withColumn("_m", F.when(F.size("_words") > 0, F.regexp_extract_all("_text", wider, F.lit(0))).otherwise(F.col("_m")))
+    parts = F.when(F.size("_words") > 0, F.split(F.col("_text"), wider, -1)).otherwise(F.split(F.col("_text"), PATTERN, -1))
     new = F.expr(f"transform(_m, m -> {_replaced('m', attempts)})")
     joined = F.array_join(F.concat(F.array(F.element_at(parts, 1)), F.flatten(F.zip_with(new, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda a, b: F.array(a, b)))), "")
     text = F.when(F.size("_m") > 0, joined).otherwise(F.col("_text"))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -281,7 +282,8 @@ def test_surrogates_keep_type_format_and_identity(spark, table, odd):
     assert out[5].text == texts[5] and "GB83 WEST 1234 5698 7654 32" in out[3].text
     assert {i: out[i].text for i in (9001, 9002, 9003, 9004)} == {i: t for i, t in odd if i in (9001, 9002, 9003, 9004)}
     mail = out[0].text.split("wrote ")[1].split(" from")[0]
-    assert mail in out[1].text and mail.endswith(".com") and len(mail) == len("joe.doe42@mail8.example.com")
+    local, host = mail.split("@")
+    assert f"{local.upper()}@{host}" in out[1].text and mail.endswith(".com") and len(mail) == len("joe.doe42@mail8.example.com")
     plain, spaced = out[1].text.split("card ")[1].split(" or ")
     assert plain == spaced.replace(" ", "") and luhn(plain) and plain[0] == "4"
     assert out[2].text.split("+1 ")[1].split(" or ")[0] == out[2].text.split(" or ")[1].split(";")[0]
@@ -332,6 +334,47 @@ def test_pii_collisions_that_stay_are_an_error(spark, monkeypatch):
         pii.collisions(spark.createDataFrame([("ipv4", "1.2.3.4"), ("ipv4", "1.2.3.5")], "type string, form string"))
 
 
+def test_surrogates_are_the_plain_ones(spark, table, odd):
+    import plain_pii
+
+    r = random.Random(6)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    bits = [
+        lambda: f"{r.choice(['Mr.', 'Mrs', 'Dr.', 'Frau', 'Госпожа', 'Señor'])} {r.choice(['John', 'Linda', 'Jean-Paul', 'Анна', 'Γιώργος', 'Արամ', 'Maria'])} {r.choice(['Smith', 'O’Brien', 'McDonald', 'Иванова', 'Παπαδόπουλος', 'Van Der Berg'])}",
+        lambda: r.choice(["John", "Smith", "Linda", "Maria", "Later", "Johnny", "Smith's"]),
+        lambda: f"{r.choice(['JOE', 'ann', 'Bo'])}{d(1)}@{r.choice(['Mail', 'q'])}.{r.choice(['de', 'COM'])}", lambda: f"+49{d(9)}", lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: d(16), lambda: d(13),
+        lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"10.{d(1)}.{d(1)}.{d(1)}", lambda: "GB82 WEST 1234 5698 7654 32", lambda: "DE" + d(20), lambda: "plain words here",
+    ]
+    docs = [(i, " ".join(r.choice(bits)() + r.choice(["", ",", ".", "\n"]) for _ in range(r.randint(1, 25)))) for i in range(300)] + odd
+    docs += [(2000 + i, f"{c}@q.de") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]  # no free form of one letter
+    got = [(x.doc_id, x.text, x.entities) for x in pii.replace_pii(table(docs), with_entities=True).collect()]
+    assert sorted(got, key=repr) == sorted(plain_pii.replace(docs), key=repr)
+    mails = [t for i, t, _ in got if i is not None and 2000 <= i < 2026]
+    assert len(set(mails)) == 26 and not set(mails) & {t for i, t in docs if i is not None and i >= 2000}
+
+
+def test_names_keep_hyphens_scripts_and_references(spark, table):
+    texts = [
+        "Mr. Jean-Paul Sartre", "Dr. Γιώργος Παπαδόπουλος", "Mr. John Smith met Mr. John. Later Smith called John, not Johnson.", "+4930123456789 or +49 30 123456789", "JOE@Mail.de joe@mail.de",
+        "Mrs Anna Maria Carla Dora Eva Fay Gina Smith-Jones-Brown said", "Smith without an honorific",
+    ]
+    out = {r.doc_id: r.text for r in pii.op5_pii_surrogates(table(list(enumerate(texts)) + [(10 + i, f"{i:013}") for i in range(60)])).collect()}
+    title, name = out[0].split(" ", 1)
+    assert title == "Mr." and name.count("-") == 1 and name.count(" ") == 1
+    assert all("GREEK" in unicodedata.name(c) for c in out[1][4:] if c.isalpha())
+    _, given, family, _, _, again, _, late, _, bare, _, other = out[2].replace(",", "").replace(".", "").split()
+    assert (given, family) == (again, late) or (given, family) == (bare, late)
+    assert given == again == bare and family == late and other == "Johnson"
+    a, b = out[3].split(" or ")
+    assert a.startswith("+49") and a == b.replace(" ", "")
+    up, low = out[4].split()
+    assert up != low and up.lower() == low and up.split("@")[0].isupper()
+    assert not set(texts[5].replace("-", " ").split()[1:-1]) & set(out[5].replace("-", " ").split()) and out[5].endswith(" said") and out[5].count("-") == 2
+    assert out[6] == texts[6]
+    numbers = [out[10 + i] for i in range(60)]
+    assert len(set(numbers)) == 60 and all(luhn(out[10 + i]) == luhn(f"{i:013}") for i in range(60))
+
+
 def test_pii_on_an_empty_table_runs_without_python(spark, table):
     assert pii.op5_pii_surrogates(table([])).count() == 0
     plan = pii.op5_pii_surrogates(table([(1, "a@b.de")]))._jdf.queryExecution().executedPlan().toString()
