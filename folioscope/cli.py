@@ -1,6 +1,8 @@
 """python -m folioscope.cli: audit, eval, gold and export over tables on any storage that Spark reads.
 
-    audit PAGES OUT [--run ID] [--rules A01,A02]   findings of nested page rows, as a run's partition under OUT
+    audit PAGES OUT [--run ID] [--rules A01,A02] [--catalog FILE] [--no-packs] [--units OUT]
+                                                   findings of nested page rows, as a run's partition under OUT: page rules,
+                                                   and where pages have lines and cells units and their rules
     eval FINDINGS GOLD                             recall and precision against a gold set in JSON
     gold OUT REVIEW...                             verdict files folded into a gold set in JSON
     export FINDINGS OUT                            a ledger as CSV text
@@ -15,18 +17,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .operators import findings as f
-from .operators import page_rules, store
+from .operators import audit as flow
+from .operators import store
 from .plans import catalog
-from .sources import sinks, tables
+from .sources import rulefiles, sinks, tables
 
 
 def audit(spark: SparkSession, a: argparse.Namespace) -> None:
-    rules = a.rules.split(",") if a.rules else ()
-    found = page_rules.findings(spark.read.parquet(a.pages), *rules)
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "rule_id", "no", "detail"))
-    levels = F.broadcast(catalog.as_table(spark).select("rule_id", "level", "title"))
-    rows = found.join(levels, "rule_id").withColumn("seq", seq).withColumn("run_id", F.lit(a.run))
-    store.import_run(f.with_key(rows), a.out)
+    rules, pages = a.rules.split(",") if a.rules else (), spark.read.parquet(a.pages)
+    book, forms, _ = rulefiles.load(a.catalog, None if a.no_packs else "auto") if a.catalog else (catalog.BOOK, None, [])
+    if rules or "cells" not in pages.columns:
+        found = flow.page_findings(pages, *rules, book=book)
+    else:
+        found, units = flow.audit(pages, book=book, forms=forms)
+        if a.units:
+            store.import_run(units.withColumn("run_id", F.lit(a.run)), a.units)
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "rule_id", "message", "box"))
+    store.import_run(f.with_key(found.withColumn("seq", seq).withColumn("run_id", F.lit(a.run))), a.out)
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -43,8 +50,7 @@ def gold(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def export(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = spark.read.parquet(a.findings)
-    number = F.row_number().over(Window.orderBy(f.level_rank(F.col("level"), 3), "doc_id", "page_no", "finding_key"))
-    sinks.ledger_csv(rows.withColumn("no", number)).coalesce(1).write.mode("overwrite").text(a.out)
+    sinks.ledger_csv(f.numbered(rows)).coalesce(1).write.mode("overwrite").text(a.out)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -57,6 +63,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if run is audit:
             p.add_argument("--run", default="run")
             p.add_argument("--rules", default="")
+            p.add_argument("--catalog", default="")
+            p.add_argument("--no-packs", action="store_true")
+            p.add_argument("--units", default="")
         if run is gold:
             p.add_argument("reviews", nargs="+")
         p.set_defaults(run_=run)

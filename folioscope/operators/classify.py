@@ -16,24 +16,62 @@ TITLE = "证明单|流水卡片|配套单|装配信息单|检验记录|报告单
 
 @dataclass(frozen=True)
 class Forms:
-    """Ordered keyword patterns and structural sets: the head third first, then the page, then all words of a set."""
+    """Ordered keyword patterns and structural sets: the head of the page first, then the page, then all words of a set. A supplier's pattern stands before all others."""
 
     patterns: tuple[tuple[str, tuple[str, ...]], ...]
     structural: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    internal: frozenset[str] = frozenset()
+    supplier: frozenset[str] = frozenset()
 
     def merged(self, *packs: Forms) -> Forms:
-        """Packs' patterns come first; a default that a pack names again gives way."""
-        added = [p for pack in packs for p in pack.patterns]
+        """Packs' patterns come before the defaults, but for the supplier's; a default that a pack names again gives way. Internal forms add up; packs that name supplier forms replace them."""
+        lead = tuple(x for x in self.patterns[:1] if x[0] == SUPPLIER_PATTERN[0])
+        added = [x for pack in packs for x in pack.patterns]
         names = {n for n, _ in added}
-        sets = [s for pack in packs for s in pack.structural]
-        return Forms((*added, *(p for p in self.patterns if p[0] not in names)), (*sets, *self.structural))
+        tail = (x for x in self.patterns[len(lead) :] if x[0] not in names)
+        sets = [x for pack in packs for x in pack.structural]
+        named = frozenset().union(*(pack.supplier for pack in packs))
+        return Forms((*lead, *added, *tail), (*sets, *self.structural), self.internal.union(*(pack.internal for pack in packs)), named or self.supplier)
+
+    def known(self) -> list[str]:
+        """All forms that can be recognised, in order."""
+        return list(dict.fromkeys(n for n, _ in (*self.patterns, *self.structural)))
 
     def sql(self, lines: str = "lines", height: str = "height") -> str:
-        head = f"filter({lines}, l -> {g.cy('l')} <= {height} / 3D)"
-        has = lambda rows, word: f"exists({rows}, l -> contains(l.text, {t.quoted(word)}))"
-        cases = [f"WHEN {' OR '.join(has(rows, w) for w in words)} THEN {t.quoted(name)}" for rows in (head, lines) for name, words in self.patterns]
-        cases += [f"WHEN {' AND '.join(has(lines, w) for w in words)} THEN {t.quoted(name)}" for name, words in self.structural]
-        return f"CASE {' '.join(cases)} ELSE '{UNKNOWN_FORM}' END"
+        """Words may run over lines: the texts are joined first."""
+        joined = lambda rows: f"array_join(transform({rows}, l -> l.text), '')"
+        has = lambda text, word: f"contains({text}, {t.quoted(word)})"
+        cases = [f"WHEN {' OR '.join(has(scope, w) for w in words)} THEN {t.quoted(name)}" for scope in ("x.head", "x.page") for name, words in self.patterns]
+        cases += [f"WHEN {' AND '.join(has('x.page', w) for w in words)} THEN {t.quoted(name)}" for name, words in self.structural]
+        head = joined(f"filter({lines}, l -> {g.cy('l')} < {height} * 0.34D)")
+        return f"transform(array(named_struct('head', {head}, 'page', {joined(lines)})), x -> CASE {' '.join(cases)} ELSE '{UNKNOWN_FORM}' END)[0]"
+
+    def is_internal(self, form: str = "form_type") -> str:
+        """SQL: whether a form is one of the house."""
+        return f"{form} IN ({', '.join(map(t.quoted, sorted(self.internal)))})" if self.internal else "false"
+
+
+#: The names by which suppliers' certificates are known, and the forms that every catalog knows.
+SUPPLIER_PATTERN = ("供方合格证", ("产品质量证明书", "技术质量证明书", "质量证明书", "材质证明书", "合格证明书", "Certificate of Quality", "Quality Certification"))
+DEFAULT = Forms(
+    (
+        SUPPLIER_PATTERN,
+        ("卷宗目录", ("卷宗表格目录", "卷宗目录", "表格目录")),
+        ("检验记录", ("成品检验记录", "工序检验记录", "检验记录", "复验记录", "试验记录")),
+        ("产品合格证", ("产品合格证",)),
+    ),
+    (("检验记录", ("规定", "实际", "检验员")),),
+    frozenset({"检验记录"}),
+    frozenset({"供方合格证", "产品合格证"}),
+)
+
+
+def forms_of(spec: dict) -> Forms:
+    """A pack's `forms`: patterns (form, keywords), structural (all, form), internal, supplier."""
+    words = lambda xs: tuple(str(x) for x in xs or () if str(x).strip())
+    patterns = tuple((str(x.get("form") or "").strip(), words(x.get("keywords"))) for x in spec.get("patterns") or ())
+    sets = tuple((str(x.get("form") or "").strip(), words(x.get("all"))) for x in spec.get("structural") or ())
+    return Forms(tuple(x for x in patterns if all(x)), tuple(x for x in sets if all(x)), frozenset(words(spec.get("internal"))), frozenset(words(spec.get("supplier"))))
 
 
 def _marker_of(text: str) -> str:
@@ -45,8 +83,9 @@ def _marker_of(text: str) -> str:
 
 
 def marker(lines: str, page_text: str) -> str:
-    """SQL for (current, total): the first line that tells both, else the page's text."""
-    return f"coalesce(get(filter(transform({lines}, l -> {_marker_of('l.text')}), m -> m IS NOT NULL), 0), {_marker_of(page_text)})"
+    """SQL for (current, total): the first line that tells both, else the page's text. Every form of it holds 页, which spares most lines the expressions."""
+    told = f"get(filter(transform(filter({lines}, l -> contains(l.text, '页')), l -> {_marker_of('l.text')}), m -> m IS NOT NULL), 0)"
+    return f"coalesce({told}, if(contains({page_text}, '页'), {_marker_of(page_text)}, NULL))"
 
 
 def keys() -> str:

@@ -131,11 +131,9 @@ def merged_gold(verdicts: DataFrame) -> DataFrame:
     return kept.select("doc_id", "page_no", "rule_id", F.when(F.col("v") == "true", "positive").when(F.col("v") == "false", "negative").alias("kind"), "unsure")
 
 
-def ledger(findings: DataFrame) -> DataFrame:
-    """The exported list: a number from 1 by severity, and text fields made safe for CSV.
-
-    Rows are numbered within their rank and archive; the counts of these, summed up in order, give each range its offset.
-    """
+def numbered(findings: DataFrame) -> DataFrame:
+    """findings with no, from 1 by severity, document, page and key. Rows are numbered within their rank and archive; the counts of these, summed up in order, give each range its offset."""
+    columns = [c for c in findings.columns if c != "no"]
     findings = findings.withColumn("_rank", level_rank(F.col("level"), 3))
     sizes = findings.groupBy("_rank", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("_before", F.sum("n").over(Window.partitionBy("_rank").orderBy("doc_id")) - F.col("n"))
@@ -144,6 +142,11 @@ def ledger(findings: DataFrame) -> DataFrame:
     offsets = before.join(F.broadcast(above), "_rank").select("_rank", F.col("doc_id").alias("_doc"), (F.col("_above") + F.col("_before")).alias("_offset"))
     findings = findings.join(offsets, (findings["_rank"] == offsets["_rank"]) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop(offsets["_rank"])
     w = Window.partitionBy("_rank", "doc_id").orderBy("page_no", "finding_key")
+    return findings.select((F.row_number().over(w) + F.col("_offset")).cast("int").alias("no"), *columns)
+
+
+def ledger(findings: DataFrame) -> DataFrame:
+    """The exported list: a number from 1 by severity, and text fields made safe for CSV."""
     flat = lambda x: F.regexp_replace(x, "[\r\n]", " ")
     quoted = lambda x: F.when(x.rlike('[,"]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
-    return findings.select((F.row_number().over(w) + F.col("_offset")).cast("int").alias("no"), "finding_key", "level", quoted(flat(F.col("message"))).alias("message"))
+    return numbered(findings).select("no", "finding_key", "level", quoted(flat(F.col("message"))).alias("message"))

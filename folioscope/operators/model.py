@@ -35,7 +35,7 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 def seal_findings(states: DataFrame, params: dict, page: str, number: str) -> DataFrame:
     """Seals in a state that a rule rejects, sure enough, at most max_per_page a page; place counts them."""
-    bad = states.where(F.col("state").isin(*params["labels"]) & (F.col("p") >= params["min_p"]))
+    bad = states.where(F.col("state").isin(*params["reject_labels"]) & (F.col("p") >= params["min_confidence"]))
     place = F.row_number().over(Window.partitionBy(page).orderBy(number))
     return bad.withColumn("place", place).where(F.col("place") <= params["max_per_page"])
 

@@ -1,8 +1,11 @@
 """Page rules as expressions over one nested page row: no join, no shuffle, one scan for the whole catalog.
 
 A page row has doc_id, page_no, page_count, form_type, width, height, red_ratio, blue_ratio and arrays lines, cells, seals and
-segments. Rules read helper columns (page text, column ranges) that `prepared` adds once. Each rule is SQL for an array of
-findings: no (line, cell or seal number, null for the page), evidence, detail, confidence.
+segments. Where they are known, lines carry their own red_ratio, and the page column_red and row_red, the red shares below the
+inspector's header and right of it; B03 and B07 read them, and fall back to "not red" and to the page's share. Rules read
+helper columns (page text, column ranges) that `prepared` adds once. Each rule is a function of its parameters that gives SQL
+for an array of findings: no (line, cell or seal number, null for the page), evidence, detail, confidence, and a box where it
+isn't that of the line, cell or seal.
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..plans import catalog as c
 
-NONE = "CAST(array() AS array<struct<no:int,evidence:string,detail:string,confidence:double>>)"
+BOX = "struct<x:int,y:int,w:int,h:int>"
+FINDING = f"struct<no:int,evidence:string,detail:string,confidence:double,box:{BOX}>"
+NONE = f"CAST(array() AS array<{FINDING}>)"
 
 
 def _in(words) -> str:
@@ -22,12 +27,23 @@ def _in(words) -> str:
 
 
 def _any(text: str, words) -> str:
-    return f"exists(array({_in(words)}), k -> contains({text}, k))"
+    return "false" if not words else f"exists(array({_in(words)}), k -> contains({text}, k))"
 
 
-def finding(no: str, evidence: str, detail: str, confidence: object) -> str:
+def finding(no: str, evidence: str, detail: str, confidence: object, box: str = "NULL") -> str:
     conf = confidence if isinstance(confidence, str) else f"{confidence}D"
-    return f"named_struct('no', CAST({no} AS INT), 'evidence', CAST({evidence} AS STRING), 'detail', CAST({detail} AS STRING), 'confidence', {conf})"
+    return f"named_struct('no', CAST({no} AS INT), 'evidence', CAST({evidence} AS STRING), 'detail', CAST({detail} AS STRING), 'confidence', {conf}, 'box', CAST({box} AS {BOX}))"
+
+
+def box(x: str, y: str, w: str, h: str) -> str:
+    return f"named_struct('x', CAST({x} AS INT), 'y', CAST({y} AS INT), 'w', CAST({w} AS INT), 'h', CAST({h} AS INT))"
+
+
+def around(items: str) -> str:
+    """The box around an array of boxes."""
+    low = lambda f: f"array_min(transform(bs, b -> b.{f}))"
+    high = lambda f, w: f"array_max(transform(bs, b -> b.{f} + b.{w}))"
+    return f"transform(array({items}), bs -> {box(low('x'), low('y'), high('x', 'w') + ' - ' + low('x'), high('y', 'h') + ' - ' + low('y'))})[0]"
 
 
 def per_match(regex: str, confidence: float, keep: str = "true", lines: str = "lines") -> str:
@@ -40,10 +56,10 @@ def per_line(keep: str, detail: str, confidence: object, lines: str = "lines") -
     return f"transform(filter({lines}, l -> {keep}), l -> {finding('l.line_no', 'l.text', detail, confidence)})"
 
 
-def page_finding(when: str, confidence: float, line: str | None = None) -> str:
+def page_finding(when: str, confidence: float, line: str | None = None, where: str = "NULL") -> str:
     """One finding of the page, with a line if SQL for one is given, where `when` holds."""
     no, evidence = (f"{line}.line_no", f"{line}.text") if line else ("NULL", "NULL")
-    return f"if({when}, array({finding(no, evidence, 'NULL', confidence)}), {NONE})"
+    return f"if({when}, array({finding(no, evidence, 'NULL', confidence, where)}), {NONE})"
 
 
 def column(headers) -> str:
@@ -88,6 +104,8 @@ def beside(cell: str) -> str:
 
 
 PAGE_TEXT = f"array_join(transform(array_sort(transform(lines, l -> named_struct('b', floor({g.cy('l')} / 20), 'x', {g.cx('l')}, 'n', l.line_no, 't', l.text))), e -> e.t), '\\n')"
+#: Red shares that a page row may carry; findings() puts in what the row has.
+RED_LINE, COLUMN_RED, ROW_RED = "@line_red@", "@column_red@", "@row_red@"
 BLANK = "size(lines) < 3"
 COPY = f"exists(lines, l -> contains({t.bare('l.text')}, '与原件'))"
 STAMPS = "filter(seals, s -> s.fill >= 0.18D)"
@@ -96,229 +114,278 @@ DATE = r"(?<!\d)((?:19|20)\d{2})([./-])(\d{1,2})([./-])(\d{1,2})(?!\d)"
 ANY_DATE = r"(?:19|20)\d{2}\s*[.\-/年]\s*\d{1,2}\s*[.\-/月]\s*\d{1,2}"
 BATCH = r"\d{2,4}\s*-\s*\d{1,2}\s*-\s*\d{1,3}"
 
-#: Columns that prepared() adds: name -> SQL, and the arrays it needs.
-HELPERS = {
-    "page_text": (PAGE_TEXT, ("lines",)),
-    "result_column": (column(c.RESULT_HEADERS), ("lines", "cells")),
-    "actual_column": (column(c.ACTUAL_HEADERS), ("lines", "cells")),
-    "spec_column": (column(c.SPEC_HEADERS), ("lines", "cells")),
-    "inspector_column": (column(c.INSPECTORS), ("lines", "cells")),
-}
+#: Columns that prepared() adds: name -> rule and parameter that give the headers (a rule's own, or a fixed list).
+COLUMNS = {"result_column": ("A14", "column_headers"), "listed_column": ("A16", "actual_headers"), "measured_column": ("A17", "actual_headers"), "spec_column": ("A17", "spec_headers"), "inspector_column": ("B07", "column_headers")}
+
 
+def helpers(book: dict) -> dict[str, tuple[str, tuple[str, ...]]]:
+    """name -> SQL, and the arrays it needs."""
+    out = {"page_text": (PAGE_TEXT, ("lines",)), "actual_column": (column(c.ACTUAL_HEADERS), ("lines", "cells"))}
+    return out | {name: (column(book[rule].params[key]), ("lines", "cells")) for name, (rule, key) in COLUMNS.items() if rule in book}
 
-def prepared(pages: DataFrame) -> DataFrame:
+
+def prepared(pages: DataFrame, book: dict | None = None) -> DataFrame:
     """pages with every helper whose arrays are there."""
     have = set(pages.columns)
-    return pages.withColumns({name: F.expr(sql) for name, (sql, needs) in HELPERS.items() if have.issuperset(needs)})
+    return pages.withColumns({name: F.expr(sql) for name, (sql, needs) in helpers(book or c.BOOK).items() if have.issuperset(needs)})
 
 
-def _a01() -> str:
+def _a01(p: dict) -> str:
     part = lambda i: f"regexp_extract(m, {t.pattern(DATE)}, {i})"
     n = lambda i: t.number(part(i))
     keep = f"{n(3)} BETWEEN 1 AND 12 AND {n(5)} BETWEEN 1 AND 31 AND ({part(2)} <> '.' OR {part(4)} <> '.' OR length({part(3)}) <> 2 OR length({part(5)}) <> 2)"
-    lines = "filter(lines, l -> NOT (contains(l.text, '年') AND contains(l.text, '月') AND contains(l.text, '日')))"
+    preprinted = " AND ".join(f"contains(l.text, {t.quoted(x)})" for x in p["skip_if_contains"])
+    lines = f"filter(lines, l -> NOT ({preprinted}))" if preprinted else "lines"
     return per_match(DATE, 0.85, keep, lines)
 
 
-def _a02() -> str:
-    unit = "|".join(sorted(c.UNITS, key=len, reverse=True))
+def _a02(p: dict) -> str:
+    unit = "|".join(sorted(p["units"], key=len, reverse=True))
     ranges = per_match(rf"(?<![\d\-]){t.NUM}\s*(?:{unit})?\s*[{t.DASHES}]\s*{t.NUM}\s*(?:{unit})?", 0.9, f"rlike(m, {t.pattern(unit)})")
     return f"concat({ranges}, {per_match(rf'Φ{chr(92)}s*{t.NUM}{chr(92)}s*[{t.DASHES}]{chr(92)}s*Φ?{chr(92)}s*{t.NUM}', 0.9)})"
 
 
-def _a06() -> str:
+def _a06(p: dict) -> str:
     hit = lambda u: f"if(rlike(l.text, {t.pattern(rf'{chr(92)}d{chr(92)}s*{u}(?![a-zA-Z])')}), '{u}', NULL)"
-    return f"flatten(transform(lines, l -> transform(filter(array({', '.join(map(hit, c.UNIT_CASE))}), u -> u IS NOT NULL), u -> {finding('l.line_no', 'l.text', 'u', 0.8)})))"
+    return f"flatten(transform(lines, l -> transform(filter(array({', '.join(map(hit, p["wrong_to_right"]))}), u -> u IS NOT NULL), u -> {finding('l.line_no', 'l.text', 'u', 0.8)})))"
 
 
-def _a09() -> str:
+def _a09(p: dict) -> str:
+    """Fine with a total of one page or with both numbers (in this order, if asked for); else the first half a number, else nothing of the kind."""
     total, current = t.pattern(r"共\s*(\d+)\s*页"), t.pattern(r"第\s*\d+\s*页")
-    said = f"exists(lines, l -> rlike(l.text, {total}) AND ({t.number(f'regexp_extract(l.text, {total}, 1)')} <= 1 OR rlike(l.text, {current})))"
+    ordered = f" AND rlike(l.text, {t.pattern(r'第\s*\d+\s*页\s*[，,、 ]?\s*共\s*\d+\s*页')})" if p["strict_order"] else ""
+    said = f"exists(lines, l -> rlike(l.text, {total}) AND ({t.number(f'regexp_extract(l.text, {total}, 1)')} <= 1 OR rlike(l.text, {current}){ordered}))"
     loose = f"filter(lines, l -> rlike(l.text, {total}) OR rlike(l.text, {current}))"
-    return page_finding(f"page_count >= 2 AND NOT ({BLANK}) AND NOT {said} AND size({loose}) > 0", 0.6, g.first(loose))
+    wanted = f"page_count >= {int(p['min_pages'])} AND NOT ({BLANK}) AND NOT {said}"
+    half = page_finding(f"{wanted} AND size({loose}) > 0", 0.6, g.first(loose))
+    return f"concat({half}, {page_finding(f'{wanted} AND size({loose}) = 0', 0.5)})" if p["flag_missing"] else half
 
 
-def _a10() -> str:
+def _a10(p: dict) -> str:
     """Numbers that are part of an identifier don't count: two points, a letter before, or a tail that is no unit."""
-    token = r"([A-Za-z0-9._\-/]*?)(\d+\.\d{4,})([A-Za-z0-9._\-/]*)"
+    token = rf"([A-Za-z0-9._\-/]*?)(\d+\.\d{{{int(p['max_decimals']) + 1},}})([A-Za-z0-9._\-/]*)"
     part = lambda i: f"regexp_extract(m, {t.pattern(token)}, {i})"
     units = "('', 'mm', 'kg', 'g', 'm', 'km', 'mpa', '℃', '%', 'hrc', 'hbw', 'hb', 's', 'h', 'min', 'n', 'kn', 't', 'pa', 'l')"
     keep = f"length(m) - length(replace(m, '.', '')) < 2 AND NOT rlike({part(1)}, '[A-Za-z]') AND lower({part(3)}) IN {units}"
     found = per_match(token, 0.7, keep)
-    return f"if({_any('page_text', c.WEIGHING)}, {found}, {NONE})"
+    return f"if({_any('page_text', p['require_keywords'])}, {found}, {NONE})" if p["require_keywords"] else found
 
 
-def _a11() -> str:
+def _a11(p: dict) -> str:
     pat = rf"\(\s*-\s*({t.NUM})\s*[{t.WAVES}]\s*\+?\s*({t.NUM})\s*\)"
     n = lambda i: t.number(f"regexp_extract(m, {t.pattern(pat)}, {i})", "DOUBLE")
     return per_match(pat, 0.8, f"abs({n(1)} - {n(2)}) < 1e-9D")
 
 
-def _a12() -> str:
+def _a12(p: dict) -> str:
     anchor = g.first("filter(lines, l -> contains(l.text, '特殊记载'))")
     filled = f"exists(lines, v -> v.line_no <> a.line_no AND {g.cy('v')} BETWEEN a.y - a.h AND a.y + 4 * a.h AND {g.cx('v')} > {g.cx('a')})"
     return f"transform(filter(array({anchor}), a -> a IS NOT NULL AND NOT contains(replace(a.text, '特殊记载', ''), '无') AND NOT {filled}), a -> {finding('a.line_no', 'a.text', 'NULL', 0.55)})"
 
 
-def _a13() -> str:
-    known = _any(t.bare("l.text"), c.COPY_VARIANTS)
-    return per_line(f"contains({t.bare('l.text')}, '与原件') AND NOT contains({t.bare('l.text')}, '{c.COPY_WORDING}')", "NULL", f"if({known}, 0.9D, 0.6D)")
+def _a13(p: dict) -> str:
+    known = _any(t.bare("l.text"), p["known_variants"])
+    return per_line(f"contains({t.bare('l.text')}, '与原件') AND NOT contains({t.bare('l.text')}, {t.quoted(p['required_text'])})", "NULL", f"if({known}, 0.9D, 0.6D)")
 
 
-def _a14() -> str:
+def _a14(p: dict) -> str:
     inside = f"l.line_no <> result_column.hdr.line_no AND {g.cy('l')} > {g.cy('result_column.hdr')} AND {g.cx('l')} BETWEEN result_column.x1 AND result_column.x2"
     kind = lambda k: f"filter(lines, l -> {inside} AND {t.value_kind('l.text')} = '{k}')"
     return page_finding(f"result_column IS NOT NULL AND size({kind('verdict')}) > 0 AND size({kind('measured')}) > 0", 0.6, g.first(kind("verdict")))
 
 
-def _a15() -> str:
-    near = f"filter(lines, v -> {g.cx('v')} BETWEEN actual_column.x1 AND actual_column.x2 AND abs({g.cy('v')} - {g.cy('a')}) <= greatest(a.h, 20) * 1.2D AND rlike({t.bare('v.text')}, {t.pattern('^' + t.NUM + '$')}))"
-    anchors = f"filter(lines, a -> actual_column IS NOT NULL AND {_any('a.text', c.QUANTITIES)} AND {g.cy('a')} > {g.cy('actual_column.hdr')})"
+def _a15(p: dict) -> str:
+    near = f"filter(lines, v -> {g.cx('v')} BETWEEN actual_column.x1 AND actual_column.x2 AND abs({g.cy('v')} - {g.cy('a')}) <= greatest(a.h, 20) * {float(p['row_band_factor'])}D AND rlike({t.bare('v.text')}, {t.pattern('^' + t.NUM + '$')}))"
+    anchors = f"filter(lines, a -> actual_column IS NOT NULL AND {_any('a.text', p['keywords'])} AND {g.cy('a')} > {g.cy('actual_column.hdr')})"
     return f"flatten(transform({anchors}, a -> transform({near}, v -> {finding('v.line_no', 'v.text', 'a.text', 0.6)})))"
 
 
-def _a16() -> str:
+def _a16(p: dict) -> str:
     pat = r"[（(](\d{1,2})\s*处[)）]|(?<![\d.])(\d{1,2})\s*-\s*[ΦR]|测量\s*(\d{1,2})\s*点"
     n = lambda x: "coalesce(" + ", ".join(t.number(f"regexp_extract({x}.text, {t.pattern(pat)}, {i})") for i in (1, 2, 3)) + ")"
-    anchors = f"filter(lines, a -> actual_column IS NOT NULL AND {g.cy('a')} > {g.cy('actual_column.hdr')} AND {g.cx('a')} < actual_column.x1 AND {n('a')} BETWEEN 2 AND 5)"
-    values = f"filter(transform({anchors}, a -> {band_value('a', 'actual_column')}), v -> rlike(v.text, '[～~]'))"
+    anchors = f"filter(lines, a -> listed_column IS NOT NULL AND {g.cy('a')} > {g.cy('listed_column.hdr')} AND {g.cx('a')} < listed_column.x1 AND {n('a')} BETWEEN 2 AND {int(p['max_listed'])})"
+    values = f"filter(transform({anchors}, a -> {band_value('a', 'listed_column')}), v -> rlike(v.text, '[～~]'))"
     return f"transform({values}, v -> {finding('v.line_no', 'v.text', 'NULL', 0.6)})"
 
 
-def _a17() -> str:
-    specs = f"filter(lines, a -> spec_column IS NOT NULL AND actual_column IS NOT NULL AND {g.cy('a')} > {g.cy('spec_column.hdr')} AND {g.cx('a')} BETWEEN spec_column.x1 AND spec_column.x2 AND {t.decimals('a.text')} > 0)"
-    pairs = f"transform({specs}, a -> named_struct('want', {t.decimals('a.text')}, 'v', {band_value('a', 'actual_column')}))"
+def _a17(p: dict) -> str:
+    specs = f"filter(lines, a -> spec_column IS NOT NULL AND measured_column IS NOT NULL AND {g.cy('a')} > {g.cy('spec_column.hdr')} AND {g.cx('a')} BETWEEN spec_column.x1 AND spec_column.x2 AND {t.decimals('a.text')} > 0)"
+    pairs = f"transform({specs}, a -> named_struct('want', {t.decimals('a.text')}, 'v', {band_value('a', 'measured_column')}))"
     short = f"filter({pairs}, p -> {t.decimals('p.v.text')} > 0 AND {t.decimals('p.v.text')} < p.want)"
     return f"transform({short}, p -> {finding('p.v.line_no', 'p.v.text', 'p.want', 0.55)})"
 
 
-def _a18() -> str:
-    anchor = g.first(f"filter(lines, l -> {_any(t.bare('l.text'), c.REVIEWERS)})")
+def _a18(p: dict) -> str:
+    labels = p["labels"]
+    anchor = g.first(f"filter(lines, l -> {_any(t.bare('l.text'), labels)})")
     band = "greatest(a.h, 20) * 1.4D"
     clean = f"regexp_replace(v.text, {t.pattern('[' + chr(92) + 's:：]')}, '')"
-    signed = f"exists(lines, v -> v.line_no <> a.line_no AND abs({g.cy('v')} - {g.cy('a')}) <= {band} AND {g.cx('v')} > {g.cx('a')} AND {clean} <> '' AND NOT {_any(clean, c.REVIEWERS)})"
+    signed = f"exists(lines, v -> v.line_no <> a.line_no AND abs({g.cy('v')} - {g.cy('a')}) <= {band} AND {g.cx('v')} > {g.cx('a')} AND {clean} <> '' AND NOT {_any(clean, labels)})"
     stamped = f"exists(seals, s -> {g.cx('s')} > a.x AND abs({g.cy('s')} - {g.cy('a')}) <= {band})"
-    return f"transform(filter(array({anchor}), a -> a IS NOT NULL AND {COPY} AND NOT {signed} AND NOT {stamped}), a -> {finding('a.line_no', 'a.text', 'NULL', 0.5)})"
+    found = f"transform(filter(array({anchor}), a -> a IS NOT NULL AND {COPY} AND NOT {signed} AND NOT {stamped}), a -> {finding('a.line_no', 'a.text', 'NULL', 0.5)})"
+    return f"concat({found}, {page_finding(f'{COPY} AND {anchor} IS NULL', 0.35)})" if p["flag_missing_field"] else found
 
 
-def _b02() -> str:
-    big = "filter(seals, s -> s.fill >= 0.18D AND s.area >= 0.0006D * width * height)"
+def _b02(p: dict) -> str:
+    big = f"filter(seals, s -> s.fill >= 0.18D AND s.area >= {float(p['min_seal_area_ratio'])}D * width * height)"
     cover = f"greatest({g.overlap('s', 'o')}, {g.overlap('o', 's')})"
-    return f"flatten(transform({big}, s -> transform(filter({big}, o -> o.seal_no > s.seal_no AND {cover} >= 0.5D), o -> {finding('s.seal_no', 'NULL', 'o.seal_no', 0.7)})))"
+    return f"flatten(transform({big}, s -> transform(filter({big}, o -> o.seal_no > s.seal_no AND {cover} >= {float(p['min_coverage'])}D), o -> {finding('s.seal_no', 'NULL', 'o.seal_no', 0.7, around('array(s, o)'))})))"
 
 
-def _b03() -> str:
-    dated = f"filter(lines, l -> rlike(l.text, {t.pattern(ANY_DATE)}))"
-    return f"flatten(transform({dated}, l -> transform(filter({STAMPS}, s -> {g.overlap('l', 's')} >= 0.25D), s -> {finding('s.seal_no', 'l.text', 'l.line_no', 0.65)})))"
+def _b03(p: dict) -> str:
+    dated = f"filter(lines, l -> rlike(l.text, {t.pattern(ANY_DATE)}) AND {RED_LINE} <= 0.02D)"
+    return f"flatten(transform({dated}, l -> transform(filter({STAMPS}, s -> {g.overlap('l', 's')} >= {float(p['min_overlap_ratio'])}D), s -> {finding('s.seal_no', 'l.text', 'l.line_no', 0.65)})))"
 
 
-def _b04() -> str:
-    """Blank registered cells by name: three or more are one finding, else one each."""
+def _b04(p: dict) -> str:
+    """Blank registered cells by name: a group of them is one finding, else one each."""
+    many_from, fields = int(p["group_as_column"]), () if p["check_all_fields"] else p["field_whitelist"]
     area = "k.w * k.h / CAST(width * height AS DOUBLE)"
-    blank = f"filter(cells, k -> {area} BETWEEN 0.0008D AND 0.06D AND trim(k.content) = '' AND k.ink <= 0.004D AND NOT exists(seals, s -> {g.overlap('k', 's')} > 0.15D))"
+    blank = f"filter(cells, k -> {area} BETWEEN {float(p['min_cell_area_ratio'])}D AND {float(p['max_cell_area_ratio'])}D AND trim(k.content) = '' AND k.ink <= 0.004D AND NOT exists(seals, s -> {g.overlap('k', 's')} > 0.15D))"
     named = f"transform({blank}, b -> named_struct('b', b, 'up', coalesce(left({above('b')}.content, 14), ''), 'side', coalesce(left({beside('b')}.content, 14), '')))"
-    kept = f"filter({named}, x -> NOT {_any('x.up', c.DOWNSTREAM)} AND NOT {_any('x.side', c.DOWNSTREAM)} AND {_any('if(x.up <> ' + chr(39) * 2 + ', x.up, x.side)', c.CELL_FIELDS)})"
-    cells = f"transform({kept}, x -> named_struct('no', x.b.cell_no, 'name', if(x.up <> '', x.up, x.side)))"
-    single = f"transform(filter(xs, x -> size(filter(xs, y -> y.name = x.name)) < 3), x -> {finding('x.no', 'x.name', '1', 0.4)})"
-    many = f"transform(filter(array_distinct(transform(xs, x -> x.name)), n -> size(filter(xs, y -> y.name = n)) >= 3), n -> {finding('NULL', 'n', 'size(filter(xs, y -> y.name = n))', 0.5)})"
+    known = f" AND {_any('if(x.up <> ' + chr(39) * 2 + ', x.up, x.side)', fields)}" if fields else ""
+    kept = f"filter({named}, x -> NOT {_any('x.up', p['downstream_whitelist'])} AND NOT {_any('x.side', p['downstream_whitelist'])}{known})"
+    cells = f"transform({kept}, x -> named_struct('no', x.b.cell_no, 'b', x.b, 'name', if(x.up <> '', x.up, x.side)))"
+    single = f"transform(filter(xs, x -> size(filter(xs, y -> y.name = x.name)) < {many_from}), x -> {finding('x.no', 'x.name', '1', 0.4)})"
+    many = f"transform(filter(array_distinct(transform(xs, x -> x.name)), n -> size(filter(xs, y -> y.name = n)) >= {many_from}), n -> {finding('NULL', 'n', 'size(filter(xs, y -> y.name = n))', 0.5, around('transform(filter(xs, y -> y.name = n), y -> y.b)'))})"
     return f"transform(array({cells}), xs -> concat({single}, {many}))[0]"
 
 
-def _b06() -> str:
+def _b06(p: dict) -> str:
     struck = f"""exists(lines, l -> l.h >= 8 AND l.w >= 30 AND s.w >= l.h * 2 AND s.y + s.h / 2D BETWEEN l.y + l.h * 0.2D AND l.y + l.h * 0.8D
       AND {g.shared_x('s', 'l')} > 0 AND {g.shared_x('s', 'l')} >= 0.5D * l.w AND s.w <= l.w * 1.3D)"""
-    hits = f"size(filter(segments, s -> s.w >= 40 AND s.w / CAST(greatest(s.h, 1) AS DOUBLE) >= 8 AND {struck}))"
-    return f"if({hits} > 3, array({finding('NULL', 'NULL', hits, 0.4)}), {NONE})"
+    hits = f"filter(segments, s -> s.w >= 40 AND s.w / CAST(greatest(s.h, 1) AS DOUBLE) >= 8 AND {struck})"
+    return f"transform(filter(array({hits}), xs -> size(xs) > {int(p['max_per_page'])}), xs -> {finding('NULL', 'NULL', 'size(xs)', 0.4, around('xs'))})"
 
 
-def _b07() -> str:
+def _b07(p: dict) -> str:
     h, col = "inspector_column.hdr", "inspector_column"
     seen = f"exists({STAMPS}, s -> {g.cx('s')} BETWEEN {col}.x1 AND {col}.x2 AND {g.cy('s')} > {g.cy(h)} OR {g.cx('s')} > {g.cx(h)} AND {g.cy('s')} BETWEEN {g.cy(h)} - greatest({h}.h, 20) * 1.2D AND {g.cy(h)} + greatest({h}.h, 20) * 1.6D)"
     waiting = f"size(filter(lines, l -> {g.cy('l')} > {g.cy(h)} + {h}.h AND {g.cx('l')} < {col}.x1)) >= 2"
-    return page_finding(f"{col} IS NOT NULL AND NOT {COPY} AND NOT ({BLANK}) AND NOT {seen} AND red_ratio <= 0.002D AND {waiting}", 0.5, h)
+    copied, least = f" AND NOT {COPY}" if p["skip_copy_pages"] else "", f"{float(p['region_red_ratio'])}D"
+    return page_finding(f"{col} IS NOT NULL{copied} AND NOT ({BLANK}) AND NOT {seen} AND {COLUMN_RED} <= {least} AND {ROW_RED} <= {least} AND {waiting}", 0.5, h, box(f"{col}.x1", g.cy(h), f"greatest(10, {col}.x2 - {col}.x1)", f"floor((height - {g.cy(h)}) / 3)"))
 
 
-def _b09() -> str:
+def _b09(p: dict) -> str:
     numbered = g.first(f"filter(lines, l -> rlike(l.text, {t.pattern('第' + chr(92) + 's*' + chr(92) + 'd+' + chr(92) + 's*页|共' + chr(92) + 's*' + chr(92) + 'd+' + chr(92) + 's*页')}))")
-    fine = f"{g.cy('l')} / height >= 0.88D AND {g.cx('l')} / width BETWEEN 0.33D AND 0.67D"
+    fine = f"{g.cy('l')} / height >= {float(p['footer_from'])}D AND {g.cx('l')} / width BETWEEN {float(p['center_from'])}D AND {float(p['center_to'])}D"
     return f"transform(filter(array({numbered}), l -> l IS NOT NULL AND NOT ({fine})), l -> {finding('l.line_no', 'l.text', 'NULL', 0.6)})"
 
 
-def _f01() -> str:
+def _f01(p: dict) -> str:
     anchor = label_cell("'装配处'")
     value = f"transform(filter(array({anchor}), a -> a IS NOT NULL), a -> {value_cell('a')})"
     return f"transform(filter({value}, v -> {t.bare('v.content')} IN ('/', '／', {t.quoted(chr(92))})), v -> {finding('v.cell_no', 'v.content', 'NULL', 0.8)})"
 
 
-def _f08() -> str:
+def _f08(p: dict) -> str:
     hard = f"filter(lines, l -> rlike(l.text, {t.pattern(chr(92) + 'd+(?:' + chr(92) + '.' + chr(92) + 'd+)?' + chr(92) + 's*(HRC|HBW|HRB|HB|HV)')}))"
     sampled = "contains(page_text, '抽检')"
     ok = f"(exists({hard}, l -> rlike(l.text, '[～~]')) AND NOT {sampled} OR {sampled} AND rlike(page_text, {t.pattern('抽检' + chr(92) + 's*' + chr(92) + 'd+')}))"
     return page_finding(f"size({hard}) > 0 AND NOT {ok}", 0.45, g.first(hard))
 
 
-def _f09() -> str:
+def _f09(p: dict) -> str:
     one = lambda f: f"transform(filter(array({label_cell(t.quoted(f))}), a -> a IS NOT NULL AND trim(coalesce({value_cell('a')}.content, '')) = ''), a -> {finding(f'coalesce({value_cell(chr(97))}.cell_no, a.cell_no)', t.quoted(f), 'NULL', 0.6)})"
-    return f"concat({', '.join(map(one, c.LABEL_FIELDS))})"
+    return f"concat({', '.join(map(one, p['required_fields']))})"
 
 
 _BOTTOM = f"array_join(transform(filter(lines, l -> {g.cy('l')} > height * 0.62D), l -> l.text), '')"
 _HAS = lambda words: f"exists(lines, l -> {_any('l.text', words)})"
 _FIRST = lambda words: g.first(f"filter(lines, l -> {_any('l.text', words)})")
 
-RULES = {
-    "A01": _a01(),
-    "A02": _a02(),
-    "A03": per_line(_any("l.text", c.DIAMETERS), f"array_join(filter(array({_in(c.DIAMETERS)}), k -> contains(l.text, k)), '、')", 0.7),
-    "A04": per_match(rf"Φ\s*{t.NUM}\s*[{t.WAVES}]\s*(?!Φ){t.NUM}", 0.85),
-    "A05": per_match(rf"{t.NUM}\s*mm(?![a-zA-Z/])", 0.6),
-    "A06": _a06(),
-    "A07": per_match(r"m\s*[23²³](?![0-9])", 0.6),
-    "A08": per_match(r"[零一二三四五六七八九十百千两]{1,6}\s*(?:公斤|千克|摄氏度|毫米|厘米|米|吨|克)", 0.7),
-    "A09": _a09(),
-    "A10": _a10(),
-    "A11": _a11(),
-    "A12": _a12(),
-    "A13": _a13(),
-    "A14": _a14(),
-    "A15": _a15(),
-    "A16": _a16(),
-    "A17": _a17(),
-    "A18": _a18(),
-    "B01": f"transform(filter({STAMPS}, s -> s.rect >= 0.8D AND abs(s.angle) > 10), s -> {finding('s.seal_no', 'NULL', 's.angle', 0.6)})",
-    "B02": _b02(),
-    "B03": _b03(),
-    "B04": _b04(),
-    "B05": per_line(f"contains({t.bare('l.text')}, '与原件') AND NOT ({g.cx('l')} / width >= 0.5D AND {g.cy('l')} / height >= 0.6D)", "NULL", 0.75),
-    "B06": _b06(),
-    "B07": _b07(),
-    "B08": page_finding(f"NOT ({BLANK}) AND NOT {COPY} AND red_ratio < 0.00002D", 0.7),
-    "B09": _b09(),
-    "B10": page_finding(f"NOT ({BLANK}) AND blue_ratio >= 0.0006D", 0.5),
-    "F01": _f01(),
-    "F02": page_finding(f"NOT ({BLANK}) AND NOT contains(page_text, '设计图版次') AND NOT contains(page_text, '图纸版次')", 0.5),
-    "F03": page_finding(f"{_HAS(('呈报',))} AND NOT rlike(page_text, {t.pattern('共' + chr(92) + 's*' + chr(92) + 'd+' + chr(92) + 's*页')})", 0.6, _FIRST(("呈报",))),
-    "F04": page_finding(f"NOT ({BLANK}) AND red_ratio < 0.00002D", 0.7),
-    "F05": page_finding(f"{_HAS(c.REPAIR_WORDS)} AND NOT {_any('page_text', c.CLOSED_WORDS)}", 0.5, _FIRST(c.REPAIR_WORDS)),
-    "F06": f"if(page_no = 1 AND NOT ({BLANK}), transform(filter(array(array_join(filter(array({_in(c.HEADER_FIELDS)}), k -> NOT contains(page_text, k)), '、')), d -> d <> ''), d -> {finding('NULL', 'NULL', 'd', 0.55)}), {NONE})",
-    "F07": page_finding(f"{_HAS(c.REJECT_WORDS)} AND NOT contains(page_text, '拒收单')", 0.5, _FIRST(c.REJECT_WORDS)),
-    "F08": _f08(),
-    "F09": _f09(),
-    "F10": page_finding(f"NOT ({BLANK}) AND NOT {_any(_BOTTOM, c.PAIRING_WORDS)}", 0.5),
-    "F11": page_finding(f"NOT ({BLANK}) AND NOT rlike({_BOTTOM}, {t.pattern(BATCH)}) AND NOT contains({_BOTTOM}, '不涉及呈报')", 0.45),
-    "F12": page_finding(f"{_HAS(('呈报',))} AND NOT contains(page_text, '闭环') AND NOT contains(page_text, '不涉及呈报')", 0.5, _FIRST(("呈报",))),
+def _b01(p: dict) -> str:
+    return f"transform(filter({STAMPS}, s -> s.rect >= 0.8D AND abs(s.angle) > {float(p['max_tilt_deg'])}D), s -> {finding('s.seal_no', 'NULL', 's.angle', 0.6)})"
+
+
+def _b05(p: dict) -> str:
+    there = f"{g.cx('l')} / width >= {float(p['right_bottom_x'])}D AND {g.cy('l')} / height >= {float(p['right_bottom_y'])}D"
+    return per_line(f"contains({t.bare('l.text')}, '与原件') AND NOT ({there})", "NULL", 0.75)
+
+
+def _b08(p: dict) -> str:
+    copied = f" AND NOT {COPY}" if p["skip_copy_pages"] else ""
+    return page_finding(f"NOT ({BLANK}){copied} AND red_ratio < {float(p['min_red_pixel_ratio'])}D", 0.7)
+
+
+def _f06(p: dict) -> str:
+    lacking = f"array_join(filter(array({_in(p['required_fields'])}), k -> NOT contains(page_text, k)), '、')"
+    return f"if(page_no = 1 AND NOT ({BLANK}), transform(filter(array({lacking}), d -> d <> ''), d -> {finding('NULL', 'NULL', 'd', 0.55)}), {NONE})"
+
+
+#: Rule -> a function of its parameters (the catalog's, as packs and overrides changed them) that gives its SQL.
+BUILDERS = {
+    "A01": _a01,
+    "A02": _a02,
+    "A03": lambda p: per_line(_any("l.text", p["forbidden"]), f"array_join(filter(array({_in(p['forbidden'])}), k -> contains(l.text, k)), '、')", 0.7),
+    "A04": lambda p: per_match(rf"Φ\s*{t.NUM}\s*[{t.WAVES}]\s*(?!Φ){t.NUM}", 0.85),
+    "A05": lambda p: per_match(rf"{t.NUM}\s*mm(?![a-zA-Z/])", 0.6),
+    "A06": _a06,
+    "A07": lambda p: per_match(r"m\s*[23²³](?![0-9])", 0.6),
+    "A08": lambda p: per_match(r"[零一二三四五六七八九十百千两]{1,6}\s*(?:公斤|千克|摄氏度|毫米|厘米|米|吨|克)", 0.7),
+    "A09": _a09,
+    "A10": _a10,
+    "A11": _a11,
+    "A12": _a12,
+    "A13": _a13,
+    "A14": _a14,
+    "A15": _a15,
+    "A16": _a16,
+    "A17": _a17,
+    "A18": _a18,
+    "B01": _b01,
+    "B02": _b02,
+    "B03": _b03,
+    "B04": _b04,
+    "B05": _b05,
+    "B06": _b06,
+    "B07": _b07,
+    "B08": _b08,
+    "B09": _b09,
+    "B10": lambda p: page_finding(f"NOT ({BLANK}) AND blue_ratio >= {float(p['min_blue_ratio'])}D", 0.5),
+    "F01": _f01,
+    "F02": lambda p: page_finding(f"NOT ({BLANK}) AND NOT contains(page_text, '设计图版次') AND NOT contains(page_text, '图纸版次')", 0.5),
+    "F03": lambda p: page_finding(f"{_HAS(('呈报',))} AND NOT rlike(page_text, {t.pattern('共' + chr(92) + 's*' + chr(92) + 'd+' + chr(92) + 's*页')})", 0.6, _FIRST(("呈报",))),
+    "F04": lambda p: page_finding(f"NOT ({BLANK}) AND red_ratio < {float(p['min_red_pixel_ratio'])}D", 0.7),
+    "F05": lambda p: page_finding(f"{_HAS(p['trigger_keywords'])} AND NOT {_any('page_text', p['closure_keywords'])}", 0.5, _FIRST(p["trigger_keywords"])),
+    "F06": _f06,
+    "F07": lambda p: page_finding(f"{_HAS(p['trigger_keywords'])} AND NOT contains(page_text, '拒收单')", 0.5, _FIRST(p["trigger_keywords"])),
+    "F08": _f08,
+    "F09": _f09,
+    "F10": lambda p: page_finding(f"NOT ({BLANK}) AND NOT {_any(_BOTTOM, p['keywords'])}", 0.5),
+    "F11": lambda p: page_finding(f"NOT ({BLANK}) AND NOT rlike({_BOTTOM}, {t.pattern(BATCH)}) AND NOT contains({_BOTTOM}, '不涉及呈报')", 0.45),
+    "F12": lambda p: page_finding(f"{_HAS(('呈报',))} AND NOT contains(page_text, '闭环') AND NOT contains(page_text, '不涉及呈报')", 0.5, _FIRST(("呈报",))),
 }
+#: The rules with the catalog's own parameters.
+RULES = {r: build(c.BOOK[r].params) for r, build in BUILDERS.items()}
 #: What a rule reads besides the page's own columns; seals and cells may be missing from a catalog run on text alone.
 ARRAYS = {r: tuple(a for a in ("lines", "cells", "seals", "segments") if a in sql or a in ("lines", "cells") and "_column" in sql) for r, sql in RULES.items()}
 
 
+def _for(pages: DataFrame, sql: str) -> str:
+    """A rule's SQL with the red shares that the pages have."""
+    red = {RED_LINE: "0D", COLUMN_RED: "red_ratio", ROW_RED: "red_ratio"}
+    if "lines" in pages.columns and "red_ratio" in pages.schema["lines"].dataType.elementType.names:
+        red[RED_LINE] = "coalesce(l.red_ratio, 0D)"
+    red |= {mark: f"coalesce({name}, red_ratio)" for mark, name in ((COLUMN_RED, "column_red"), (ROW_RED, "row_red")) if name in pages.columns}
+    for mark, column_ in red.items():
+        sql = sql.replace(mark, column_)
+    return sql
+
+
+def gated(pages: DataFrame, *ids: str, book: dict | None = None) -> DataFrame:
+    """The prepared pages with findings, an array of (rule_id, f), of the rules: all enabled ones whose arrays are there, or those named, even if they are switched off."""
+    book, have = book or c.BOOK, set(pages.columns)
+    chosen = ids or [r for r in BUILDERS if r in book and book[r].enabled and have.issuperset(ARRAYS[r])]
+    none = f"CAST(array() AS array<struct<rule_id:string,f:{FINDING}>>)"
+    each = [f"if({book[r].applies()}, transform({_for(pages, BUILDERS[r](book[r].params))}, f -> named_struct('rule_id', '{r}', 'f', f)), {none})" for r in chosen]
+    return prepared(pages, book).withColumn("findings", F.expr(f"concat({', '.join([none, *each])})"))
+
+
 def findings(pages: DataFrame, *ids: str, book: dict | None = None) -> DataFrame:
     """doc_id, page_no, rule_id, no, evidence, detail, confidence of the rules (all enabled ones whose arrays are there).
 
     Rules named explicitly run even if the catalog has them switched off."""
-    book = book or c.BOOK
-    have = set(pages.columns)
-    chosen = ids or [r for r in RULES if book[r].enabled and have.issuperset(ARRAYS[r])]
-    gated = [f"if({book[r].applies()}, transform({RULES[r]}, f -> named_struct('rule_id', '{r}', 'f', f)), CAST(array() AS array<struct<rule_id:string,f:struct<no:int,evidence:string,detail:string,confidence:double>>>))" for r in chosen]
-    one = prepared(pages).select("doc_id", "page_no", F.explode(F.expr(f"concat({', '.join(gated)})")).alias("x"))
-    return one.select("doc_id", "page_no", "x.rule_id", "x.f.no", "x.f.evidence", "x.f.detail", "x.f.confidence")
+    # a struct of just these fields: pruning a field behind explode would compute the array once for each other field
+    flat = "transform(findings, e -> named_struct('rule_id', e.rule_id, 'no', e.f.no, 'evidence', e.f.evidence, 'detail', e.f.detail, 'confidence', e.f.confidence))"
+    return gated(pages, *ids, book=book).select("doc_id", "page_no", F.explode(F.expr(flat)).alias("x")).select("doc_id", "page_no", "x.*")

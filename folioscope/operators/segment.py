@@ -44,30 +44,36 @@ def page_units(digests: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.expr(pages).alias("ds")).select("doc_id", F.explode(F.expr(f"zip_with(ds, {units}, (d, u) -> named_struct('d', d, 'unit_no', u))")).alias("x")).select("doc_id", "x.d.*", "x.unit_no")
 
 
+def unit_numbers(rows: list[dict]) -> list[int]:
+    """The same rules as a loop over one archive's pages in order: form_type, keys, marker and has_title give each page its unit."""
+    unit, form, keys, last, declared, marked, n, out = 0, None, {}, None, None, False, 0, []
+    for r in rows:
+        k, m = dict(r["keys"] or []), r["marker"]
+        if not unit or any(x in keys and keys[x] != v for x, v in k.items()) or m and m["current"] == 1:
+            new = True
+        elif m and last and (m["current"], m["total"]) == (last["current"] + 1, last["total"]):
+            new = False
+        else:
+            new = bool(declared and n >= declared) or (r["form_type"] != form and c.UNKNOWN_FORM not in (r["form_type"], form)) or bool(r["has_title"] and k)
+        if new:
+            unit, form, keys, last, declared, marked, n = unit + 1, r["form_type"], {}, None, None, False, 0
+        n += 1
+        keys = {**k, **keys}
+        if m:
+            if not marked and m["current"] == 1:
+                declared = m["total"]
+            last, marked = m, True
+        out.append(unit)
+    return out
+
+
 def segment_long(digests: DataFrame) -> DataFrame:
     """The same unit numbers by a loop over each archive, for archives of very many pages."""
 
     def number(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["page_no"])
-        unit, form, keys, last, declared, marked, n = 0, None, {}, None, None, False, 0
-        for r in rows:
-            k, m = dict(r["keys"] or []), r["marker"]
-            if not unit or any(x in keys and keys[x] != v for x, v in k.items()) or m and m["current"] == 1:
-                new = True
-            elif m and last and (m["current"], m["total"]) == (last["current"] + 1, last["total"]):
-                new = False
-            else:
-                new = bool(declared and n >= declared) or (r["form_type"] != form and c.UNKNOWN_FORM not in (r["form_type"], form)) or bool(r["has_title"] and k)
-            if new:
-                unit, form, keys, last, declared, marked, n = unit + 1, r["form_type"], {}, None, None, False, 0
-            n += 1
-            keys = {**k, **keys}
-            if m:
-                if not marked and m["current"] == 1:
-                    declared = m["total"]
-                last, marked = m, True
-            r["unit_no"] = unit
-        return pa.Table.from_pylist([{"doc_id": r["doc_id"], "page_no": r["page_no"], "unit_no": r["unit_no"]} for r in rows], schema=pa.schema([("doc_id", pa.string()), ("page_no", pa.int32()), ("unit_no", pa.int32())]))
+        columns = [r["doc_id"] for r in rows], [r["page_no"] for r in rows], unit_numbers(rows)
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "page_no", "unit_no"])
 
     return digests.select("doc_id", "page_no", "form_type", "keys", "marker", "has_title").groupBy("doc_id").applyInArrow(number, "doc_id string, page_no int, unit_no int")
 
@@ -104,38 +110,49 @@ def listed(u: DataFrame, doc_id: str | None = None) -> DataFrame:
     return (u if doc_id is None else u.where(F.col("doc_id") == doc_id)).orderBy("doc_id", "start_page")
 
 
-def _unit_finding(rows: DataFrame, rule: str, page: str, detail: str, confidence: object) -> DataFrame:
+def _unit_finding(rows: DataFrame, rule: c.Rule, page: str, detail: str, confidence: object) -> DataFrame:
     conf = confidence if isinstance(confidence, str) else f"{confidence}D"
-    return rows.where(c.BOOK[rule].applies()).selectExpr("doc_id", "unit_id", f"'{rule}' AS rule_id", f"CAST({page} AS INT) AS page_no", f"CAST({detail} AS STRING) AS detail", f"{conf} AS confidence")
+    return rows.where(rule.applies()).selectExpr("doc_id", "unit_id", f"'{rule.id}' AS rule_id", f"CAST({page} AS INT) AS page_no", f"CAST({detail} AS STRING) AS detail", f"{conf} AS confidence")
 
 
-def missing_pages(u: DataFrame, flag_head: bool = False) -> DataFrame:
+def missing_pages(u: DataFrame, flag_head: bool | None = None, rule: c.Rule = c.BOOK["U01"]) -> DataFrame:
     """Fewer pages than declared; else, if asked for, a first number above 1."""
+    flag_head = c.truth(rule.params["flag_missing_head"]) if flag_head is None else flag_head
     short = "coalesce(declared_total, 0) > 0 AND page_count < declared_total"
     head = f"{str(flag_head).lower()} AND NOT ({short}) AND first_marker.current > 1"
     found = u.where(f"({short}) OR ({head})")
-    return _unit_finding(found, "U01", "start_page", f"if({short}, declared_total - page_count, first_marker.current - 1)", f"if({short}, 0.7D, 0.45D)")
+    return _unit_finding(found, rule, "start_page", f"if({short}, declared_total - page_count, first_marker.current - 1)", f"if({short}, 0.7D, 0.45D)")
 
 
-def page_sequence(u: DataFrame) -> DataFrame:
+def page_sequence(u: DataFrame, rule: c.Rule = c.BOOK["U02"]) -> DataFrame:
     """Page numbers that repeat, else those missing between the smallest and the largest."""
     seq = u.where("size(markers) >= 2").withColumn("seq", F.expr("array_sort(transform(markers, m -> m.current))"))
     seq = seq.withColumn("dup", F.expr("array_distinct(filter(seq, (x, i) -> i > 0 AND seq[i - 1] = x))")).withColumn("gap", F.expr("array_except(sequence(seq[0], element_at(seq, -1)), seq)"))
     found = seq.where("size(dup) > 0 OR size(gap) > 0")
-    return _unit_finding(found, "U02", "start_page", "if(size(dup) > 0, concat('repeats ', array_join(transform(dup, x -> CAST(x AS STRING)), ',')), concat('lacks ', array_join(transform(gap, x -> CAST(x AS STRING)), ',')))", 0.6)
+    return _unit_finding(found, rule, "start_page", "if(size(dup) > 0, concat('repeats ', array_join(transform(dup, x -> CAST(x AS STRING)), ',')), concat('lacks ', array_join(transform(gap, x -> CAST(x AS STRING)), ',')))", 0.6)
 
 
-def unnumbered_pages(u: DataFrame) -> DataFrame:
+def unnumbered_pages(u: DataFrame, rule: c.Rule = c.BOOK["U03"]) -> DataFrame:
     """A unit of several pages with fewer distinct numbers than pages; the first six pages without one."""
     rows = u.withColumn("bare", F.expr("array_except(pages, transform(markers, m -> m.page_no))"))
-    found = rows.where("page_count >= 2 AND size(array_distinct(transform(markers, m -> m.current))) < page_count AND size(bare) > 0")
-    return _unit_finding(found, "U03", "bare[0]", "concat(size(bare), ': ', array_join(transform(slice(bare, 1, 6), x -> CAST(x AS STRING)), ','))", 0.55)
+    found = rows.where(f"page_count >= {int(rule.params['min_pages'])} AND size(array_distinct(transform(markers, m -> m.current))) < page_count AND size(bare) > 0")
+    return _unit_finding(found, rule, "bare[0]", "concat(size(bare), ': ', array_join(transform(slice(bare, 1, 6), x -> CAST(x AS STRING)), ','))", 0.55)
 
 
-def repeated_records(u: DataFrame, digests: DataFrame) -> DataFrame:
+def repeated_records(u: DataFrame, digests: DataFrame, rule: c.Rule = c.BOOK["U04"]) -> DataFrame:
     """Pages of one archive with the same fingerprint; reported once, for the unit that holds the first of them."""
-    same = digests.where("fingerprint <> '' AND text_len >= 60").groupBy("doc_id", "fingerprint").agg(F.array_sort(F.collect_list("page_no")).alias("copies")).where("size(copies) > 1")
+    same = digests.where(f"fingerprint <> '' AND text_len >= {int(rule.params['min_text_len'])}").groupBy("doc_id", "fingerprint").agg(F.array_sort(F.collect_list("page_no")).alias("copies")).where("size(copies) > 1")
     holder = u.select("doc_id", "unit_id", "unit_no", "form_type", F.explode("pages").alias("first"))
     met = same.withColumn("first", F.col("copies")[0]).join(holder, ["doc_id", "first"])
     first = met.groupBy("doc_id", "fingerprint", "first", "copies").agg(F.min_by(F.struct("unit_id", "form_type"), "unit_no").alias("u")).select("*", "u.*")
-    return _unit_finding(first, "U04", "first", "array_join(transform(copies, x -> CAST(x AS STRING)), ',')", 0.6)
+    return _unit_finding(first, rule, "first", "array_join(transform(copies, x -> CAST(x AS STRING)), ',')", 0.6)
+
+
+def findings(u: DataFrame, digests: DataFrame, book: dict[str, c.Rule] | None = None) -> DataFrame:
+    """doc_id, unit_id, rule_id, page_no, detail, confidence of all enabled unit rules."""
+    book, out = book or c.BOOK, None
+    for rule_id, run in (("U01", lambda r: missing_pages(u, rule=r)), ("U02", lambda r: page_sequence(u, r)), ("U03", lambda r: unnumbered_pages(u, r)), ("U04", lambda r: repeated_records(u, digests, r))):
+        if rule_id in book and book[rule_id].enabled:
+            one = run(book[rule_id])
+            out = one if out is None else out.unionByName(one)
+    return _unit_finding(u.limit(0), c.BOOK["U01"], "start_page", "NULL", 0.0) if out is None else out

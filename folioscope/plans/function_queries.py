@@ -44,10 +44,6 @@ def fn_safe_name(spark, d):
 
 
 def fn_escape(spark, d):
-    return table(spark, d, "pages").selectExpr("page_id", f"{t.escaped('left(html, 300)')} AS shown")
-
-
-def fn_escape_whole(spark, d):
     return table(spark, d, "pages").selectExpr("page_id", f"{t.escaped('html')} AS shown")
 
 
@@ -58,7 +54,8 @@ def fn_density(spark, d):
     return top.select("doc_id", F.when(F.col("pages") > 0, F.round(F.col("n") / F.col("pages"), 2)).alias("density"), F.round(100.0 * F.col("n") / most, 1).alias("bar"))
 
 
-QUERIES = {f.__name__: f for f in (jn_header_above, fn_line_geometry, fn_cell_content, fn_blank_pages, fn_safe_name, fn_escape, fn_escape_whole, fn_density)}
+QUERIES = {f.__name__: f for f in (jn_header_above, fn_line_geometry, fn_cell_content, fn_blank_pages, fn_safe_name, fn_escape, fn_density)}
+QUERIES["fn_escape_whole"] = fn_escape  # its former name
 SQL = {
     "jn_header_above": f"""{derived.sql_with("cells")} SELECT a.doc_id, a.page_no, a.cell_no, k.cell_no AS header_no FROM cells a JOIN cells k ON a.doc_id = k.doc_id AND a.page_no = k.page_no
       AND k.y + k.h <= a.y AND k.content <> '' AND {_SHARED} > 0 AND {_SHARED} >= 0.6 * least(a.w, k.w) QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.page_no, a.cell_no ORDER BY a.y - (k.y + k.h), k.cell_no) = 1""",
@@ -68,8 +65,8 @@ SQL = {
       SELECT doc_id, page_no, cell_no, trim(string_agg(text, '' ORDER BY cx, line_no)) AS content FROM o GROUP BY ALL""",
     "fn_blank_pages": f"{derived.sql_with('notes')} SELECT doc_id, page_no, count(*) < 3 AS blank, bool_or(contains(replace(text, ' ', ''), '与原件')) AS copy FROM tnotes GROUP BY ALL",
     "fn_safe_name": "SELECT c_custkey, left(regexp_replace(c_name || '（' || c_mktsegment || '）', '[^A-Za-z0-9_-]+', '_', 'g'), 32) || '_' || left(sha1(c_name || '（' || c_mktsegment || '）'), 6) AS name FROM customer",
-    "fn_escape": """SELECT page_id, replace(replace(replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS shown FROM pages""",
-    "fn_escape_whole": """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS shown FROM pages""",
+    "fn_escape": """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS shown FROM pages""",
     "fn_density": f"""SELECT doc_id, CASE WHEN pages > 0 THEN round(n / pages, 2) END AS density, round(100.0 * n / max(n) OVER (), 1) AS bar
       FROM (SELECT doc_id, count(*) AS n, count(DISTINCT page_no) AS pages FROM ({derived.FINDING}) f GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 10) z""",
 }
+SQL["fn_escape_whole"] = SQL["fn_escape"]

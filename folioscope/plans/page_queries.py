@@ -147,12 +147,12 @@ ORACLES = {
     "A18": _out("A18", f"(SELECT a.* FROM {_first_line('trows', _any('replace(text, ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) * 2 + ')', c.REVIEWERS)).removesuffix(' z')} a WHERE EXISTS (SELECT 1 FROM trows v WHERE v.doc_id = a.doc_id AND v.page_no = a.page_no AND contains(replace(v.text, ' ', ''), '与原件')) AND NOT EXISTS (SELECT 1 FROM trows v WHERE v.doc_id = a.doc_id AND v.page_no = a.page_no AND v.line_no <> a.line_no AND abs((v.y + v.h / 2.0) - (a.y + a.h / 2.0)) <= greatest(a.h, 20) * 1.4 AND v.x + v.w / 2.0 > a.x + a.w / 2.0 AND regexp_replace(v.text, '[\\s:：]', '', 'g') <> '' AND NOT {_any('v.text', c.REVIEWERS)}) AND NOT EXISTS (SELECT 1 FROM seals s WHERE s.doc_id = a.doc_id AND s.page_no = a.page_no AND s.x + s.w / 2.0 > a.x AND abs((s.y + s.h / 2.0) - (a.y + a.h / 2.0)) <= greatest(a.h, 20) * 1.4)) z", conf="0.5"),
     "B01": _out("B01", "seals", "fill >= 0.18 AND rect >= 0.8 AND abs(angle) > 10", "seal_no", "NULL", "printf('%.1f', angle)", "0.6"),
     "B02": _out("B02", f"(SELECT s.*, o.seal_no AS other FROM seals s JOIN seals o ON s.doc_id = o.doc_id AND s.page_no = o.page_no AND s.seal_no < o.seal_no WHERE s.fill >= 0.18 AND o.fill >= 0.18 AND s.area >= 840 AND o.area >= 840 AND greatest({_cover('s', 'o')}, {_cover('o', 's')}) >= 0.5) z", "true", "seal_no", "NULL", "other", "0.7"),
-    "B03": _out("B03", f"(SELECT l.*, s.seal_no FROM tlines l JOIN seals s ON s.doc_id = l.doc_id AND s.page_no = l.page_no WHERE regexp_matches(l.text, '(?:19|20)[0-9]{{2}} *[./年-] *[0-9]{{1,2}} *[./月-] *[0-9]{{1,2}}') AND s.fill >= 0.18 AND {_cover('l', 's')} >= 0.25) z", "true", "seal_no", "text", "line_no", "0.65"),
+    "B03": _out("B03", f"(SELECT l.*, s.seal_no FROM tlines l JOIN seals s ON s.doc_id = l.doc_id AND s.page_no = l.page_no WHERE regexp_matches(l.text, '(?:19|20)[0-9]{{2}} *[./年-] *[0-9]{{1,2}} *[./月-] *[0-9]{{1,2}}') AND l.line_red <= 0.02 AND s.fill >= 0.18 AND {_cover('l', 's')} >= 0.25) z", "true", "seal_no", "text", "line_no", "0.65"),
     "B04": _out("B04", _blank_cells(), detail="cnt", conf="CASE WHEN line_no IS NULL THEN 0.5 ELSE 0.4 END"),
     "B05": _out("B05", "tlines", f"{_COPY} AND NOT ({_CX} / width >= 0.5 AND {_CY} / height >= 0.6)", conf="0.75"),
     "B06": _out("B06", _struck(), "n > 3", "NULL", "NULL", "n", "0.4"),
-    "B07": _out("B07", f"""(SELECT p.doc_id, p.page_no, p.form_type, c.hdr_no AS line_no, c.htext AS text FROM (SELECT DISTINCT doc_id, page_no, form_type, red_ratio FROM trows) p JOIN {_column(c.INSPECTORS)} c USING (doc_id, page_no)
-      WHERE p.red_ratio <= 0.002 AND NOT EXISTS (SELECT 1 FROM trows v WHERE v.doc_id = p.doc_id AND v.page_no = p.page_no AND contains(replace(v.text, ' ', ''), '与原件'))
+    "B07": _out("B07", f"""(SELECT p.doc_id, p.page_no, p.form_type, c.hdr_no AS line_no, c.htext AS text FROM (SELECT DISTINCT doc_id, page_no, form_type, column_red, row_red FROM trows) p JOIN {_column(c.INSPECTORS)} c USING (doc_id, page_no)
+      WHERE p.column_red <= 0.002 AND p.row_red <= 0.002 AND NOT EXISTS (SELECT 1 FROM trows v WHERE v.doc_id = p.doc_id AND v.page_no = p.page_no AND contains(replace(v.text, ' ', ''), '与原件'))
       AND NOT EXISTS (SELECT 1 FROM seals s WHERE s.doc_id = p.doc_id AND s.page_no = p.page_no AND s.fill >= 0.18 AND (s.x + s.w / 2.0 BETWEEN c.x1 AND c.x2 AND s.y + s.h / 2.0 > c.hy OR s.x + s.w / 2.0 > c.hx AND s.y + s.h / 2.0 BETWEEN c.hy - greatest(c.hh, 20) * 1.2 AND c.hy + greatest(c.hh, 20) * 1.6))
       AND (SELECT count(*) FROM trows l WHERE l.doc_id = p.doc_id AND l.page_no = p.page_no AND l.y + l.h / 2.0 > c.hy + c.hh AND l.x + l.w / 2.0 < c.x1) >= 2) z""", conf="0.5"),
     "B08": _out("B08", _PAGE % "tlines", f"red_ratio < 0.00002 AND {_not_on_page('tlines', _COPY)}", conf="0.7"),
@@ -193,6 +193,28 @@ _ON_LINES = {r: ORACLES[r].split(derived.sql_with(*PARTS[r]), 1)[1].replace("tno
 _CATALOG = ", ".join(f"('{r.id}', '{r.level}', '{r.title.replace(chr(39), chr(39) * 2)}')" for r in c.RULES)
 ALL_SQL = f"{derived.sql_with('lines')}, found AS ({' UNION ALL '.join(_ON_LINES[r] for r in _ALL)}) SELECT doc_id, page_no, rule_id, level, title, no, evidence, detail, confidence FROM found JOIN (VALUES {_CATALOG}) k(rule_id, level, title) USING (rule_id)"
 
-QUERIES = {f"{r.lower()}_{n}": query(r) for r, n in NAMES.items()}
-SQL = {f"{r.lower()}_{n}": ORACLES[r] for r, n in NAMES.items()}
+#: Rules under other parameters: name -> rule, parameters, and the twin's text with what they change in it.
+CHANGED = {
+    "b01_tilt_over_89": ("B01", {"max_tilt_deg": 89}, ORACLES["B01"].replace("abs(angle) > 10", "abs(angle) > 89")),
+    "b01_tilt_over_15": ("B01", {"max_tilt_deg": 15}, ORACLES["B01"].replace("abs(angle) > 10", "abs(angle) > 15")),
+    "a09_in_order": ("A09", {"strict_order": True}, ORACLES["A09"].replace(f"OR regexp_matches(text, '{_CUR}'))", "OR regexp_matches(text, '第 *[0-9]+ *页 *[，,、 ]? *共 *[0-9]+ *页'))")),
+    "a09_missing": ("A09", {"flag_missing": True, "min_pages": 3}, f"""{ORACLES["A09"].replace("page_count >= 2", "page_count >= 3")} UNION ALL SELECT doc_id, page_no, 'A09', CAST(NULL AS INT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0.5
+      FROM (SELECT doc_id, page_no, form_type, page_count, bool_or(regexp_matches(text, '{_MARK}|{_CUR}')) AS told FROM tlines GROUP BY ALL) z WHERE page_count >= 3 AND NOT told AND ({BOOK["A09"].applies()})"""),
+    "a10_two_decimals": ("A10", {"max_decimals": 2}, ORACLES["A10"].replace("{4,}", "{3,}")),
+    "a18_missing_field": ("A18", {"flag_missing_field": True, "labels": ("复核人",)}, f"""{ORACLES["A18"].replace("(contains(replace(text, ' ', ''), '复核人') OR contains(replace(text, ' ', ''), '负责人') OR contains(replace(text, ' ', ''), '审核人'))", "contains(replace(text, ' ', ''), '复核人')").replace("NOT (contains(v.text, '复核人') OR contains(v.text, '负责人') OR contains(v.text, '审核人'))", "NOT contains(v.text, '复核人')")}
+      UNION ALL SELECT doc_id, page_no, 'A18', CAST(NULL AS INT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0.35 FROM (SELECT doc_id, page_no, form_type, bool_or({_COPY}) AS copied, bool_or(contains(replace(text, ' ', ''), '复核人')) AS named FROM trows GROUP BY ALL) z WHERE copied AND NOT named AND ({BOOK["A18"].applies()})"""),
+    "b04_all_fields": ("B04", {"check_all_fields": True, "group_as_column": 2}, ORACLES["B04"].replace(f" WHERE {_any('name', c.CELL_FIELDS)}", "").replace("cnt < 3", "cnt < 2")),
+    "b07_copies_too": ("B07", {"skip_copy_pages": False, "region_red_ratio": 0.001}, ORACLES["B07"].replace("_red <= 0.002", "_red <= 0.001").replace(" AND NOT EXISTS (SELECT 1 FROM trows v WHERE v.doc_id = p.doc_id AND v.page_no = p.page_no AND contains(replace(v.text, ' ', ''), '与原件'))", "")),
+}
+
+
+def changed(rule: str, params: dict):
+    def run(spark, sf_dir: str):
+        return page_rules.findings(pages_for(spark, sf_dir, *PARTS[rule]), rule, book=c.with_packs(BOOK, {rule: {"params": params}}))
+
+    return run
+
+
+QUERIES = {f"{r.lower()}_{n}": query(r) for r, n in NAMES.items()} | {n: changed(r, p) for n, (r, p, _) in CHANGED.items()}
+SQL = {f"{r.lower()}_{n}": ORACLES[r] for r, n in NAMES.items()} | {n: sql for n, (_, _, sql) in CHANGED.items()}
 QUERIES["all_text_rules"], SQL["all_text_rules"] = all_text_rules, ALL_SQL

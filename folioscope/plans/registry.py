@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import function_queries, page_queries, store_queries, unit_queries
+from . import audit_queries, function_queries, page_queries, store_queries, unit_queries
 
-_MODULES = (page_queries, store_queries, unit_queries, function_queries)
+_MODULES = (page_queries, store_queries, unit_queries, function_queries, audit_queries)
 
 
 def queries() -> dict:

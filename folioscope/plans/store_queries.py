@@ -115,9 +115,15 @@ def _(spark, d):
     return f.collapse(_run0(spark, d), derived.relation(spark, d, _PAGES))[1]
 
 
-@_add("ag_left_single", f"{_SINGLE} SELECT doc_id, page_no, rule_id, seq FROM single WHERE rule_id NOT IN (SELECT rule_id FROM single GROUP BY rule_id HAVING count(*) >= 30)")
+#: Findings of a few rules of many findings and of many rules of a few: an order's later lines are a rule of their own.
+_MIXED = _FIND.replace("'A' || lpad(CAST(l_linenumber AS STRING), 2, '0') AS rule_id", "CASE WHEN l_linenumber < 3 THEN 'A' || CAST(l_linenumber AS STRING) ELSE 'R' || CAST(l_orderkey AS STRING) END AS rule_id")
+_MIXED_SINGLE = _SINGLE.replace(_FIND, _MIXED)
+
+
+@_add("ag_left_single", f"{_MIXED_SINGLE} SELECT doc_id, page_no, rule_id, seq FROM single WHERE rule_id NOT IN (SELECT rule_id FROM single GROUP BY rule_id HAVING count(*) >= 30)")
 def _(spark, d):
-    return f.collapse(_run0(spark, d), derived.relation(spark, d, _PAGES))[2].select("doc_id", "page_no", "rule_id", "seq")
+    mixed = derived.relation(spark, d, _MIXED).where("run_id = 'run0'")
+    return f.collapse(mixed, derived.relation(spark, d, _PAGES))[2].select("doc_id", "page_no", "rule_id", "seq")
 
 
 @_add("ag_dedupe", f"SELECT rule_id, doc_id, page_no, x, message, min(seq) AS seq FROM ({_FIND}) z GROUP BY ALL")
@@ -150,14 +156,12 @@ def _(spark, d):
     return f.merged_gold(derived.relation(spark, d, _WITH_PARTS))
 
 
-@_add("wn_ledger", f"SELECT CAST(row_number() OVER (ORDER BY {_RANK3}, doc_id, page_no, finding_key) AS INT) AS no, finding_key, level, message FROM ({_KEYED}) k WHERE run_id = 'run0' AND doc_id = '3'")
+@_add("wn_ledger", f"SELECT CAST(row_number() OVER (ORDER BY {_RANK3}, doc_id, page_no, finding_key) AS INT) AS no, finding_key, level, message FROM ({_KEYED}) k WHERE run_id = 'run0'")
 def _(spark, d):
-    return f.ledger(_keyed(spark, d).where("run_id = 'run0' AND doc_id = '3'"))
+    return f.ledger(_keyed(spark, d).where("run_id = 'run0'"))
 
 
-@_add("wn_run_ledger", f"SELECT CAST(row_number() OVER (ORDER BY {_RANK3}, doc_id, page_no, finding_key) AS INT) AS no, finding_key, level, message FROM ({_KEYED}) k WHERE run_id = 'run0'")
-def _(spark, d):
-    return f.ledger(_keyed(spark, d).where("run_id = 'run0'"))
+Q["wn_run_ledger"], S["wn_run_ledger"] = Q["wn_ledger"], S["wn_ledger"]  # its former name
 
 
 @_add("jn_run_totals", f"SELECT r.run_id, r.target, coalesce(x.n, 0) AS findings, coalesce(v.n, 0) AS judged FROM ({_RUNS}) r LEFT JOIN (SELECT run_id, count(*) AS n FROM ({_FIND}) z GROUP BY 1) x USING (run_id) LEFT JOIN (SELECT split_part(finding_key, '|', 1) AS run_id, count(*) AS n FROM ({_VERD}) z GROUP BY 1) v USING (run_id)")
@@ -170,13 +174,6 @@ def _(spark, d):
     return derived.relation(spark, d, _RUNS, "region").join(_find(spark, d).where("doc_id = '5'"), "run_id").groupBy("run_id", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_add("jn_doc_union", f"WITH p AS (SELECT doc_id, count(*) AS pages FROM ({_PAGES}) z WHERE CAST(doc_id AS INT) % 3 <> 0 GROUP BY 1), x AS (SELECT doc_id, count(*) AS findings FROM ({_FIND}) z WHERE level = 'CRITICAL' AND CAST(doc_id AS INT) % 2 = 0 GROUP BY 1) SELECT coalesce(p.doc_id, x.doc_id) AS doc_id, coalesce(pages, 0) AS pages, coalesce(findings, 0) AS findings FROM p FULL JOIN x ON p.doc_id = x.doc_id")
-def _(spark, d):
-    p = derived.relation(spark, d, _PAGES).where("CAST(doc_id AS INT) % 3 <> 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
-    x = _find(spark, d).where("level = 'CRITICAL' AND CAST(doc_id AS INT) % 2 = 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("findings"))
-    return p.join(x, "doc_id", "full").fillna(0, ["pages", "findings"])
-
-
 _RULES = "SELECT 'A' || lpad(CAST(n_nationkey AS STRING), 2, '0') AS rule_id, n_nationkey % 2 = 0 AS enabled, CASE n_regionkey WHEN 0 THEN 'HIGH' ELSE 'LOW' END AS level FROM nation"
 _OVER = "SELECT 'A' || lpad(CAST(n_nationkey AS STRING), 2, '0') AS rule_id, CASE WHEN n_nationkey % 4 = 0 THEN false END AS enabled, CASE WHEN n_nationkey % 3 = 0 THEN 'CRITICAL' END AS level FROM nation WHERE n_nationkey % 6 < 4"
 

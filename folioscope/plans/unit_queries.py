@@ -126,21 +126,22 @@ def _(spark, d):
     return placed.join(found, ["doc_id", "page_no"], "left").groupBy("unit_id").agg(F.count("one").alias("findings"))
 
 
-@_add("so_units", f"{_SEG} SELECT unit_id, form_type, pages[1] AS start_page, pages[len(pages)] AS end_page FROM full_u WHERE CAST(doc_id AS BIGINT) % 100 = 7")
+@_add("so_units", f"{_SEG} SELECT unit_id, form_type, pages[1] AS start_page, pages[len(pages)] AS end_page FROM full_u")
 def _(spark, d):
-    return _units(spark, d).where("CAST(doc_id AS BIGINT) % 100 = 7").orderBy("doc_id", "start_page").select("unit_id", "form_type", "start_page", "end_page")
+    return segment.listed(_units(spark, d)).select("unit_id", "form_type", "start_page", "end_page")
 
 
-@_add("so_run_units", f"{_SEG} SELECT unit_id, form_type, pages[1] AS start_page, pages[len(pages)] AS end_page FROM full_u")
-def _(spark, d):
-    return segment.listed(_units(spark, d)).select("unit_id", "form_type", "start_page", "end_page")
+Q["so_run_units"], S["so_run_units"] = Q["so_units"], S["so_units"]  # its former name
 
 
 @_add("jn_archive_overview", f"{_SEG}, p AS (SELECT doc_id, count(*) AS pages FROM ({_PAGES}) z GROUP BY 1), x AS (SELECT doc_id, count(*) AS findings, count(*) FILTER (WHERE level = 'CRITICAL') AS critical, count(*) FILTER (WHERE level = 'HIGH') AS high, count(*) FILTER (WHERE level = 'MEDIUM') AS medium, count(*) FILTER (WHERE level = 'LOW') AS low FROM ({derived.FINDING}) z GROUP BY 1), n AS (SELECT doc_id, count(*) AS units FROM full_u GROUP BY 1) SELECT coalesce(p.doc_id, x.doc_id) AS doc_id, coalesce(pages, 0) AS pages, coalesce(units, 0) AS units, coalesce(findings, 0) AS findings, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low FROM p FULL JOIN x ON p.doc_id = x.doc_id LEFT JOIN n ON n.doc_id = coalesce(p.doc_id, x.doc_id)")
-def _(spark, d):
+def jn_archive_overview(spark, d):
     return findings.archive_overview(derived.relation(spark, d, _PAGES), _units(spark, d), derived.relation(spark, d, derived.FINDING))
 
 
+Q["jn_doc_union"], S["jn_doc_union"] = Q["jn_archive_overview"], S["jn_archive_overview"]  # its former name
+
+
 @_add("fn_unit_label", f"{_SEG} SELECT unit_id, form_type || '（p' || pages[1] || '-' || pages[len(pages)] || '）' AS label FROM full_u")
 def _(spark, d):
     return _units(spark, d).select("unit_id", F.concat("form_type", F.lit("（p"), F.col("start_page").cast("string"), F.lit("-"), F.col("end_page").cast("string"), F.lit("）")).alias("label"))
@@ -178,7 +179,7 @@ def _(spark, d):
     return fp.groupBy("source", "fp").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
 
 
-@_add("fn_classify", f"{derived.sql_with('notes')}, hd AS (SELECT doc_id, page_no, bool_or(contains(text, '合格证') AND {_CY} <= height / 3.0) AS h1, bool_or(contains(text, '呈报') AND {_CY} <= height / 3.0) AS h2, bool_or(contains(text, '合格证')) AS a1, bool_or(contains(text, '呈报')) AS a2, bool_or(contains(text, '零件号')) AND bool_or(contains(text, '抽检')) AS st FROM tnotes GROUP BY ALL) SELECT doc_id, page_no, CASE WHEN h1 THEN '产品合格证' WHEN h2 THEN '呈报单' WHEN a1 THEN '产品合格证' WHEN a2 THEN '呈报单' WHEN st THEN '检验记录' ELSE '未识别' END AS form FROM hd")
+@_add("fn_classify", f"{derived.sql_with('notes')}, jt AS (SELECT doc_id, page_no, coalesce(string_agg(text, '' ORDER BY line_no) FILTER (WHERE {_CY} < height * 0.34), '') AS head, string_agg(text, '' ORDER BY line_no) AS body FROM tnotes GROUP BY ALL), hd AS (SELECT doc_id, page_no, contains(head, '合格证') AS h1, contains(head, '呈报') AS h2, contains(body, '合格证') AS a1, contains(body, '呈报') AS a2, contains(body, '零件号') AND contains(body, '抽检') AS st FROM jt) SELECT doc_id, page_no, CASE WHEN h1 THEN '产品合格证' WHEN h2 THEN '呈报单' WHEN a1 THEN '产品合格证' WHEN a2 THEN '呈报单' WHEN st THEN '检验记录' ELSE '未识别' END AS form FROM hd")
 def _(spark, d):
     forms = classify.Forms(patterns=(("产品合格证", ("合格证",)), ("呈报单", ("呈报",))), structural=(("检验记录", ("零件号", "抽检")),))
     return pages_for(spark, d, "notes").select("doc_id", "page_no", F.expr(forms.sql()).alias("form"))
@@ -198,7 +199,16 @@ def _(spark, d):
     return s.selectExpr("doc_id", "page_no", "s.seal_no", f"{g.normal_angle('(s.angle * 7)')} AS angle")
 
 
-@_add("img_merge_nested", None)
+_HOLDS = "k.fill >= 0.18 AND greatest(least(k.x + k.w, s[1].x + s[1].w) - greatest(k.x, s[1].x), 0) * greatest(least(k.y + k.h, s[1].y + s[1].h) - greatest(k.y, s[1].y), 0) / CAST(greatest(1, s[1].w * s[1].h) AS DOUBLE) >= 0.9"
+_GROWN = """{'x': least(k.x, s[1].x), 'y': least(k.y, s[1].y), 'w': greatest(k.x + k.w, s[1].x + s[1].w) - least(k.x, s[1].x), 'h': greatest(k.y + k.h, s[1].y + s[1].h) - least(k.y, s[1].y)}"""
+_MERGED = f"""{derived.sql_with('seals')}, boxed AS (SELECT doc_id, page_no, list({{'seal_no': seal_no, 'x': x, 'y': y, 'w': w, 'h': h, 'area': area, 'fill': fill}} ORDER BY area DESC, seal_no) AS l FROM seals GROUP BY ALL),
+  folded AS (SELECT doc_id, page_no, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda kept, s: CASE WHEN coalesce(list_position(list_transform(kept, lambda k: {_HOLDS}), true), 0) = 0 THEN list_concat(kept, s)
+    ELSE list_transform(kept, lambda k, i: CASE WHEN i <> list_position(list_transform(kept, lambda k: {_HOLDS}), true) THEN k ELSE {{'seal_no': k.seal_no, 'x': {_GROWN}.x, 'y': {_GROWN}.y, 'w': {_GROWN}.w, 'h': {_GROWN}.h, 'area': {_GROWN}.w * {_GROWN}.h,
+      'fill': least(1.0, (k.fill * k.area + s[1].fill * s[1].area) / greatest(1, {_GROWN}.w * {_GROWN}.h))}} END) END)) AS s FROM boxed)
+  SELECT doc_id, page_no, s.seal_no AS seal_no, s.x AS x, s.y AS y, s.w AS w, s.h AS h, round(s.fill, 6) AS fill FROM folded"""
+
+
+@_add("img_merge_nested", _MERGED)
 def _(spark, d):
     s = image.with_merged_seals(derived.pages(spark, d, "seals")).select("doc_id", "page_no", F.explode("seals").alias("s"))
     return s.selectExpr("doc_id", "page_no", "s.seal_no", "s.x", "s.y", "s.w", "s.h", "round(s.fill, 6) AS fill")
@@ -268,7 +278,7 @@ def _(spark, d):
 _STATES = "CASE CAST(predicted % 4 AS INT) WHEN 0 THEN 'ok' WHEN 1 THEN 'chipped' WHEN 2 THEN 'upside_down' ELSE 'faint' END"
 for _r in ("B12", "B13"):
 
-    @_add(f"{_r.lower()}_seal_state", f"SELECT * FROM (SELECT vec_id % 40 AS page, vec_id, {_STATES} AS state, CAST(row_number() OVER (PARTITION BY vec_id % 40 ORDER BY vec_id) AS INT) AS place FROM ({model.SOFTMAX_SQL}) p WHERE {_STATES} IN ({', '.join(repr(x) for x in c.BOOK[_r].params['labels'])})) z WHERE place <= 12")
+    @_add(f"{_r.lower()}_seal_state", f"SELECT * FROM (SELECT vec_id % 40 AS page, vec_id, {_STATES} AS state, CAST(row_number() OVER (PARTITION BY vec_id % 40 ORDER BY vec_id) AS INT) AS place FROM ({model.SOFTMAX_SQL}) p WHERE {_STATES} IN ({', '.join(repr(x) for x in c.BOOK[_r].params['reject_labels'])})) z WHERE place <= 12")
     def _(spark, d, _r=_r):
         e = table(spark, d, "embeddings")
         p = model.predicted(model.centroids(e), e).selectExpr("vec_id % 40 AS page", "vec_id", f"{_STATES} AS state", "1D AS p")

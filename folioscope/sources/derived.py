@@ -22,7 +22,8 @@ SELECT CAST(l_orderkey AS STRING) AS doc_id,
   CAST(year(l_shipdate) AS INT) AS yy, CAST(month(l_shipdate) AS INT) AS mm, CAST(day(l_shipdate) AS INT) AS dd,
   CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_linenumber END AS marker,
   CAST(max(l_linenumber) OVER (PARTITION BY l_orderkey) AS INT) AS total,
-  CAST(l_partkey % 50 AS DOUBLE) / 1000000 AS red_ratio, CAST(l_suppkey % 20 AS DOUBLE) / 10000 AS blue_ratio
+  CAST(l_partkey % 50 AS DOUBLE) / 1000000 AS red_ratio, CAST(l_suppkey % 20 AS DOUBLE) / 10000 AS blue_ratio,
+  CAST(l_partkey % 30 AS DOUBLE) / 10000 AS column_red, CAST(l_suppkey % 25 AS DOUBLE) / 10000 AS row_red
 FROM lineitem
 """
 
@@ -99,16 +100,18 @@ SEGMENTS = (
 )
 
 _FIELDS = {
-    "lines": ("line_no", "text", "x", "y", "w", "h"),
+    "lines": ("line_no", "text", "x", "y", "w", "h", "red_ratio"),
     "rows": ("line_no", "text", "x", "y", "w", "h"),
     "notes": ("line_no", "text", "x", "y", "w", "h"),
     "cells": ("cell_no", "content", "x", "y", "w", "h", "ink"),
     "seals": ("seal_no", "x", "y", "w", "h", "angle", "area", "fill", "rect"),
     "segments": ("seg_no", "x", "y", "w", "h"),
 }
-_PARTS = {"lines": TEXT_LINES, "rows": TABLE_LINES, "notes": NOTE_LINES, "cells": CELLS, "seals": SEALS, "segments": SEGMENTS}
-_DOUBLE = ("ink", "angle", "fill", "rect")
-_KEYS = "doc_id, page_no, page_count, form_type, width, height, marker, total, red_ratio, blue_ratio"
+#: Dates are printed in red on some pages.
+_RED = [(*line, "CAST(q % 4 AS DOUBLE) / 100" if line[0] == 1 else "0.0") for line in TEXT_LINES]
+_PARTS = {"lines": _RED, "rows": TABLE_LINES, "notes": NOTE_LINES, "cells": CELLS, "seals": SEALS, "segments": SEGMENTS}
+_DOUBLE = ("ink", "angle", "fill", "rect", "red_ratio")
+_KEYS = "doc_id, page_no, page_count, form_type, width, height, marker, total, red_ratio, blue_ratio, column_red, row_red"
 
 
 def _value(field: str, expression: object) -> str:
@@ -145,7 +148,7 @@ def sql_with(*parts: str) -> str:
     for part in parts:
         entries = ", ".join("{" + ", ".join(f"'{f}': {_value(f, v)}" for f, v in zip(_FIELDS[part], e, strict=True)) + "}" for e in _PARTS[part])
         name = {"rows": "trows", "lines": "tlines", "notes": "tnotes"}.get(part, part)
-        fields = ", ".join(f"e.{f} AS {f}" for f in _FIELDS[part])
+        fields = ", ".join(f"e.{f} AS {'line_red' if f == 'red_ratio' else f}" for f in _FIELDS[part])
         out.append(f"{name} AS (SELECT {_KEYS}, {fields} FROM (SELECT {_KEYS}, unnest([{entries}]) AS e FROM page))")
     return "WITH " + ",\n".join(out)
 

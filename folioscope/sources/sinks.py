@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 
 from ..operators import findings as f
 
-BOM, LEDGER = "﻿", ("no", "doc_id", "page_no", "rule_id", "level", "evidence", "detail", "confidence", "verdict", "reviewer")
+BOM, LEDGER = "﻿", ("no", "doc_id", "page_no", "rule_id", "level", "title", "message", "clause", "confidence", "verdict", "reviewer", "note")
 
 
-def report_json(findings: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row, value: the report as JSON with statistics, systemic rows and all findings by severity. findings has seq, message, level."""
+def report_json(findings: DataFrame, pages: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """One row, value: the report as JSON with statistics, systemic rows, pages, units (if given) and all findings by severity. findings has seq, message, level."""
     systemic, batch, _ = f.collapse(findings, pages)
     order = F.struct(f.level_rank(F.col("level")).alias("rank"), "doc_id", "page_no", "rule_id", "seq")
     entry = F.struct(order.alias("o"), F.struct(*[c for c in findings.columns if c != "seq"]).alias("e"))
     listed = findings.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("findings"))
     rows = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
     out = f.statistics(findings, pages).select(F.struct("*").alias("stats"))
-    for part in (rows(systemic, "systemic"), rows(batch, "batch"), listed):
+    parts = [rows(systemic, "systemic"), rows(batch, "batch"), listed, rows(pages, "pages")]
+    for part in parts if units is None else [*parts, rows(units.select("doc_id", "unit_id", "form_type", "pages", "page_count", "declared_total"), "units")]:
         out = out.join(F.broadcast(part))  # one row each
     return out.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 

@@ -40,6 +40,17 @@ def read_gold(spark: SparkSession, *paths: str) -> DataFrame:
     return key("findings", "positive").union(key("false_positives", "negative")).union(key("unsure", "unsure"))
 
 
+def read_reviewed_pages(spark: SparkSession, *paths: str) -> DataFrame:
+    """doc_id, page_no: the pages that a gold set was made from, those without any finding, too."""
+    gold = spark.read.schema(GOLD).option("multiLine", True).json(list(paths))
+    return gold.select(F.explode("reviewed_pages").alias("p")).select(F.col("p")[0].alias("doc_id"), F.col("p")[1].cast("int").alias("page_no")).distinct()
+
+
+def page_at(pages: DataFrame, doc_id: str, page_no: int) -> DataFrame:
+    """One page of scan_pages(), by document and number."""
+    return pages.where((F.col("doc_id") == doc_id) & (F.col("page_no") == page_no))
+
+
 def read_reviews(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file_no, seq, reviewer, verdict, doc_id, page_no, rule_id, note; later files and entries win."""
     out = None
@@ -56,6 +67,7 @@ def uncached(pages: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def log_tail(spark: SparkSession, path: str, lines: int = 400) -> DataFrame:
-    """line_no, value: the last lines of a text file, in order; each file of the path counts its own lines."""
-    text = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    return text.orderBy(F.desc("line_no")).limit(lines).orderBy("line_no").select("line_no", "value")
+    """line_no, value: the last lines of one text file, in order. Blocks of a file are numbered by where they start, so numbers grow along it."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    text = spark.read.text(path).select("value", at.alias("at"))
+    return text.orderBy(F.desc("at")).limit(lines).orderBy("at").select(F.col("at.n").alias("line_no"), "value")

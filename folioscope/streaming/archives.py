@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import page_rules
+from ..operators import page_rules, segment
 
 UNITS = "doc_id string, unit_no int, pages string, page_count int"
-_STATE = "page_no array<int>, part array<string>, form array<string>, current array<int>"
+#: An archive's pages, one line of JSON each.
+_STATE = "pages string"
 
 
 def page_findings(pages: DataFrame, *rules: str) -> DataFrame:
@@ -26,34 +27,40 @@ def finding_rates(findings: DataFrame, late: str = "10 minutes", width: str = "5
     return findings.withWatermark("ts", late).groupBy(F.window("ts", width), "rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _closed(key: tuple, pages: list[tuple]) -> pd.DataFrame:
-    """Units by key change, first page and form change over the pages in order."""
-    units: list[list[tuple]] = []
-    for p in sorted(pages):
-        last = units[-1][-1] if units else None
-        part = next((q[1] for q in units[-1] if q[1]), None) if units else None
-        if last is None or (p[1] and part and p[1] != part) or p[3] == 1 or (p[3] != (last[3] or -1) + 1 and p[2] != last[2]):
-            units.append([])
-        units[-1].append(p)
-    return pd.DataFrame([(key[0], i, ",".join(str(p[0]) for p in u), len(u)) for i, u in enumerate(units, 1)], columns=["doc_id", "unit_no", "pages", "page_count"])
+def _closed(key: tuple, pages: list[dict]) -> pd.DataFrame:
+    """An archive's units, by the batch's rules."""
+    rows = sorted(pages, key=lambda p: p["page_no"])
+    for p in rows:
+        p["marker"] = {"current": p["current"], "total": p["total"]} if p["current"] else None
+    units: dict[int, list[int]] = {}
+    for p, unit in zip(rows, segment.unit_numbers(rows), strict=True):
+        units.setdefault(unit, []).append(p["page_no"])
+    return pd.DataFrame([(key[0], unit, ",".join(map(str, at)), len(at)) for unit, at in units.items()], columns=["doc_id", "unit_no", "pages", "page_count"])
+
+
+def _paged(digests: DataFrame) -> DataFrame:
+    """doc_id and page (JSON of PAGE) of full digests or of short ones: doc_id, page_no, part (a key or null), form, current."""
+    if "marker" in digests.columns:
+        page = F.struct("page_no", "form_type", "keys", F.coalesce("marker.current", F.lit(0)).alias("current"), F.coalesce("marker.total", F.lit(0)).alias("total"), "has_title")
+    else:
+        keys = F.when(F.col("part").isNull(), F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("part"), F.col("part")))
+        page = F.struct("page_no", F.col("form").alias("form_type"), keys.alias("keys"), F.coalesce("current", F.lit(0)).alias("current"), F.lit(0).alias("total"), F.lit(False).alias("has_title"))
+    return digests.select("doc_id", F.to_json(page, {"ignoreNullFields": "false"}).alias("page"))
 
 
 def closing_units(digests: DataFrame, quiet_ms: int = 600_000) -> DataFrame:
-    """Units of archives that got no page for quiet_ms. digests: doc_id, page_no, part, form, current (page number or null)."""
+    """Units of archives that got no page for quiet_ms. digests: those of the batch, or doc_id, page_no, part, form, current (page number or null)."""
+    import json
 
     def update(key, batches, state: GroupState):
+        held = state.get[0] if state.exists else ""
         if state.hasTimedOut:
-            held = list(zip(*state.get, strict=True))
             state.remove()
-            yield _closed(key, [(p, a or None, f, c if c and c > 0 else None) for p, a, f, c in held])
+            yield _closed(key, [json.loads(x) for x in held.splitlines()])
             return
-        columns = [list(c) for c in state.get] if state.exists else [[], [], [], []]
         for b in batches:
-            columns[0] += b.page_no.astype(int).tolist()
-            columns[1] += b.part.fillna("").tolist()
-            columns[2] += b.form.fillna("").tolist()
-            columns[3] += b.current.fillna(0).astype(int).tolist()
-        state.update(tuple(columns))
+            held += "".join(x + "\n" for x in b.page)
+        state.update((held,))
         state.setTimeoutDuration(quiet_ms)
 
-    return digests.groupBy("doc_id").applyInPandasWithState(update, UNITS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _paged(digests).groupBy("doc_id").applyInPandasWithState(update, UNITS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
