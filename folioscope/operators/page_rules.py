@@ -10,6 +10,9 @@ isn't that of the line, cell or seal.
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -374,12 +377,33 @@ def _for(pages: DataFrame, sql: str) -> str:
 
 
 def gated(pages: DataFrame, *ids: str, book: dict | None = None) -> DataFrame:
-    """The prepared pages with findings, an array of (rule_id, f), of the rules: all enabled ones whose arrays are there, or those named, even if they are switched off."""
+    """The prepared pages with findings, an array of (rule_id, f), of the rules: all enabled ones whose arrays are there, or those named, even if they are switched off.
+
+    A rule whose SQL the pages don't fit (a parameter of a wrong kind, a column of another type) is left out with a warning; the others run."""
     book, have = book or c.BOOK, set(pages.columns)
     chosen = ids or [r for r in BUILDERS if r in book and book[r].enabled and have.issuperset(ARRAYS[r])]
     none = f"CAST(array() AS array<struct<rule_id:string,f:{FINDING}>>)"
-    each = [f"if({book[r].applies()}, transform({_for(pages, BUILDERS[r](book[r].params))}, f -> named_struct('rule_id', '{r}', 'f', f)), {none})" for r in chosen]
-    return prepared(pages, book).withColumn("findings", F.expr(f"concat({', '.join([none, *each])})"))
+    ready, each = prepared(pages, book), {}
+    for r in chosen:
+        try:
+            each[r] = f"if({book[r].applies()}, transform({_for(pages, BUILDERS[r](book[r].params))}, f -> named_struct('rule_id', '{r}', 'f', f)), {none})"
+        except (KeyError, TypeError, ValueError) as e:
+            _left_out(r, e)
+    whole = lambda: ready.withColumn("findings", F.expr(f"concat({', '.join([none, *each.values()])})"))
+    try:
+        return whole()
+    except AnalysisException:
+        for r, sql in list(each.items()):
+            try:
+                ready.select(F.expr(sql))
+            except AnalysisException as e:
+                _left_out(r, e)
+                del each[r]
+        return whole()
+
+
+def _left_out(rule: str, why: Exception) -> None:
+    warnings.warn(f"{rule} is left out: {str(why).splitlines()[0]}", stacklevel=4)
 
 
 def findings(pages: DataFrame, *ids: str, book: dict | None = None) -> DataFrame:

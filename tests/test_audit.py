@@ -100,6 +100,16 @@ def test_parameters_reach_the_rules(spark, rule, params, row, before, after):
         assert page_rules.findings(df, rule, book=book).count() == n
 
 
+def test_a_rule_that_does_not_fit_leaves_the_others(spark):
+    df = spark.createDataFrame([page(["2023.6.1", "重量三十公斤"])], SCHEMA)
+    book = c.with_packs(c.BOOK, {"A10": {"params": {"max_decimals": "many"}}, "A03": {"params": {"forbidden": 7}}})
+    with pytest.warns(UserWarning, match="A10|A03"):
+        assert {"A01", "A08"} <= {r.rule_id for r in page_rules.findings(df, book=book).collect()}
+    odd = df.withColumn("segments", F.array(F.lit(1)))
+    with pytest.warns(UserWarning, match="B06"):
+        assert {"A01", "A08"} <= {r.rule_id for r in page_rules.findings(odd).collect()}
+
+
 def test_red_dates_and_red_regions(spark):
     seal = [(100, 100, 300, 30, 0.0, 9000, 0.5, 0.9)]
     df = spark.createDataFrame([page(["2023.06.01", "a", "b"], seals=seal)], SCHEMA)
