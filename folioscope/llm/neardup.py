@@ -8,8 +8,9 @@ equal coordinates is concentrated about the similarity as with t independent fun
 bucket keys; t follows from the wished bound on missed links. Within a bucket no pairs are listed: every member meets
 the bucket's leader; these pairs pass a filter on sizes and sketches (six standard deviations below the threshold) and are
 confirmed on the full sets; connected components are formed. Buckets that still hold several components are gathered into
-clusters, and in a cluster the members outside its largest component meet all others: block by block, blocks bounded by
-their shingles, with exact intersections counted through an index of the block's shingles. Only links leave a block.
+clusters, and in a cluster the members outside its largest component meet all others of a size that allows a link (size
+classes a threshold's ratio wide: only neighbours can link): block by block, blocks bounded by their shingles, with exact
+intersections counted through an index of the block's shingles. Only links leave a block.
 
 Links within a component that add nothing to it aren't looked for: components and kept documents are what is returned.
 All state (links, labels, sets of candidates) stays in tables in the shared folder; the driver gets counts only.
@@ -244,15 +245,21 @@ def _across(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     by_key = once.join(huge, "cluster", "left_semi").select(F.explode("keys").alias("key"), "doc_id", "n", "label").select(F.struct(F.col("key").alias("id"), F.lit(1).alias("bucket")).alias("group"), "doc_id", "n", "label")
     rows = settle(plain.union(by_key), "groups")
     parts = rows.groupBy("group", "label").agg(F.sum("n").alias("w"))
-    main = parts.groupBy("group").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("weight"))
+    main = settle(parts.groupBy("group").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("weight")).select("group", F.col("top.label").alias("main"), "weight"), "main")
+    # sets that can link differ by less than one class
+    size = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else F.col("n").cast("int")
+    sized = rows.join(main.select("group", "main"), "group").withColumn("size", size)
+    near = sized.where("label <> main").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    weigh = lambda x, w: x.groupBy("group", "size").agg(F.sum("n").alias(w))
     block = F.least(F.greatest(F.lit(LEAST_BLOCK), F.col("weight") / PIECES), F.lit(MOST_BLOCK))
-    main = settle(main.select("group", F.col("top.label").alias("main"), F.ceil((F.col("weight") - F.col("top.w")) / block).alias("na"), F.ceil(F.col("weight") / block).alias("nb")), "main")
-    dealt = rows.join(main, "group").join(sets, "doc_id")
+    cut = weigh(near, "few_w").join(weigh(sized, "all_w"), ["group", "size"]).join(main.select("group", "weight"), "group")
+    cut = settle(cut.select("group", "size", F.ceil(F.col("few_w") / block).alias("na"), F.ceil(F.col("all_w") / block).alias("nb")), "cuts")
+    dealt = lambda x: x.join(cut, ["group", "size"]).join(sets, "doc_id")
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     fields = ["doc_id", "label", "main", "set"]
-    few = dealt.where("label <> main").select("group", own("na").alias("i"), every("nb").alias("j"), F.lit(True).alias("few"), *fields)
-    all_ = dealt.where("na > 0").select("group", every("na").alias("i"), own("nb").alias("j"), F.lit(False).alias("few"), *fields)
+    few = dealt(near).select("group", "size", own("na").alias("i"), every("nb").alias("j"), F.lit(True).alias("few"), *fields)
+    all_ = dealt(sized).select("group", "size", every("na").alias("i"), own("nb").alias("j"), F.lit(False).alias("few"), *fields)
 
     def meet(table: pa.Table) -> pa.Table:
         few = table.column("few").to_numpy(zero_copy_only=False)
@@ -274,8 +281,8 @@ def _across(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
                 out += [(int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))) for y in theirs[linked].tolist()]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    found = settle(few.unionByName(all_).groupBy("group", "i", "j").applyInArrow(meet, "a bigint, b bigint"), "links")
-    for done in (left, once, rows, main, several, huge):
+    found = settle(few.unionByName(all_).groupBy("group", "size", "i", "j").applyInArrow(meet, "a bigint, b bigint"), "links")
+    for done in (left, once, rows, main, cut, several, huge):
         discard(done)
     return found
 
