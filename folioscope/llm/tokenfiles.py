@@ -264,14 +264,16 @@ SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.in
 
 
 def write_token_files(docs: DataFrame, out: str, *, path: str | None = None, end_id: int = 2, parts: int | None = None) -> None:
-    """Writes the documents' ids to `out` in ascending doc_id order."""
+    """Writes the documents' ids to `out` in ascending doc_id order, in `parts` tasks (by default as many as a shuffle has; at 100 TB, one for some 256 MB)."""
     path = path or default_vocabulary()
     spark = docs.sparkSession
     wide = max(max(vocabulary(path).tokens), end_id) >= 1 << 16
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]) if parts > 1 and cuts else F.array().cast("array<bigint>")
-    part = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0)).cast("int")
+    bounds = F.array(*[F.lit(int(c)) for c in sorted(cuts)]) if parts > 1 and cuts else F.array().cast("array<bigint>")
+    below = F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))
+    alike = F.size(F.filter(bounds, lambda b: b == F.col("doc_id")))  # a hot doc_id is a bound several times, and has as many parts
+    part = (below + F.pmod(F.xxhash64("ids"), F.greatest(alike, F.lit(1)))).cast("int")
     ids = encode_ids(docs, path, end_id, wide).withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part))
     dealt = ids.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     dealt.select("part", "doc_id", "ids").mapInArrow(_blocks("<u4" if wide else "<u2"), BLOCK).write.parquet(out)

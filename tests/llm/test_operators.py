@@ -263,6 +263,18 @@ def test_token_files_equal_the_library(spark, table, words, odd):
     assert tokenfiles.op8_token_files(table([])).count() == 0
 
 
+def test_a_hot_doc_id_has_parts_of_its_own(spark, words):
+    docs = [(50, f"word{i} " * 3) for i in range(400)] + [(i, words(i, 9)) for i in range(100) if i != 50] + [(None, "x")]
+    got = [tuple(r) for r in tokenfiles.op8_token_files(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()]
+    at = 0
+    for _, start, n, _ in sorted(got, key=lambda r: r[1]):
+        assert start == at
+        at += n
+    assert [d for d, *_ in sorted(got, key=lambda r: r[1])] == sorted((d for d, _ in docs), key=lambda d: -1 if d is None else d)
+    want = {(d, n, c) for d, _, n, c in tokenfiles.library_answer([x for x in docs if x[0] is not None])}
+    assert {(d, n, c) for d, _, n, c in got if d is not None} == want
+
+
 # 5 personal data
 
 
