@@ -47,10 +47,10 @@ def digests(pages: DataFrame) -> DataFrame:
     return have.select("doc_id", "page_no", "form_type", *[F.expr(sql).alias(name) for name, sql in classify.digest().items()])
 
 
-def unit_findings(units: DataFrame, pages: DataFrame, book: dict[str, c.Rule] | None = None) -> DataFrame:
+def unit_findings(units: DataFrame, book: dict[str, c.Rule] | None = None) -> DataFrame:
     """Findings of unit rules with the catalog's fields; one of a rule, page and message."""
     book = book or c.BOOK
-    rows = segment.findings(units, pages, book)
+    rows = segment.findings(units, book)
     named = rows.select("doc_id", "page_no", "unit_id", "rule_id", *[F.expr(_of(book, x, "rule_id")).alias(x) for x in ("level", "title", "clause")], F.lit(None).cast("string").alias("evidence"), "detail", "confidence")
     told = named.withColumn("message", F.expr("concat(title, coalesce(concat(': ', detail), ''))")).drop("detail")
     first = told.groupBy("doc_id", "page_no", "rule_id", "message").agg(F.min(F.struct("unit_id", "level", "title", "clause", "evidence", "confidence")).alias("r"))
@@ -63,7 +63,7 @@ def audit(pages: DataFrame, *, book: dict[str, c.Rule] | None = None, forms: cla
         pages = pages.withColumn("form_type", F.expr(forms.sql()))
     told = digests(pages)
     units = segment.units(segment.page_units(told))
-    of_pages, of_units = page_findings(pages, book=book).withColumn("unit_id", F.lit(None).cast("string")), unit_findings(units, told, book).withColumn("box", F.lit(None).cast(page_rules.BOX))
+    of_pages, of_units = page_findings(pages, book=book).withColumn("unit_id", F.lit(None).cast("string")), unit_findings(units, book).withColumn("box", F.lit(None).cast(page_rules.BOX))
     return of_pages.unionByName(of_units), units
 
 

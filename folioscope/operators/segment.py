@@ -86,6 +86,7 @@ def units(paged: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("page_no")).alias("pages"),
         F.expr("array_sort(collect_list(if(marker IS NULL, NULL, named_struct('page_no', page_no, 'current', marker.current, 'total', marker.total))))").alias("markers"),
         F.expr("array_sort(collect_list(named_struct('page_no', page_no, 'keys', keys)))").alias("keyed"),
+        F.expr("collect_list(if(fingerprint <> '', named_struct('fingerprint', fingerprint, 'page_no', page_no, 'text_len', text_len), NULL))").alias("prints"),
     )
     # the first value of each field within a part
     first = "aggregate(flatten(transform(keyed, x -> x.keys)), CAST(array() AS array<struct<key:string,value:string>>), (a, e) -> if(exists(a, f -> f.key = e.key), a, concat(a, array(named_struct('key', e.key, 'value', e.value)))), a -> array_sort(a))"
@@ -99,10 +100,11 @@ def units(paged: DataFrame) -> DataFrame:
         F.expr("array_sort(collect_list(named_struct('unit_no', unit_no, 'markers', markers)))").alias("runs"),
         F.expr("min_by(declared, unit_no) FILTER (WHERE declared IS NOT NULL)").alias("declared_total"),
         F.min_by("keys", "unit_no").alias("keys"),
+        F.flatten(F.collect_list("prints")).alias("prints"),
     )
     markers = F.expr("flatten(transform(runs, r -> r.markers))")
     name = F.concat(F.col("doc_id"), F.lit("#U"), F.expr("lpad(unit_no, greatest(3, length(unit_no)), '0')"))  # lpad cuts what is longer
-    return joined.withColumn("markers", markers).select("doc_id", name.alias("unit_id"), "unit_no", "form_type", "pages", F.size("pages").alias("page_count"), F.element_at("pages", 1).alias("start_page"), F.element_at("pages", -1).alias("end_page"), "declared_total", F.expr("get(markers, 0)").alias("first_marker"), "markers", "keys")
+    return joined.withColumn("markers", markers).select("doc_id", name.alias("unit_id"), "unit_no", "form_type", "pages", F.size("pages").alias("page_count"), F.element_at("pages", 1).alias("start_page"), F.element_at("pages", -1).alias("end_page"), "declared_total", F.expr("get(markers, 0)").alias("first_marker"), "markers", "keys", "prints")
 
 
 def listed(u: DataFrame, doc_id: str | None = None) -> DataFrame:
@@ -110,49 +112,69 @@ def listed(u: DataFrame, doc_id: str | None = None) -> DataFrame:
     return (u if doc_id is None else u.where(F.col("doc_id") == doc_id)).orderBy("doc_id", "start_page")
 
 
-def _unit_finding(rows: DataFrame, rule: c.Rule, page: str, detail: str, confidence: object) -> DataFrame:
-    conf = confidence if isinstance(confidence, str) else f"{confidence}D"
-    return rows.where(rule.applies()).selectExpr("doc_id", "unit_id", f"'{rule.id}' AS rule_id", f"CAST({page} AS INT) AS page_no", f"CAST({detail} AS STRING) AS detail", f"{conf} AS confidence")
+def _rules(book: dict[str, c.Rule], flag_head: bool | None = None) -> dict[str, tuple[str, str, str, str]]:
+    """The rules over one unit's row as SQL over the columns of _measured(): which units, page, detail, confidence."""
+    head = c.truth(book["U01"].params["flag_missing_head"]) if flag_head is None and "U01" in book else bool(flag_head)
+    short = "coalesce(declared_total, 0) > 0 AND page_count < declared_total"
+    listed_ = lambda xs: f"array_join(transform({xs}, x -> CAST(x AS STRING)), ',')"
+    least = int(book["U03"].params["min_pages"]) if "U03" in book else 2
+    return {
+        "U01": (f"({short}) OR ({str(head).lower()} AND NOT ({short}) AND first_marker.current > 1)", "start_page", f"if({short}, declared_total - page_count, first_marker.current - 1)", f"if({short}, 0.7D, 0.45D)"),
+        "U02": ("size(markers) >= 2 AND (size(dup) > 0 OR size(gap) > 0)", "start_page", f"if(size(dup) > 0, concat('repeats ', {listed_('dup')}), concat('lacks ', {listed_('gap')}))", "0.6D"),
+        "U03": (f"page_count >= {least} AND size(array_distinct(transform(markers, m -> m.current))) < page_count AND size(bare) > 0", "bare[0]", f"concat(size(bare), ': ', {listed_('slice(bare, 1, 6)')})", "0.55D"),
+    }
+
+
+def _measured(u: DataFrame) -> DataFrame:
+    """u with what the rules read: page numbers in order, those that repeat, those missing between them, pages without one."""
+    seq = u.withColumn("seq", F.expr("array_sort(transform(markers, m -> m.current))"))
+    dup, gap = "array_distinct(filter(seq, (x, i) -> i > 0 AND seq[i - 1] = x))", "if(size(seq) > 0, array_except(sequence(seq[0], element_at(seq, -1)), seq), CAST(array() AS array<int>))"
+    return seq.withColumns({"dup": F.expr(dup), "gap": F.expr(gap), "bare": F.expr("array_except(pages, transform(markers, m -> m.page_no))")})
+
+
+def _one(u: DataFrame, rule: c.Rule, flag_head: bool | None = None) -> DataFrame:
+    when, page, detail, confidence = _rules({rule.id: rule}, flag_head)[rule.id]
+    rows = _measured(u).where(f"({when}) AND ({rule.applies()})")
+    return rows.selectExpr("doc_id", "unit_id", f"'{rule.id}' AS rule_id", f"CAST({page} AS INT) AS page_no", f"CAST({detail} AS STRING) AS detail", f"{confidence} AS confidence")
 
 
 def missing_pages(u: DataFrame, flag_head: bool | None = None, rule: c.Rule = c.BOOK["U01"]) -> DataFrame:
     """Fewer pages than declared; else, if asked for, a first number above 1."""
-    flag_head = c.truth(rule.params["flag_missing_head"]) if flag_head is None else flag_head
-    short = "coalesce(declared_total, 0) > 0 AND page_count < declared_total"
-    head = f"{str(flag_head).lower()} AND NOT ({short}) AND first_marker.current > 1"
-    found = u.where(f"({short}) OR ({head})")
-    return _unit_finding(found, rule, "start_page", f"if({short}, declared_total - page_count, first_marker.current - 1)", f"if({short}, 0.7D, 0.45D)")
+    return _one(u, rule, flag_head)
 
 
 def page_sequence(u: DataFrame, rule: c.Rule = c.BOOK["U02"]) -> DataFrame:
     """Page numbers that repeat, else those missing between the smallest and the largest."""
-    seq = u.where("size(markers) >= 2").withColumn("seq", F.expr("array_sort(transform(markers, m -> m.current))"))
-    seq = seq.withColumn("dup", F.expr("array_distinct(filter(seq, (x, i) -> i > 0 AND seq[i - 1] = x))")).withColumn("gap", F.expr("array_except(sequence(seq[0], element_at(seq, -1)), seq)"))
-    found = seq.where("size(dup) > 0 OR size(gap) > 0")
-    return _unit_finding(found, rule, "start_page", "if(size(dup) > 0, concat('repeats ', array_join(transform(dup, x -> CAST(x AS STRING)), ',')), concat('lacks ', array_join(transform(gap, x -> CAST(x AS STRING)), ',')))", 0.6)
+    return _one(u, rule)
 
 
 def unnumbered_pages(u: DataFrame, rule: c.Rule = c.BOOK["U03"]) -> DataFrame:
     """A unit of several pages with fewer distinct numbers than pages; the first six pages without one."""
-    rows = u.withColumn("bare", F.expr("array_except(pages, transform(markers, m -> m.page_no))"))
-    found = rows.where(f"page_count >= {int(rule.params['min_pages'])} AND size(array_distinct(transform(markers, m -> m.current))) < page_count AND size(bare) > 0")
-    return _unit_finding(found, rule, "bare[0]", "concat(size(bare), ': ', array_join(transform(slice(bare, 1, 6), x -> CAST(x AS STRING)), ','))", 0.55)
-
-
-def repeated_records(u: DataFrame, digests: DataFrame, rule: c.Rule = c.BOOK["U04"]) -> DataFrame:
-    """Pages of one archive with the same fingerprint; reported once, for the unit that holds the first of them."""
-    same = digests.where(f"fingerprint <> '' AND text_len >= {int(rule.params['min_text_len'])}").groupBy("doc_id", "fingerprint").agg(F.array_sort(F.collect_list("page_no")).alias("copies")).where("size(copies) > 1")
-    holder = u.select("doc_id", "unit_id", "unit_no", "form_type", F.explode("pages").alias("first"))
-    met = same.withColumn("first", F.col("copies")[0]).join(holder, ["doc_id", "first"])
-    first = met.groupBy("doc_id", "fingerprint", "first", "copies").agg(F.min_by(F.struct("unit_id", "form_type"), "unit_no").alias("u")).select("*", "u.*")
-    return _unit_finding(first, rule, "first", "array_join(transform(copies, x -> CAST(x AS STRING)), ',')", 0.6)
-
-
-def findings(u: DataFrame, digests: DataFrame, book: dict[str, c.Rule] | None = None) -> DataFrame:
-    """doc_id, unit_id, rule_id, page_no, detail, confidence of all enabled unit rules."""
-    book, out = book or c.BOOK, None
-    for rule_id, run in (("U01", lambda r: missing_pages(u, rule=r)), ("U02", lambda r: page_sequence(u, r)), ("U03", lambda r: unnumbered_pages(u, r)), ("U04", lambda r: repeated_records(u, digests, r))):
-        if rule_id in book and book[rule_id].enabled:
-            one = run(book[rule_id])
-            out = one if out is None else out.unionByName(one)
-    return _unit_finding(u.limit(0), c.BOOK["U01"], "start_page", "NULL", 0.0) if out is None else out
+    return _one(u, rule)
+
+
+def repeated_records(u: DataFrame, digests: DataFrame | None = None, rule: c.Rule = c.BOOK["U04"]) -> DataFrame:
+    """Pages of one archive with the same fingerprint; reported once, for the unit that holds the first of them. digests: for units that don't carry their pages' fingerprints."""
+    if "prints" not in u.columns and digests is not None:
+        print_ = F.struct("fingerprint", "page_no", "text_len")
+        held = u.select("doc_id", "unit_id", F.explode("pages").alias("page_no")).join(digests.where("fingerprint <> ''").select("doc_id", "page_no", "fingerprint", "text_len"), ["doc_id", "page_no"])
+        u = u.join(held.groupBy("doc_id", "unit_id").agg(F.collect_list(print_).alias("prints")), ["doc_id", "unit_id"], "left")
+    return findings(u, c.with_packs({"U04": rule}, {"U04": {"enabled": True}}))
+
+
+def findings(u: DataFrame, book: dict[str, c.Rule] | None = None) -> DataFrame:
+    """doc_id, unit_id, rule_id, page_no, detail, confidence of all enabled unit rules, in one pass over the units.
+
+    A unit's row gives its own findings and the fingerprints of its pages; both meet in one exchange, by archive and key."""
+    book = book or c.BOOK
+    on = {r for r in ("U01", "U02", "U03", "U04") if r in book and book[r].enabled}
+    row = lambda rule, key, page, detail, conf: f"named_struct('rule_id', '{rule}', 'key', {key}, 'page_no', CAST({page} AS INT), 'detail', CAST({detail} AS STRING), 'confidence', {conf})"
+    parts = [f"if(({when}) AND ({book[r].applies()}), array({row(r, 'unit_id', page, detail, conf)}), array())" for r, (when, page, detail, conf) in _rules(book).items() if r in on]
+    if "U04" in on:
+        parts.append(f"transform(filter(prints, p -> p.text_len >= {int(book['U04'].params['min_text_len'])}), p -> {row('U04', 'p.fingerprint', 'p.page_no', 'NULL', '0.6D')})")
+    none = "CAST(array() AS array<struct<rule_id:string,key:string,page_no:int,detail:string,confidence:double>>)"
+    told = _measured(u).select("doc_id", "unit_id", "form_type", F.explode(F.expr(f"concat({', '.join([none, *parts])})")).alias("e"))
+    met = told.select("doc_id", "e.rule_id", "e.key", F.struct("e.page_no", "unit_id", "form_type", "e.detail", "e.confidence").alias("r")).groupBy("doc_id", "rule_id", "key").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    fits = f"rule_id <> 'U04' OR size(rs) > 1 AND ({book['U04'].applies('rs[0].form_type') if 'U04' in on else 'false'})"
+    copies = "if(rule_id = 'U04', array_join(transform(rs, r -> CAST(r.page_no AS STRING)), ','), rs[0].detail)"
+    return met.where(fits).selectExpr("doc_id", "rs[0].unit_id AS unit_id", "rule_id", "rs[0].page_no AS page_no", f"{copies} AS detail", "rs[0].confidence AS confidence")

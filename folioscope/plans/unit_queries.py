@@ -111,7 +111,7 @@ def _(spark, d):
 
 @_add("u04_repeated_record", _SEG + _U.format(r="U04", page="copies[1]", detail="array_to_string(copies, ',')", conf="0.6", frm="(SELECT s.doc_id, s.copies, u.unit_id, u.form_type FROM (SELECT doc_id, fingerprint, list(page_no ORDER BY page_no) AS copies FROM dg WHERE fingerprint <> '' AND text_len >= 60 GROUP BY ALL HAVING count(*) > 1) s JOIN full_u u ON u.doc_id = s.doc_id AND list_contains(u.pages, s.copies[1])) z", where="true", gate=_gate("U04")))
 def _(spark, d):
-    return segment.repeated_records(_units(spark, d), digests(spark, d))
+    return segment.repeated_records(_units(spark, d))
 
 
 @_add("ag_declared_mismatch", f"{_SEG} SELECT unit_id, declared AS declared_total, CAST(page_count AS INT) AS page_count FROM full_u WHERE declared IS NOT NULL AND declared <> page_count")

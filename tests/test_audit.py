@@ -171,6 +171,21 @@ def test_audit_finds_pages_and_units_once(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(got) and spark.read.parquet(f"{tmp_path}/units").count() == 1
 
 
+def test_unit_rules_take_their_parameters(spark):
+    rows = [page([f"第{i}页共9页", "字" * 50], doc="D", no=i - 1, pages=2) for i in (2, 3)]
+    told = audit.digests(spark.createDataFrame(rows, SCHEMA))
+    u = segment.units(segment.page_units(told))
+    ids = lambda changes: sorted({r.rule_id for r in segment.findings(u, c.with_packs(c.BOOK, changes)).collect()})
+    assert ids({}) == [] and ids({"U01": {"params": {"flag_missing_head": True}}}) == ["U01"]
+    same = [page(["同" * 70], doc="D", no=i, pages=2) for i in (1, 2)]
+    told = audit.digests(spark.createDataFrame(same, SCHEMA))
+    u = segment.units(segment.page_units(told))
+    assert ids({}) == ["U03", "U04"] or ids({}) == ["U04"]
+    assert "U04" not in ids({"U04": {"params": {"min_text_len": 71}}})
+    key = lambda df: sorted((r.unit_id, r.page_no, r.detail) for r in df.collect())
+    assert key(segment.repeated_records(u)) == key(segment.repeated_records(u.drop("prints"), told)) != []
+
+
 def test_audit_from_a_catalog_file(spark, files, tmp_path):
     pytest.importorskip("yaml")
     spark.createDataFrame([page(["乙单", "2023.6.1", "1.234"], form="x")], SCHEMA).write.parquet(f"{tmp_path}/pages")
