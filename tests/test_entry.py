@@ -48,3 +48,21 @@ def test_every_sql_has_a_query_and_the_entry_runs(spark):
 def test_rules_share_one_scan_without_python(spark):
     plan = entry.queries()["all_text_rules"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_a_missing_library_takes_only_the_llm_queries(monkeypatch):
+    def lacking(name):
+        def fail(_):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+        return fail
+
+    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name: object())
+    monkeypatch.setattr(entry.importlib, "import_module", lacking("ahocorasick"))
+    with pytest.warns(UserWarning, match="ahocorasick"):
+        assert entry._optional("folioscope.llm.queries") is None
+    monkeypatch.setattr(entry.importlib, "import_module", lacking("folioscope.llm.gone"))
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional("folioscope.llm.queries")
+    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name: None)
+    assert entry._optional("folioscope.llm.queries") is None
