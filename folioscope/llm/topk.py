@@ -152,6 +152,7 @@ class Search:
 
     def _multiply(self, mine: np.ndarray, theirs: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
         step = max(1, STEP // len(mine))
+        theirs = theirs[np.argsort(ids[theirs], kind="stable")]
         for i in range(0, len(theirs), step):
             some = theirs[i : i + step]
             self.multiplied += len(mine) * len(some)
@@ -160,7 +161,10 @@ class Search:
             floor = self.kth[mine]
             if len(some) > self.k and (floor == self.none).any():  # the first scores of these queries
                 floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
-            row, column = np.nonzero((scores >= floor[:, None]) & (scores > self.none))
+            tie = (scores == floor[:, None]) & (scores > self.none)
+            if np.count_nonzero(tie) > 4 * self.k * len(mine):  # copies of one vector: only the smallest ids can count
+                tie &= np.cumsum(tie, axis=1) <= self.k
+            row, column = np.nonzero((scores > floor[:, None]) | tie)
             if len(row):
                 self._merge(mine[row], scores[row, column], their_ids[column])
 

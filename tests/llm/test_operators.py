@@ -124,6 +124,16 @@ def test_top_k_over_many_cells_groups_and_blocks(spark, monkeypatch):
     assert rows(topk.op2_exact_top_k(df)) == sorted(want, key=repr)
 
 
+def test_many_copies_of_a_vector_cost_no_more(spark):
+    r = np.random.default_rng(8)
+    ids = r.permutation(6000)
+    s = topk.Search(np.arange(0, 6000, 100), np.ones((60, 4)), 10)
+    s.add(ids[:3000], np.ones((3000, 4)))
+    s.add(ids[3000:], np.ones((3000, 4)))
+    for q, who, best in zip(s.ids, s.who, s.best, strict=True):
+        assert who.tolist() == [i for i in range(11) if i != q][:10] and set(best.tolist()) == {4.0}
+
+
 def test_top_k_of_large_numbers_is_exact(spark):
     r = np.random.default_rng(4)
     v = r.integers(10**8 - 50, 10**8, (120, 7))
