@@ -34,7 +34,7 @@ from .common import byte_chunks
 #: Bytes of a word from which on the heap takes over from the scan.
 LONG_WORD = 256
 #: Chunks and words that a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d a-z0-9]+")
 _FULL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -45,10 +45,10 @@ _RARE = re.compile("[^\x00-\u024f\u2010-\u2027]")
 _NONE = 1 << 60
 
 
-def trim(cache: dict) -> None:
+def trim(cache: dict, most: int = CACHE_WORDS) -> None:
     """Drops the newer half of a full cache: what came first is, as a rule, what comes most often."""
-    if len(cache) >= CACHE_WORDS:
-        for key in list(islice(reversed(cache), CACHE_WORDS // 2)):
+    if len(cache) >= most:
+        for key in list(islice(reversed(cache), most // 2)):
             del cache[key]
 
 

@@ -43,6 +43,8 @@ _BITS = np.array([i.bit_length() for i in range(1 << 16)], dtype=np.uint8)
 #: Ids after which a block ends, and words between two offsets.
 BLOCK_IDS = 1 << 17
 STRIDE = 1024
+#: Chunks whose ids a worker remembers.
+CACHE_CHUNKS = 1_000_000
 
 BLOCK = "part int, block int, first bigint, doc_ids array<bigint>, sizes array<bigint>, n_words bigint, offsets array<bigint>, words binary"
 
@@ -169,7 +171,7 @@ class LibraryEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         v: Vocabulary = self.split
         cache, end = self.cache, {}
-        trim(cache)
+        trim(cache, CACHE_CHUNKS)
         found: list[list[bytes | None]] = []  # each text's ids, chunk by chunk
         at: list[int] = []  # where a chunk isn't known yet: text, place and chunk, in three plain lists that the garbage collector needn't walk
         place: list[int] = []
