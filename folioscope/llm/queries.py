@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, pii, quality, secrets, sharding, tokenfiles, topk, urlfilter
+from . import bpe, bytebpe, decontaminate, neardup, pii, quality, secrets, sharding, tokenfiles, topk, urlfilter
 from .common import table
 
 
@@ -50,8 +50,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op10_secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.op11_byte_bpe(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_exact_top_k, op3_quality_classifier, op4_bpe, op5_pii_surrogates, op6_minhash_near_dedup, op7_url_filter, op8_token_files, op9_sharding, op10_secret_scan)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_exact_top_k, op3_quality_classifier, op4_bpe, op5_pii_surrogates, op6_minhash_near_dedup, op7_url_filter, op8_token_files, op9_sharding, op10_secret_scan, op11_byte_bpe)
 }
 
 ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op2_exact_top_k": topk.ORACLE, "op6_minhash_near_dedup": neardup.ORACLE}
