@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytebpe, decontaminate, filteraudit, neardup, pii, quality, secrets, sharding, tokenfiles, topk, urlfilter
+from . import bpe, bytebpe, collocations, decontaminate, filteraudit, neardup, pii, quality, secrets, sharding, tokenfiles, topk, urlfilter
 from .common import table
 
 
@@ -58,8 +58,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.op12_filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.op13_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_exact_top_k, op3_quality_classifier, op4_bpe, op5_pii_surrogates, op6_minhash_near_dedup, op7_url_filter, op8_token_files, op9_sharding, op10_secret_scan, op11_byte_bpe, op12_filter_audit)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_exact_top_k, op3_quality_classifier, op4_bpe, op5_pii_surrogates, op6_minhash_near_dedup, op7_url_filter, op8_token_files, op9_sharding, op10_secret_scan, op11_byte_bpe, op12_filter_audit, op13_collocations)
 }
 
-ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op2_exact_top_k": topk.ORACLE, "op6_minhash_near_dedup": neardup.ORACLE, "op12_filter_audit": filteraudit.ORACLE}
+ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op2_exact_top_k": topk.ORACLE, "op6_minhash_near_dedup": neardup.ORACLE, "op12_filter_audit": filteraudit.ORACLE, "op13_collocations": collocations.ORACLE}
