@@ -2,6 +2,7 @@
 
 Page rules and their repeats stay within the page row (no shuffle); digests meet by archive once. Findings carry what the
 catalog says of their rule (level, title, clause), a message, and a box: the line's, cell's or seal's, or the rule's own.
+A rule that couldn't be checked on a page is a LOW finding of its own title there.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ def _boxed(pages: DataFrame) -> str:
 def page_findings(pages: DataFrame, *rules: str, book: dict[str, c.Rule] | None = None) -> DataFrame:
     """doc_id, page_no, rule_id, level, title, clause, message, evidence, confidence, box: of findings with equal rule, message and box the first."""
     book = book or c.BOOK
-    title = _of(book, "title", "e.rule_id")
-    fields = {"rule_id": "e.rule_id", "level": _of(book, "level", "e.rule_id"), "title": title, "clause": _of(book, "clause", "e.rule_id"), "message": f"concat({title}, coalesce(concat(': ', e.f.detail), ''))", "evidence": "e.f.evidence", "confidence": "e.f.confidence", "box": _boxed(pages)}
+    failed = f"e.f.confidence = 0 AND e.f.detail = {t.quoted(page_rules.FAILED)}"
+    title = f"if({failed}, 'rule failed', {_of(book, 'title', 'e.rule_id')})"
+    fields = {"rule_id": "e.rule_id", "level": f"if({failed}, 'LOW', {_of(book, 'level', 'e.rule_id')})", "title": title, "clause": f"if({failed}, '', {_of(book, 'clause', 'e.rule_id')})", "message": f"concat({title}, coalesce(concat(': ', e.f.detail), ''))", "evidence": "e.f.evidence", "confidence": "e.f.confidence", "box": _boxed(pages)}
     full = f"transform(findings, e -> named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in fields.items())}))"
     key = lambda x: f"struct({x}.rule_id, {x}.message, {x}.box)"
     once = f"filter(found, (x, i) -> array_position(transform(found, y -> {key('y')}), {key('x')}) = i + 1)"
@@ -42,8 +44,8 @@ def page_findings(pages: DataFrame, *rules: str, book: dict[str, c.Rule] | None
 
 
 def digests(pages: DataFrame) -> DataFrame:
-    """What segmentation reads of each page."""
-    have = page_rules.prepared(pages)
+    """What segmentation reads of each page; unknown lines and cells are none."""
+    have = page_rules.prepared(pages.withColumns({x: F.coalesce(x, F.array().cast(pages.schema[x].dataType)) for x in ("lines", "cells") if x in pages.columns}))
     return have.select("doc_id", "page_no", "form_type", *[F.expr(sql).alias(name) for name, sql in classify.digest().items()])
 
 

@@ -6,15 +6,21 @@ inspector's header and right of it; B03 and B07 read them, and fall back to "not
 helper columns (page text, column ranges) that `prepared` adds once. Each rule is a function of its parameters that gives SQL
 for an array of findings: no (line, cell or seal number, null for the page), evidence, detail, confidence, and a box where it
 isn't that of the line, cell or seal.
+
+Odd pages lose nothing but what is odd: null lines, cells, seals and strokes are left out, null texts are empty, a null form
+is the unknown one, boxes are summed in 64 bits. Where a page lacks what a rule reads (an array, a size, a red share), or
+the rule gives null, the page gets one finding of the rule with detail FAILED and confidence 0, and all other rules run.
 """
 
 from __future__ import annotations
 
+import re
 import warnings
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
 from ..functions import text as t
@@ -23,6 +29,8 @@ from ..plans import catalog as c
 BOX = "struct<x:int,y:int,w:int,h:int>"
 FINDING = f"struct<no:int,evidence:string,detail:string,confidence:double,box:{BOX}>"
 NONE = f"CAST(array() AS array<{FINDING}>)"
+#: The detail of a finding that says of a rule that it couldn't be checked on a page.
+FAILED = "could not be checked"
 
 
 def _in(words) -> str:
@@ -35,11 +43,11 @@ def _any(text: str, words) -> str:
 
 def finding(no: str, evidence: str, detail: str, confidence: object, box: str = "NULL") -> str:
     conf = confidence if isinstance(confidence, str) else f"{confidence}D"
-    return f"named_struct('no', CAST({no} AS INT), 'evidence', CAST({evidence} AS STRING), 'detail', CAST({detail} AS STRING), 'confidence', {conf}, 'box', CAST({box} AS {BOX}))"
+    return f"named_struct('no', try_cast({no} AS INT), 'evidence', CAST({evidence} AS STRING), 'detail', CAST({detail} AS STRING), 'confidence', {conf}, 'box', CAST({box} AS {BOX}))"
 
 
 def box(x: str, y: str, w: str, h: str) -> str:
-    return f"named_struct('x', CAST({x} AS INT), 'y', CAST({y} AS INT), 'w', CAST({w} AS INT), 'h', CAST({h} AS INT))"
+    return f"named_struct('x', try_cast({x} AS INT), 'y', try_cast({y} AS INT), 'w', try_cast({w} AS INT), 'h', try_cast({h} AS INT))"
 
 
 def around(items: str) -> str:
@@ -127,9 +135,29 @@ def helpers(book: dict) -> dict[str, tuple[str, tuple[str, ...]]]:
     return out | {name: (column(book[rule].params[key]), ("lines", "cells")) for name, (rule, key) in COLUMNS.items() if rule in book}
 
 
+def sound(pages: DataFrame) -> DataFrame:
+    """pages without null entries and null texts, with boxes in 64 bits, a known form and no size of 0."""
+    kinds, out = {f.name: f.dataType for f in pages.schema}, {}
+
+    def field(f: T.StructField) -> str:
+        value = f"e.`{f.name}`"
+        if isinstance(f.dataType, T.StringType):
+            value = f"coalesce({value}, '')"
+        elif isinstance(f.dataType, T.IntegralType) and not f.name.endswith("_no"):
+            value = f"CAST({value} AS BIGINT)"
+        return f"'{f.name}', {value}"
+
+    for name in ("lines", "cells", "seals", "segments"):
+        if isinstance(kind := kinds.get(name), T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            out[name] = F.expr(f"transform(filter({name}, e -> e IS NOT NULL), e -> named_struct({', '.join(map(field, kind.elementType.fields))}))")
+    if "form_type" in kinds:
+        out["form_type"] = F.coalesce("form_type", F.lit(c.UNKNOWN_FORM))
+    return pages.withColumns(out | {name: F.expr(f"nullif(CAST({name} AS BIGINT), 0)") for name in ("width", "height") if name in kinds})
+
+
 def prepared(pages: DataFrame, book: dict | None = None) -> DataFrame:
-    """pages with every helper whose arrays are there."""
-    have = set(pages.columns)
+    """pages, made sound, with every helper whose arrays are there."""
+    have, pages = set(pages.columns), sound(pages)
     return pages.withColumns({name: F.expr(sql) for name, (sql, needs) in helpers(book or c.BOOK).items() if have.issuperset(needs)})
 
 
@@ -365,6 +393,16 @@ RULES = {r: build(c.BOOK[r].params) for r, build in BUILDERS.items()}
 ARRAYS = {r: tuple(a for a in ("lines", "cells", "seals", "segments") if a in sql or a in ("lines", "cells") and "_column" in sql) for r, sql in RULES.items()}
 
 
+#: What else a page may lack that a rule reads.
+MEASURES = ("width", "height", "red_ratio", "blue_ratio", "page_no", "page_count")
+
+
+def _lacking(rule: str, sql: str, have: set[str]) -> str:
+    """SQL: whether the page lacks something that the rule reads."""
+    read = [*ARRAYS[rule], *(m for m in MEASURES if re.search(rf"(?<![\w.]){m}\b", sql))]
+    return " OR ".join(f"{x} IS NULL" for x in read if x in have) or "false"
+
+
 def _for(pages: DataFrame, sql: str) -> str:
     """A rule's SQL with the red shares that the pages have."""
     red = {RED_LINE: "0D", COLUMN_RED: "red_ratio", ROW_RED: "red_ratio"}
@@ -386,7 +424,9 @@ def gated(pages: DataFrame, *ids: str, book: dict | None = None) -> DataFrame:
     ready, each = prepared(pages, book), {}
     for r in chosen:
         try:
-            each[r] = f"if({book[r].applies()}, transform({_for(pages, BUILDERS[r](book[r].params))}, f -> named_struct('rule_id', '{r}', 'f', f)), {none})"
+            sql = _for(pages, BUILDERS[r](book[r].params))
+            failed = f"array({finding('NULL', 'NULL', t.quoted(FAILED), 0.0)})"
+            each[r] = f"if({book[r].applies()}, transform(if({_lacking(r, sql, have)}, {failed}, coalesce({sql}, {failed})), f -> named_struct('rule_id', '{r}', 'f', f)), {none})"
         except (KeyError, TypeError, ValueError) as e:
             _left_out(r, e)
     whole = lambda: ready.withColumn("findings", F.expr(f"concat({', '.join([none, *each.values()])})"))

@@ -120,15 +120,16 @@ def _rules(book: dict[str, c.Rule], flag_head: bool | None = None) -> dict[str,
     least = int(book["U03"].params["min_pages"]) if "U03" in book else 2
     return {
         "U01": (f"({short}) OR ({str(head).lower()} AND NOT ({short}) AND first_marker.current > 1)", "start_page", f"if({short}, declared_total - page_count, first_marker.current - 1)", f"if({short}, 0.7D, 0.45D)"),
-        "U02": ("size(markers) >= 2 AND (size(dup) > 0 OR size(gap) > 0)", "start_page", f"if(size(dup) > 0, concat('repeats ', {listed_('dup')}), concat('lacks ', {listed_('gap')}))", "0.6D"),
+        "U02": ("size(markers) >= 2 AND (size(dup) > 0 OR size(gap) > 0)", "start_page", f"if(size(dup) > 0, concat('repeats ', {listed_('dup')}), concat('lacks ', array_join(gap, ',')))", "0.6D"),
         "U03": (f"page_count >= {least} AND size(array_distinct(transform(markers, m -> m.current))) < page_count AND size(bare) > 0", "bare[0]", f"concat(size(bare), ': ', {listed_('slice(bare, 1, 6)')})", "0.55D"),
     }
 
 
 def _measured(u: DataFrame) -> DataFrame:
-    """u with what the rules read: page numbers in order, those that repeat, those missing between them, pages without one."""
-    seq = u.withColumn("seq", F.expr("array_sort(transform(markers, m -> m.current))"))
-    dup, gap = "array_distinct(filter(seq, (x, i) -> i > 0 AND seq[i - 1] = x))", "if(size(seq) > 0, array_except(sequence(seq[0], element_at(seq, -1)), seq), CAST(array() AS array<int>))"
+    """u with what the rules read: page numbers in order, those that repeat, the ranges missing between neighbours of them, pages without one."""
+    seq = u.withColumn("seq", F.expr("array_sort(transform(markers, m -> CAST(m.current AS BIGINT)))"))
+    dup, step = "array_distinct(filter(seq, (x, i) -> i > 0 AND seq[i - 1] = x))", "seq[i + 1] - x"
+    gap = f"filter(transform(seq, (x, i) -> CASE WHEN i + 1 >= size(seq) OR {step} < 2 THEN NULL WHEN {step} = 2 THEN CAST(x + 1 AS STRING) ELSE concat(x + 1, '-', seq[i + 1] - 1) END), g -> g IS NOT NULL)"
     return seq.withColumns({"dup": F.expr(dup), "gap": F.expr(gap), "bare": F.expr("array_except(pages, transform(markers, m -> m.page_no))")})
 
 
@@ -144,7 +145,7 @@ def missing_pages(u: DataFrame, flag_head: bool | None = None, rule: c.Rule = c.
 
 
 def page_sequence(u: DataFrame, rule: c.Rule = c.BOOK["U02"]) -> DataFrame:
-    """Page numbers that repeat, else those missing between the smallest and the largest."""
+    """Page numbers that repeat, else those missing between the smallest and the largest, neighbours among them as a range."""
     return _one(u, rule)
 
 

@@ -218,3 +218,33 @@ def changed(rule: str, params: dict):
 QUERIES = {f"{r.lower()}_{n}": query(r) for r, n in NAMES.items()} | {n: changed(r, p) for n, (r, p, _) in CHANGED.items()}
 SQL = {f"{r.lower()}_{n}": ORACLES[r] for r, n in NAMES.items()} | {n: sql for n, (_, _, sql) in CHANGED.items()}
 QUERIES["all_text_rules"], SQL["all_text_rules"] = all_text_rules, ALL_SQL
+
+
+#: Damage to the derived pages: condition over page_no, and what is lost there.
+_DAMAGE = {"text": ("page_no % 3 = 1", "line 2 has no text"), "form": ("page_no % 4 = 2", "no form"), "seals": ("page_no % 5 = 3", "no list of seals"), "height": ("page_no % 6 = 5", "a height of 0"), "far": ("page_no % 3 = 2", "line 5 lies beyond 32 bits"), "line": ("page_no % 7 = 4", "a null among the lines")}
+
+
+def odd_pages(spark, sf_dir: str):
+    """The text rules and B01 over damaged pages: what is sound is found all the same, and rules that can't be checked say so."""
+    from pyspark.sql import functions as F
+
+    df, when = pages_for(spark, sf_dir, "lines", "seals"), {k: v[0] for k, v in _DAMAGE.items()}
+    hurt = f"transform(lines, l -> named_struct('line_no', l.line_no, 'text', if({when['text']} AND l.line_no = 2, NULL, l.text), 'x', if({when['far']} AND l.line_no = 5, 2147483647, l.x), 'y', l.y, 'w', l.w, 'h', l.h, 'red_ratio', l.red_ratio))"
+    df = df.withColumn("lines", F.expr(f"if({when['line']}, concat(array(NULL), {hurt}), {hurt})"))
+    df = df.withColumns({"form_type": F.expr(f"if({when['form']}, NULL, form_type)"), "seals": F.expr(f"if({when['seals']}, NULL, seals)"), "height": F.expr(f"if({when['height']}, 0, height)")})
+    return page_rules.findings(df, *_ODD, book=BOOK)
+
+
+_ODD = [r for r in _ALL if r in TEXT] + ["B01"]
+_NEEDS_HEIGHT = tuple(r for r in ("B05", "B09") if r in _ODD)
+_ODD_FORM = f"CASE WHEN {_DAMAGE['form'][0]} THEN '{c.UNKNOWN_FORM}' ELSE form_type END"
+_FAILED = lambda rule, when: f"SELECT doc_id, page_no, '{rule}' AS rule_id, CAST(NULL AS INT) AS no, CAST(NULL AS VARCHAR) AS evidence, '{page_rules.FAILED}' AS detail, 0.0 AS confidence FROM page WHERE {when} AND ({BOOK[rule].applies(_ODD_FORM)})"
+_ODD_SQL = " UNION ALL ".join(
+    [f"SELECT * FROM ({_ON_LINES.get(r) or ORACLES[r].split(derived.sql_with(*PARTS[r]), 1)[1]}) z" + (f" WHERE NOT ({_DAMAGE['height'][0]})" if r in _NEEDS_HEIGHT else "") for r in _ODD]
+    + [_FAILED(r, _DAMAGE["height"][0]) for r in _NEEDS_HEIGHT]
+    + [_FAILED("B01", _DAMAGE["seals"][0])]
+)
+QUERIES["odd_pages"] = odd_pages
+SQL["odd_pages"] = f"""{derived.sql_with("lines", "seals").replace("tlines AS (", "tlines0 AS (").replace("seals AS (", "seals0 AS (")},
+  tlines AS (SELECT * REPLACE ({_ODD_FORM} AS form_type, CASE WHEN {_DAMAGE["text"][0]} AND line_no = 2 THEN '' ELSE text END AS text) FROM tlines0),
+  seals AS (SELECT * REPLACE ({_ODD_FORM} AS form_type) FROM seals0 WHERE NOT ({_DAMAGE["seals"][0]})) {_ODD_SQL}"""

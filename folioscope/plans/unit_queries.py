@@ -96,7 +96,7 @@ def _(spark, d):
 
 
 _DUP = "list_sort(list_distinct(list_filter(seq, lambda x: len(list_filter(seq, lambda y: y = x)) > 1)))"
-_GAP = "list_filter(range(list_min(seq), list_max(seq) + 1), lambda x: NOT list_contains(seq, x))"
+_GAP = """list_filter([CASE WHEN list_sort(seq)[i + 1] - list_sort(seq)[i] = 2 THEN CAST(list_sort(seq)[i] + 1 AS VARCHAR) WHEN list_sort(seq)[i + 1] - list_sort(seq)[i] > 2 THEN (list_sort(seq)[i] + 1) || '-' || (list_sort(seq)[i + 1] - 1) END FOR i IN range(1, len(seq))], lambda g: g IS NOT NULL)"""
 
 
 @_add("u02_page_sequence", _SEG + _U.format(r="U02", page="pages[1]", detail="CASE WHEN len(dup) > 0 THEN 'repeats ' || array_to_string(dup, ',') ELSE 'lacks ' || array_to_string(gap, ',') END", conf="0.6", frm=f"(SELECT *, {_DUP} AS dup, {_GAP} AS gap FROM full_u WHERE len(seq) >= 2) z", where="len(dup) > 0 OR len(gap) > 0", gate=_gate("U02")))

@@ -254,3 +254,43 @@ def test_pages_of_gold_sets_and_one_page(spark, tmp_path):
     assert labels.read_predictions(spark, f"{tmp_path}/findings.json").first().rule_id == "A01"
 
 
+
+
+def test_odd_pages_lose_nothing_but_what_is_odd(spark):
+    sound = [page(["2023.6.1", "重量三十公斤", "a"], no=i) for i in range(7)]
+    df = spark.createDataFrame(sound, SCHEMA)
+    lines = lambda text="l.text", x="l.x", w="l.w": f"transform(lines, l -> named_struct('line_no', l.line_no, 'text', {text}, 'x', {x}, 'y', l.y, 'w', {w}, 'h', l.h))"
+    odd = [
+        lines(text="if(l.line_no = 2, NULL, l.text)"),
+        f"concat(array(NULL), {lines()})",
+        lines(x="CAST(NULL AS INT)"),
+        lines(x="2147483647", w="2147483647"),
+    ]
+    cases = {i: F.expr(sql) for i, sql in enumerate(odd)}
+    column = F.col("lines")
+    for i, sql in cases.items():
+        column = F.when(F.col("page_no") == i, sql).otherwise(column)
+    df = df.withColumn("lines", column).withColumn("form_type", F.when(F.col("page_no") == 4, None).otherwise(F.col("form_type")))
+    df = df.withColumn("height", F.when(F.col("page_no") == 5, 0).otherwise(F.col("height"))).withColumn("seals", F.when(F.col("page_no") != 6, F.col("seals")))
+    got = {}
+    for r in page_rules.findings(df, "A01", "A08", "B01", "B05").collect():
+        got.setdefault(r.page_no, set()).add((r.rule_id, r.detail == page_rules.FAILED))
+    assert all({("A01", False), ("A08", False)} <= got[i] for i in range(7))
+    assert {i: {r for r, failed in x if failed} for i, x in got.items()} == {0: set(), 1: set(), 2: set(), 3: set(), 4: set(), 5: {"B05"}, 6: {"B01"}}
+    found, units = audit.audit(df.withColumn("doc_id", F.lit("D")))
+    low = [(r.page_no, r.rule_id, r.level, r.title, r.confidence) for r in found.collect() if r.title == "rule failed"]
+    assert low and all(x[2] == "LOW" and x[4] == 0.0 for x in low) and (6, "B01", "LOW", "rule failed", 0.0) in low
+    assert sum(r.page_count for r in units.collect()) == 7
+
+
+def test_pages_without_lines_are_units_all_the_same(spark):
+    df = spark.createDataFrame([page(["a"], no=1), page(["b"], no=2)], SCHEMA).withColumn("lines", F.expr("if(page_no = 2, NULL, lines)"))
+    assert [r.page_no for r in audit.digests(df).orderBy("page_no").collect()] == [1, 2]
+
+
+def test_missing_pages_are_ranges(spark):
+    row = lambda doc, *numbers: (doc, f"{doc}#U001", "检验记录", [*range(1, len(numbers) + 1)], len(numbers), 1, None, [(i, n, n) for i, n in enumerate(numbers, 1)])
+    df = spark.createDataFrame([row("far", 1, 2, 90_000_000), row("two", 1, 3, 7), row("most", 1, 2**31 - 1), row("same", 5, 5, 9), row("fine", 4, 5, 6), row("one", 9)], "doc_id string, unit_id string, form_type string, pages array<int>, page_count int, start_page int, declared_total int, markers array<struct<page_no:int,current:int,total:int>>")
+    df = df.withColumn("first_marker", F.expr("markers[0]"))
+    got = {r.doc_id: r.detail for r in segment.page_sequence(df).collect()}
+    assert got == {"far": "lacks 3-89999999", "two": "lacks 2,4-6", "most": f"lacks 2-{2**31 - 2}", "same": "repeats 5"}
