@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, discard, settle
+from .common import byte_chunks, columns, discard, settle
 
 #: Bound on the chance that a link at the threshold shares no bucket.
 MISS = 1e-8
@@ -292,10 +292,10 @@ def deduplicate(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> Data
     seen = settle(near_duplicates(docs, shingle=shingle, percent=percent).select("doc_id", "kept"), "kept")
     ids = seen.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     marked = settle(ids.where("not kept or n > 1"), "marked")
-    single = docs.join(marked.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    single = docs.join(marked.select("doc_id"), "doc_id", "left_anti").select(*columns(docs.columns))
     if marked.where("n > 1").isEmpty():
         return single
-    repeated = docs.join(marked.where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    repeated = docs.join(marked.where("kept").select("doc_id"), "doc_id", "left_semi").select(*columns(docs.columns))
     return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 

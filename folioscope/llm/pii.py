@@ -1,8 +1,8 @@
 """Personal data: surrogates in place of detected entities. DataFrame and SQL functions only.
 
 Method. One expression finds e-mail addresses, IBANs, card and account numbers, social security numbers, phone numbers,
-IPv4 addresses and names after an honorific; where a document has such names, their words are also found when they stand
-alone in it. An entity has a type and a canonical form (digits of a phone number, a name's single words, ...), and its
+IPv4 addresses and names after an honorific: capitalised words or words in capitals, initials, and particles (van, de la)
+before a word. Where a document has such names, their words are also found when they stand alone in it, in either case. An entity has a type and a canonical form (digits of a phone number, a name's single words, ...), and its
 surrogate is a keyed function of type and form alone: the same entity gets the same surrogate in every document, in
 whatever notation and place. Number types go through a four-round Feistel permutation of their digits, which can't map two
 numbers of a format to one; card numbers keep their first digit and get a new check digit, account numbers walk on until
@@ -10,7 +10,11 @@ they fail the cards' check, IBANs keep their country and get new check digits, p
 four octets, e-mail addresses their top domain (and people of one domain stay together). Listed given names rotate within
 the list of their gender and script; other words of names are composed of syllables in the word's script (Latin, Cyrillic,
 Greek, Armenian; words of other scripts get Latin ones) and keep the class of their ending, which tells the gender where
-anything does. Letters, digits, separators, hyphens and the case of e-mail addresses stay where they were.
+anything does. Names in capitals, apostrophes and capitals within a name stay what they are; initials rotate in their
+alphabet, particles stay. Letters, digits, separators, hyphens and the case of e-mail addresses stay where they were.
+
+The key is a parameter. Who has it can undo the permutations of numbers, and so can who reads it from a query's plan; the
+query and the pipeline take it from `spark.folioscope.pii.key` and, where that is unset, make one up for their session.
 
 Collision checks run over the distinct entities of the whole corpus: an entity whose surrogate equals another's, or equals
 an entity that really occurs, tries the next key of its own until none is left. From the WIDEN-th key on a surrogate also
@@ -19,19 +23,25 @@ of a domain); IPv4 addresses can't grow. Collisions that ATTEMPTS keys leave are
 ever need a second key; up to LITERAL_LIMIT of them travel as a literal, more by a join on the text's digest.
 
 Defined results. Null and empty texts stay as they are. Texts without entities stay byte for byte. Number runs that fail
-their checksum: IBAN-like strings stay, runs of 13 to 19 digits count as account numbers. A name is up to 16 capitalised
-words; bare mentions are whole words, before or after the name. Repeated rows get equal texts. Extra columns pass through;
+their checksum: IBAN-like strings stay, runs of 13 to 19 digits count as account numbers. A name goes on as long as its
+words do, so that capitalised words right after it belong to it; bare mentions are whole words, before or after the name.
+Initials outside the alphabets of the four scripts count as an X. Numbers without a country code in no format of these
+stay. Repeated rows get equal texts. Extra columns pass through;
 a column named `entities` is replaced where entities are asked for. Empty tables stay empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, settle
+from .common import columns, discard, settle
 
-KEY = "folioscope"
+#: The setting that holds the key of the query and of the pipeline.
+KEY_SETTING = "spark.folioscope.pii.key"
 #: Entities with keys of their own that still go into the plan as a literal.
 LITERAL_LIMIT = 500
 #: Keys that an entity may try.
@@ -53,8 +63,13 @@ HONORIFICS = {
     "n": ("Dr", "Prof"),
 }
 _TITLE = "|".join(sorted((t for ts in HONORIFICS.values() for t in ts), key=len, reverse=True))
-_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}{1,30}(?:\p{Lu}\p{Ll}{1,30})?"
-_PERSON = rf"(?<![\p{{L}}])(?:{_TITLE})\.? {_NAME}(?:[ -]{_NAME}){{0,15}}(?![\p{{L}}])"
+#: Particles of names, which stay.
+PARTICLES = "af al av ben bin da dal das de dei del della den der des di do dos du el ibn la las le los van vom von y zu zum zur".split()
+_WORD = r"(?:\p{Lu}['’])?(?:\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)?|\p{Lu}{2,})"
+_INITIAL = r"(?:\p{Lu}\.)+|\p{Lu}(?= \p{Lu})"
+_NAME = rf"(?:(?:(?:{'|'.join(PARTICLES)}) )*+{_WORD}|{_INITIAL})(?!\p{{L}})"
+# possessive, so that a name of any length is matched in a loop
+_PERSON = rf"(?<![\p{{L}}])(?:{_TITLE})\.? {_NAME}(?:[ -]{_NAME})*+"
 PATTERN = "|".join((_EMAIL, _IBAN, _NUMBER, _SSN, _PHONE, _IPV4, _PERSON))
 
 #: Given names that rotate, by gender and script.
@@ -73,6 +88,8 @@ SYLLABLES = {
 }
 #: Country codes of one and two digits; all others have three.
 COUNTRY = "(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
+#: The alphabets that initials rotate in.
+ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՒՓՔՕՖ")
 #: Steps that an account number may walk until it fails the cards' check: nine in ten numbers do.
 WALK = 40
 KINDS = ("email", "iban", "card", "account", "ssn", "phone", "ipv4", "person")
@@ -125,6 +142,27 @@ def _names(m: str) -> str:
     return f"split({_rest(m)}, '[ -]')"
 
 
+def _is_particle(w: str) -> str:
+    return f"{w} IN ({', '.join(map(_q, PARTICLES))})"
+
+
+def _is_initial(w: str) -> str:
+    return f"(length({w}) = 1 OR contains({w}, '.'))"
+
+
+def _canonical(w: str) -> str:
+    """A word of a name in any case, with either apostrophe: one capital, then small letters."""
+    return f"replace(concat(substr({w}, 1, 1), lower(substr({w}, 2))), '’', {_q(chr(39))})"
+
+
+def _as_written(w: str, s: str) -> str:
+    """The word s with the capitals and the apostrophe of w."""
+    c = f"substr({w}, i, 1)"
+    step = f"if(c IN ({_q(chr(39))}, '’'), named_struct('o', concat(t.o, c), 'i', t.i), named_struct('o', concat(t.o, if(c <> lower(c), upper(substr({s}, t.i, 1)), substr({s}, t.i, 1))), 'i', t.i + 1))"
+    walked = f"aggregate(transform(sequence(1, length({w})), i -> {c}), named_struct('o', '', 'i', 1), (t, c) -> {step}, t -> concat(t.o, substr({s}, t.i)))"
+    return f"if(length({w}) > 1 AND {w} = upper({w}), upper({walked}), {walked})"
+
+
 def _script(word: str) -> str:
     cases = " ".join(f"WHEN rlike({word}, '^\\\\p{{Is{name.title()}}}') THEN '{name}'" for name in SYLLABLES if name != "latin")
     return f"CASE {cases} ELSE 'latin' END"
@@ -134,13 +172,15 @@ def entities(m: str, k: str) -> str:
     """SQL for array<struct<type, form>>: the entities of a match m of kind k."""
     d = _digits(m)
     one = lambda form: f"array(named_struct('type', {k}, 'form', {form}))"
-    words = f"transform({_names(m)}, w -> named_struct('type', concat('name-', {_script('w')}), 'form', w))"
+    word = f"named_struct('type', concat('name-', {_script('w')}), 'form', {_canonical('w')})"
+    words = f"transform({_names(m)}, w -> CASE WHEN {_is_particle('w')} THEN named_struct('type', 'particle', 'form', w) WHEN {_is_initial('w')} THEN named_struct('type', 'initial', 'form', w) ELSE {word} END)"
     return f"""CASE {k} WHEN 'email' THEN {one(f'lower({m})')} WHEN 'iban' THEN {one(f"replace({m}, ' ', '')")} WHEN 'ipv4' THEN {one(m)}
       WHEN 'phone' THEN {one(f"concat({_code(m)}, '.', substr({d}, length({_code(m)}) + 1))")} WHEN 'person' THEN {words} ELSE {one(d)} END"""
 
 
 def _hash(*parts: str) -> str:
-    return f"sha2(concat_ws('|', {_q(KEY)}, {', '.join(parts)}), 256)"
+    """Of the key, which is the first part, and others."""
+    return f"sha2(concat_ws('|', {', '.join(parts)}), 256)"
 
 
 def _number(*parts: str) -> str:
@@ -204,13 +244,14 @@ def listed(type_: str, form: str) -> str:
     return "(" + " OR ".join(f"{type_} = 'name-{script}' AND {form} IN ({', '.join(map(_q, names))})" for (_, script), names in GIVEN.items()) + ")"
 
 
-def surrogate(type_: str, form: str, attempt: str) -> str:
-    """SQL for the surrogate of an entity's form."""
-    tag = (type_, attempt)
+def surrogate(type_: str, form: str, attempt: str, key: str) -> str:
+    """SQL for the surrogate of an entity's form under a key."""
+    key_ = _q(key)
+    tag = (key_, type_, attempt)
     seed, more = _hash(*tag, form), _wider(attempt)
     longer = lambda x, c: f"concat({x}, repeat('{c}', {more}))"
     local = longer(f"substring_index({form}, '@', 1)", "a")
-    mail = f"concat({_pattern(local, seed)}, '@', {_domain(form)})"
+    mail = f"concat({_pattern(local, seed)}, '@', {_domain(form, key_)})"
     middle = longer(f"substr({form}, 2, length({form}) - 2)", "0")
     body = f"concat(substr({form}, 1, 1), {_feistel(middle, *tag)})"
     check = f"cast((10 - {_luhn_sum('concat(y, ' + chr(39) + '0' + chr(39) + ')')} % 10) % 10 as string)"
@@ -222,16 +263,26 @@ def surrogate(type_: str, form: str, attempt: str) -> str:
         f"WHEN {type_} = 'email' THEN {mail}", f"WHEN {type_} = 'iban' THEN {account}", f"WHEN {type_} = 'card' THEN {card}", f"WHEN {type_} = 'account' THEN {walked}",
         f"WHEN {type_} = 'ssn' THEN {_feistel(longer(form, '0'), *tag)}", f"WHEN {type_} = 'phone' THEN {phone}", f"WHEN {type_} = 'ipv4' THEN {_octets(form, *tag)}",
     ]
+    cases.append(f"WHEN {type_} = 'particle' THEN {form} WHEN {type_} = 'initial' THEN {_initials(form, key)}")
     for (gender, script), names in GIVEN.items():
         all_, n = f"array({', '.join(map(_q, names))})", len(names)
-        shift = f"cast({_number(_q(gender), _q(script))} % {n - 1} as int)"
+        shift = f"cast({_number(key_, _q(gender), _q(script))} % {n - 1} as int)"
         cases.append(f"WHEN {type_} = 'name-{script}' AND {more} = 0 AND array_contains({all_}, {form}) THEN element_at({all_}, cast((array_position({all_}, {form}) + {shift}) % {n} + 1 as int))")
     return f"CASE {' '.join(cases)} ELSE {_composed(type_, form, seed, more)} END"
 
 
-def _domain(form: str) -> str:
+def _initials(form: str, key: str) -> str:
+    """Each letter moved on in its alphabet, by as much as the key says."""
+    moved = []
+    for letters in ALPHABETS:
+        shift = 1 + int(hashlib.sha256(f"{key}|{letters}".encode()).hexdigest(), 16) % (len(letters) - 1)
+        moved.append(letters[shift:] + letters[:shift])
+    return f"translate(regexp_replace({form}, '[^.{''.join(ALPHABETS)}]', 'X'), {_q(''.join(ALPHABETS))}, {_q(''.join(moved))})"
+
+
+def _domain(form: str, key_: str) -> str:
     name = f"substring_index({form}, '@', -1)"
-    return f"concat({_pattern(f'substr({name}, 1, length({name}) - length(substring_index({name}, {chr(39)}.{chr(39)}, -1)) - 1)', _hash(_q('domain'), name))}, '.', substring_index({name}, '.', -1))"
+    return f"concat({_pattern(f'substr({name}, 1, length({name}) - length(substring_index({name}, {chr(39)}.{chr(39)}, -1)) - 1)', _hash(key_, _q('domain'), name))}, '.', substring_index({name}, '.', -1))"
 
 
 def _placed(m: str, s: str) -> str:
@@ -245,12 +296,13 @@ def _cased(m: str, s: str) -> str:
     return f"concat(array_join(transform(sequence(1, length({m})), i -> if(substr({m}, i, 1) <> lower(substr({m}, i, 1)), upper(substr({s}, i, 1)), substr({s}, i, 1))), ''), substr({s}, length({m}) + 1))"
 
 
-def _replaced(m: str, attempts: str | None) -> str:
+def _replaced(m: str, attempts: str | None, key: str) -> str:
     """SQL for what stands in place of a match m."""
     attempt = f"cast(coalesce(element_at({attempts}, concat(e.type, '|', e.form)), 0) as string)" if attempts else "'0'"
-    found = f"transform({entities(m, 'k')}, e -> {surrogate('e.type', 'e.form', attempt)})"
+    found = f"transform({entities(m, 'k')}, e -> {surrogate('e.type', 'e.form', attempt, key)})"
     marks = f"regexp_extract_all({_rest(m)}, '[ -]', 0)"
-    name = f"concat(substr({m}, 1, locate(' ', {m})), array_join(zip_with(s, {marks}, (w, c) -> concat(w, coalesce(c, ''))), ''))"
+    written = f"zip_with(s, {_names(m)}, (y, w) -> if({_is_particle('w')} OR {_is_initial('w')}, y, {_as_written('w', 'y')}))"
+    name = f"concat(substr({m}, 1, locate(' ', {m})), array_join(zip_with({written}, {marks}, (w, c) -> concat(w, coalesce(c, ''))), ''))"
     halves = [_cased(f"substring_index({m}, '@', {i})", f"substring_index(s[0], '@', {i})") for i in (1, -1)]
     one = f"CASE WHEN k IS NULL THEN {m} WHEN k = 'person' THEN {name} WHEN k = 'email' THEN concat({halves[0]}, '@', {halves[1]}) WHEN k = 'ipv4' THEN s[0] ELSE {_placed(m, "replace(s[0], '.', '')")} END"
     return f"transform(transform(array({kind(m)}), k -> named_struct('k', k, 's', {found})), x -> transform(array(x.k), k -> transform(array(x.s), s -> {one})[0])[0])[0]"
@@ -270,12 +322,12 @@ def corpus_entities(docs: DataFrame) -> DataFrame:
     """type, form: the distinct entities of all documents."""
     m = docs.select(F.explode(_matches(F.col("text"))).alias("m")).distinct()
     k = m.select("m", F.expr(kind("m")).alias("k")).where("k is not null")
-    return k.select(F.explode(F.expr(entities("m", "k"))).alias("e")).select("e.type", "e.form").distinct()
+    return k.select(F.explode(F.expr(entities("m", "k"))).alias("e")).select("e.type", "e.form").where("type NOT IN ('particle', 'initial')").distinct()
 
 
-def collisions(found: DataFrame) -> DataFrame:
-    """type, form, attempt of the entities that need another key than the first, over a settled table of entities."""
-    named = lambda df: df.withColumn("surrogate", F.expr(surrogate("type", "form", "cast(attempt as string)")))
+def collisions(found: DataFrame, key: str) -> DataFrame:
+    """type, form, attempt of the entities that need another variant of the key than the first, over a settled table of entities."""
+    named = lambda df: df.withColumn("surrogate", F.expr(surrogate("type", "form", "cast(attempt as string)", key)))
     state = settle(named(found.withColumn("attempt", F.lit(0))), "entities")
     real = found.select("type", F.col("form").alias("surrogate"), F.lit(True).alias("real"))
     rotates = f"{listed('type', 'form')} AND attempt < {WIDEN}"
@@ -298,13 +350,22 @@ def collisions(found: DataFrame) -> DataFrame:
     raise RuntimeError(f"after {ATTEMPTS} keys there are entities without a surrogate of their own: {left}")
 
 
-def replace_pii(docs: DataFrame, *, with_entities: bool = False) -> DataFrame:
-    """docs with surrogates in text and, if asked for, entities (the kinds found, in order of appearance)."""
+def session_key(spark: SparkSession) -> str:
+    """The key of KEY_SETTING; where it is unset, a random one for this session, which it keeps."""
+    if not spark.conf.get(KEY_SETTING, ""):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
+
+
+def replace_pii(docs: DataFrame, key: str, *, with_entities: bool = False) -> DataFrame:
+    """docs with surrogates under a key in text and, if asked for, entities (the kinds found, in order of appearance)."""
+    if not key:
+        raise ValueError("surrogates need a key")
     found = settle(corpus_entities(docs), "entities")
-    special = settle(collisions(found), "attempts")
+    special = settle(collisions(found, key), "attempts")
     n = special.count()
     keep = [c for c in docs.columns if not (with_entities and c == "entities")]
-    rows = docs.select(F.struct(*keep).alias("_row"), F.col("text").alias("_text"))
+    rows = docs.select(F.struct(*columns(keep)).alias("_row"), F.col("text").alias("_text"))
     attempts = None
     if 0 < n <= LITERAL_LIMIT:
         pairs = [x for r in special.collect() for x in (F.lit(f"{r['type']}|{r['form']}"), F.lit(r["attempt"]))]
@@ -313,18 +374,19 @@ def replace_pii(docs: DataFrame, *, with_entities: bool = False) -> DataFrame:
         rows, attempts = _joined(rows, special), "_attempts"
     m = rows.withColumn("_m", _matches(F.col("_text")))
     # no other match is without digits and an at sign
-    m = m.withColumn("_words", F.expr(f"array_distinct(flatten(transform(filter(_m, m -> NOT rlike(m, '[0-9@]')), m -> {_names('m')})))"))
+    words = f"filter(flatten(transform(filter(_m, m -> NOT rlike(m, '[0-9@]')), m -> {_names('m')})), w -> NOT ({_is_particle('w')} OR {_is_initial('w')}))"
+    m = m.withColumn("_words", F.expr(f"array_distinct(flatten(transform({words}, w -> array(w, {_canonical('w')}, upper(w)))))"))
     wider = F.concat(F.lit(f"{PATTERN}|(?<![\\p{{L}}])(?:"), F.array_join("_words", "|"), F.lit(")(?![\\p{L}])"))
     m = m.withColumn("_m", F.when(F.size("_words") > 0, F.regexp_extract_all("_text", wider, F.lit(0))).otherwise(F.col("_m")))
     parts = F.when(F.size("_words") > 0, F.split(F.col("_text"), wider, -1)).otherwise(F.split(F.col("_text"), PATTERN, -1))
-    new = F.expr(f"transform(_m, m -> {_replaced('m', attempts)})")
+    new = F.expr(f"transform(_m, m -> {_replaced('m', attempts, key)})")
     joined = F.array_join(F.concat(F.array(F.element_at(parts, 1)), F.flatten(F.zip_with(new, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda a, b: F.array(a, b)))), "")
     text = F.when(F.size("_m") > 0, joined).otherwise(F.col("_text"))
     out = m.withColumn("_new", text)
-    columns = [F.col("_new").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in keep]
+    new_columns = [F.col("_new").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in keep]
     if with_entities:
-        columns.append(F.expr(f"filter(transform(_m, m -> {kind('m')}), k -> k is not null)").alias("entities"))
-    return out.select(*columns)
+        new_columns.append(F.expr(f"filter(transform(_m, m -> {kind('m')}), k -> k is not null)").alias("entities"))
+    return out.select(*new_columns)
 
 
 def _joined(rows: DataFrame, special: DataFrame) -> DataFrame:
@@ -336,6 +398,6 @@ def _joined(rows: DataFrame, special: DataFrame) -> DataFrame:
     return rows.withColumn("_digest", digest).join(settle(maps, "attempts"), "_digest", "left").drop("_digest")
 
 
-def op5_pii_surrogates(docs: DataFrame) -> DataFrame:
-    done = replace_pii(docs.select("doc_id", "text"), with_entities=True)
+def op5_pii_surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
+    done = replace_pii(docs.select("doc_id", "text"), key or session_key(docs.sparkSession), with_entities=True)
     return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), *[F.size(F.expr(f"filter(entities, x -> x = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_chunks, discard, settle
+from .common import byte_chunks, columns, discard, settle
 
 FOURIER, GAMMA, RIDGE, BINS, FOLDS, SEED = 128, 0.02, 1e-3, 1000, 5, 7
 #: Score from which a document is good.
@@ -200,7 +200,7 @@ def score_documents(docs: DataFrame, model: Model, column: str = "score") -> Dat
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, column])
 
-    return docs.select(*keep).mapInArrow(score, schema)
+    return docs.select(*columns(keep)).mapInArrow(score, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
@@ -208,7 +208,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame
     stats = settle(document_statistics(docs), "statistics")
     model = fit(stats, labels)
     name = next(f"score_{i}" for i in range(len(docs.columns) + 1) if f"score_{i}" not in docs.columns)
-    return score_documents(docs, model, name).where(F.col(name) >= cut).select(*docs.columns)
+    return score_documents(docs, model, name).where(F.col(name) >= cut).select(*columns(docs.columns))
 
 
 def op3_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ import regex
 
 from folioscope.llm import pii
 
+KEY = "a key of the tests"
+
 
 def digest(*parts):
-    return hashlib.sha256("|".join([pii.KEY, *parts]).encode()).hexdigest()
+    return hashlib.sha256("|".join([KEY, *parts]).encode()).hexdigest()
 
 
 def number(*parts):
@@ -50,6 +52,36 @@ def script(w):
     return next((s for s in pii.SYLLABLES if s != "latin" and regex.match(rf"\p{{{s}}}", w)), "latin")
 
 
+def is_initial(w):
+    return len(w) == 1 or "." in w
+
+
+def canonical(w):
+    return (w[:1] + w[1:].lower()).replace("’", "'")
+
+
+def initials(w):
+    out = ""
+    for c in w:
+        letters = next((a for a in pii.ALPHABETS if c in a), None if c == "." else pii.ALPHABETS[0])
+        if letters:
+            shift = 1 + int(hashlib.sha256(f"{KEY}|{letters}".encode()).hexdigest(), 16) % (len(letters) - 1)
+            c = letters[((letters.index(c) if c in letters else letters.index("X")) + shift) % len(letters)]
+        out += c
+    return out
+
+
+def as_written(w, s):
+    out, at = "", 0
+    for c in w:
+        if c in "'’":
+            out += c
+        else:
+            out, at = out + (s[at : at + 1].upper() if c != c.lower() else s[at : at + 1]), at + 1
+    out += s[at:]
+    return out.upper() if len(w) > 1 and w == w.upper() else out
+
+
 def entities(m):
     k, d = kind(m), digits(m)
     if k == "phone":
@@ -57,7 +89,7 @@ def entities(m):
         code = "" if m[0] != "+" else apart[1] if apart else regex.match(pii.COUNTRY, m[1:])[1]
         return [("phone", f"{code}.{d[len(code) :]}")]
     if k == "person":
-        return [(f"name-{script(w)}", w) for w in words(m)]
+        return [(f"name-{script(w)}", canonical(w)) for w in words(m) if w not in pii.PARTICLES and not is_initial(w)]
     return [] if k is None else [(k, {"email": m.lower(), "iban": m.replace(" ", ""), "ipv4": m}.get(k, d))]
 
 
@@ -146,12 +178,14 @@ def cased(m, s):
 
 
 def replaced(m, named):
-    k, s = kind(m), [named[e] for e in entities(m)]
+    k = kind(m)
     if k is None:
         return m
     if k == "person":
         marks = regex.findall("[ -]", m[m.find(" ") + 1 :])
+        s = [w if w in pii.PARTICLES else initials(w) if is_initial(w) else as_written(w, named[f"name-{script(w)}", canonical(w)]) for w in words(m)]
         return m[: m.find(" ") + 1] + "".join(a + b for a, b in zip(s, [*marks, ""], strict=True))
+    s = [named[e] for e in entities(m)]
     if k == "email":
         return "@".join(cased(x, y) for x, y in zip(m.split("@"), s[0].split("@"), strict=True))
     return s[0] if k == "ipv4" else placed(m, s[0].replace(".", ""))
@@ -180,6 +214,7 @@ def replace(docs):
     named, out = names_for(found), []
     for doc_id, text in docs:
         mine = {w for m in plain.finditer(text or "") if kind(m[0]) == "person" for w in words(m[0])}
+        mine = {x for w in mine if w not in pii.PARTICLES and not is_initial(w) for x in (w, canonical(w), w.upper())}
         bare = rf"|(?<![\p{{L}}])(?:{'|'.join(sorted(mine))})(?![\p{{L}}])" if mine else ""
         whole, kinds = regex.compile(pii.PATTERN + bare), []
         for m in whole.finditer(text or ""):

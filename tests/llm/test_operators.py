@@ -287,6 +287,8 @@ def test_a_hot_doc_id_has_parts_of_its_own(spark, words):
 
 # 5 personal data
 
+import plain_pii  # noqa: E402
+
 
 def luhn(s):
     return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(s))) % 10 == 0
@@ -298,7 +300,7 @@ def test_surrogates_keep_type_format_and_identity(spark, table, odd):
         "IBAN GB82 WEST 1234 5698 7654 32, not GB83 WEST 1234 5698 7654 32", "Mrs. Linda Smith and Госпожа Анна Иванова", "version 1.2.3.4.5, 12-34, 3.14 and 555 apples", "runs of 1234567890123 digits",
     ]
     docs = list(enumerate(texts)) + odd
-    out = {r.doc_id: r for r in pii.replace_pii(table(docs), with_entities=True).collect()}
+    out = {r.doc_id: r for r in pii.replace_pii(table(docs), plain_pii.KEY, with_entities=True).collect()}
     for bad in ("Smith", "joe.doe42", "JOE.DOE42", "42.144.35.254", "4041894974608795", "555-2485", "123-45-6789", "WEST 1234 5698 7654 32,", "Иванова", "1234567890123"):
         assert all(bad not in (r.text or "") for r in out.values()), bad
     assert out[5].text == texts[5] and "GB83 WEST 1234 5698 7654 32" in out[3].text
@@ -321,15 +323,15 @@ def test_surrogates_keep_type_format_and_identity(spark, table, odd):
 def test_numbers_stay_distinct_and_collisions_move_on(spark):
     docs = spark.createDataFrame([(i, f"x {4000000000000 + i * 7} y {i % 50}@q.de z") for i in range(400)] + [(1000 + i, f"{c}@q.de") for i, c in enumerate("abcdefghijklmnopqrst")], "doc_id bigint, text string")
     found = pii.corpus_entities(docs).cache()
-    special = pii.collisions(found)
-    named = found.join(special, ["type", "form"], "left").fillna(0, ["attempt"]).withColumn("s", F.expr(pii.surrogate("type", "form", "cast(attempt as string)")))
+    special = pii.collisions(found, plain_pii.KEY)
+    named = found.join(special, ["type", "form"], "left").fillna(0, ["attempt"]).withColumn("s", F.expr(pii.surrogate("type", "form", "cast(attempt as string)", plain_pii.KEY)))
     assert named.count() == named.select("type", "s").distinct().count()
     real = found.select("type", F.col("form").alias("s"))
     assert named.join(real, ["type", "s"]).count() == 0 and special.count() > 0  # twenty one-letter addresses of one domain can't avoid each other at first
-    literal = rows(pii.replace_pii(docs))
+    literal = rows(pii.replace_pii(docs, plain_pii.KEY))
     limit, pii.LITERAL_LIMIT = pii.LITERAL_LIMIT, 0
     try:
-        assert rows(pii.replace_pii(docs)) == literal
+        assert rows(pii.replace_pii(docs, plain_pii.KEY)) == literal
     finally:
         pii.LITERAL_LIMIT = limit
 
@@ -353,23 +355,21 @@ def test_pii_collisions_that_stay_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(pii, "ATTEMPTS", 2)
     monkeypatch.setattr(pii, "surrogate", lambda *_: "'same'")
     with pytest.raises(RuntimeError, match="2 of ipv4|1 of ipv4"):
-        pii.collisions(spark.createDataFrame([("ipv4", "1.2.3.4"), ("ipv4", "1.2.3.5")], "type string, form string"))
+        pii.collisions(spark.createDataFrame([("ipv4", "1.2.3.4"), ("ipv4", "1.2.3.5")], "type string, form string"), "key")
 
 
 def test_surrogates_are_the_plain_ones(spark, table, odd):
-    import plain_pii
-
     r = random.Random(6)
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     bits = [
-        lambda: f"{r.choice(['Mr.', 'Mrs', 'Dr.', 'Frau', 'Госпожа', 'Señor'])} {r.choice(['John', 'Linda', 'Jean-Paul', 'Анна', 'Γιώργος', 'Արամ', 'Maria'])} {r.choice(['Smith', 'O’Brien', 'McDonald', 'Иванова', 'Παπαδόπουλος', 'Van Der Berg'])}",
-        lambda: r.choice(["John", "Smith", "Linda", "Maria", "Later", "Johnny", "Smith's"]),
+        lambda: f"{r.choice(['Mr.', 'Mrs', 'Dr.', 'Frau', 'Госпожа', 'Señor'])} {r.choice(['John', 'Linda', 'Jean-Paul', 'Анна', 'Γιώργος', 'Արամ', 'Maria'])} {r.choice(['Smith', 'O’Brien', "O'NEIL", 'McDonald', 'MACDONALD', 'Иванова', 'ИВАНОВА', 'Παπαδόπουλος', 'Van Der Berg', 'van der Berg', 'de la Cruz', 'J. R. Smith', 'F Smith', 'É.Ü. Ж. SMITH'])}",
+        lambda: r.choice(["John", "SMITH", "BERG", "der", "J.", "Smith", "Linda", "Maria", "Later", "Johnny", "Smith's"]),
         lambda: f"{r.choice(['JOE', 'ann', 'Bo'])}{d(1)}@{r.choice(['Mail', 'q'])}.{r.choice(['de', 'COM'])}", lambda: f"+49{d(9)}", lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: d(16), lambda: d(13),
         lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"10.{d(1)}.{d(1)}.{d(1)}", lambda: "GB82 WEST 1234 5698 7654 32", lambda: "DE" + d(20), lambda: "plain words here",
     ]
     docs = [(i, " ".join(r.choice(bits)() + r.choice(["", ",", ".", "\n"]) for _ in range(r.randint(1, 25)))) for i in range(300)] + odd
     docs += [(2000 + i, f"{c}@q.de") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]  # no free form of one letter
-    got = [(x.doc_id, x.text, x.entities) for x in pii.replace_pii(table(docs), with_entities=True).collect()]
+    got = [(x.doc_id, x.text, x.entities) for x in pii.replace_pii(table(docs), plain_pii.KEY, with_entities=True).collect()]
     assert sorted(got, key=repr) == sorted(plain_pii.replace(docs), key=repr)
     mails = [t for i, t, _ in got if i is not None and 2000 <= i < 2026]
     assert len(set(mails)) == 26 and not set(mails) & {t for i, t in docs if i is not None and i >= 2000}
@@ -403,6 +403,34 @@ def test_pii_on_an_empty_table_runs_without_python(spark, table):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_whole_names_go_in_any_writing(spark, table):
+    texts = [
+        "Herr MÜLLER kam, Müller ging", "Mr. J. R. Smith and Mr. J.R. Smith, Mr. J Smith", "Mr. van der Berg or Dr. de la Cruz", "Mr. O'Neil, Mrs. O’NEIL", "Mr. McDonald and MCDONALD", "Mr. " + " ".join(f"Na{'abcdefghij'[i % 10] * (2 + i % 7)}" for i in range(400)) + " said",
+        "Mr. Smithé" + "X", "a von b and Dr. x", "MR. SMITH",
+    ]
+    out = {r.doc_id: r.text for r in pii.replace_pii(table(list(enumerate(texts))), "k").collect()}
+    first, late = out[0].split()[1], out[0].split(", ")[1].split()[0]
+    assert first.isupper() and first != "MÜLLER" and late == first.capitalize()
+    for name in out[1].replace(" and ", ", ").split(", "):
+        assert name.split()[0] == "Mr." and "J" not in name and "Smith" not in name
+    assert len({n.split()[-1] for n in out[1].replace(" and ", ", ").split(", ")}) == 1 and out[1].count(".") == texts[1].count(".")
+    assert out[2].startswith("Mr. van der ") and " or Dr. de la " in out[2] and "Berg" not in out[2] and "Cruz" not in out[2]
+    one, other = out[3].split(", ")
+    assert one[5] == "'" and one[4].isupper() and one[6].isupper() and other[6] == "’" and other[5:].isupper() and one[4:].replace("'", "").lower() == other[5:].replace("’", "").lower()
+    mc, caps = out[4].removeprefix("Mr. ").split(" and ")
+    assert mc[2].isupper() and mc[1].islower() and mc[3:].islower() and caps == mc.upper() and mc != "McDonald"
+    assert not set(texts[5].split()[1:-1]) & set(out[5].split()) and out[5].endswith(" said") and len(out[5].split()) == 402
+    assert [out[6], out[7], out[8]] == texts[6:]
+    again = {r.doc_id: r.text for r in pii.replace_pii(table(list(enumerate(texts))), "another key").collect()}
+    assert all(again[i] != out[i] for i in range(6))
+    with pytest.raises(ValueError, match="key"):
+        pii.replace_pii(table([]), "")
+
+
+def test_the_sessions_key_stays(spark, monkeypatch):
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) >= 32
+
+
 # 6 near duplicates
 
 

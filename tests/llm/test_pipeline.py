@@ -69,7 +69,7 @@ def test_odd_tables_run(spark, words, tmp_path, case):
     if case == "clashes":
         from pyspark.sql import functions as F
 
-        for name in ("score", "kept", "_row", "_text", "row", "report", "n", "k", "items", "entities", "class", "key", "ids", "keys"):
+        for name in ("score", "kept", "_row", "_text", "row", "report", "n", "k", "items", "entities", "class", "key", "ids", "keys", "a.b", "text.x", "two words", "_row.text"):
             table = table.withColumn(name, F.lit(name))
     table.write.parquet(f"{tmp_path}/documents.parquet")
     bench = [] if case == "no benchmark" else [(1, words(900, 30))]
