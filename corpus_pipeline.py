@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope import importable
 from folioscope.llm import bpe, decontaminate, neardup, pii, quality
-from folioscope.llm.common import discard, scratch, settle, table
+from folioscope.llm.common import columns, discard, scratch, settle, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With surrogates for personal data; n_chars follows the new text."""
-    done = pii.replace_pii(docs)
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done
+    done = pii.replace_pii(docs, pii.session_key(spark))
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*columns(docs.columns)) if "n_chars" in docs.columns else done
 
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
