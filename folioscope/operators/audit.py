@@ -59,12 +59,12 @@ def unit_findings(units: DataFrame, book: dict[str, c.Rule] | None = None) -> Da
     return first.select("doc_id", "page_no", "rule_id", "message", "r.*")
 
 
-def audit(pages: DataFrame, *, book: dict[str, c.Rule] | None = None, forms: classify.Forms | None = None) -> tuple[DataFrame, DataFrame]:
-    """Findings of pages and units, and the units. pages: nested rows with lines and cells; form_type is recognised if forms are given."""
+def audit(pages: DataFrame, *, book: dict[str, c.Rule] | None = None, forms: classify.Forms | None = None, long_archives: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Findings of pages and units, and the units. pages: nested rows with lines and cells; form_type is recognised if forms are given; long_archives: archives are cut at pages 1 and folded in pieces."""
     if forms is not None:
         pages = pages.withColumn("form_type", F.expr(forms.sql()))
     told = digests(pages)
-    units = segment.units(segment.page_units(told))
+    units = segment.units(segment.page_units(told, split=long_archives))
     of_pages, of_units = page_findings(pages, book=book).withColumn("unit_id", F.lit(None).cast("string")), unit_findings(units, book).withColumn("box", F.lit(None).cast(page_rules.BOX))
     return of_pages.unionByName(of_units), units
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.catalog import LEVELS
+from . import ranges
 
 #: Collapse a rule of one archive from so many findings and such a share of its pages on; a rule of a whole batch from so many.
 SYSTEMIC_FINDINGS, SYSTEMIC_SHARE, BATCH_FINDINGS, PREVIEW, TOP_DOCS = 5, 0.6, 30, 8, 5
@@ -90,8 +91,9 @@ def collapse(findings: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFram
     systemic = wide.select("doc_id", "rule_id", "findings", "hit_pages", "doc_pages", F.col("first.page_no").alias("page_no"), F.col("first.message").alias("message"), F.array_join(F.slice("hit", 1, PREVIEW).cast("array<string>"), ",").alias("preview"))
     singles = findings.join(wide.select("doc_id", "rule_id"), ["doc_id", "rule_id"], "left_anti")
     docs = singles.groupBy("rule_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    ranked = docs.withColumn("at", F.row_number().over(Window.partitionBy("rule_id").orderBy(F.desc("n"), "doc_id")))
-    batch = ranked.groupBy("rule_id").agg(F.sum("n").alias("findings"), F.count(F.lit(1)).alias("documents"), F.array_sort(F.collect_list(F.when(F.col("at") <= TOP_DOCS, F.struct("at", "doc_id", "n")))).alias("top")).where(F.col("findings") >= BATCH_FINDINGS)
+    best = ranges.top(docs, "rule_id", TOP_DOCS, F.desc("n"), F.asc("doc_id"), spread="doc_id").groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", "n"))).alias("top"))
+    sums = docs.groupBy("rule_id").agg(F.sum("n").alias("findings"), F.count(F.lit(1)).alias("documents")).where(F.col("findings") >= BATCH_FINDINGS)
+    batch = sums.join(best, "rule_id")  # a row a rule
     named = F.array_join(F.transform("top", lambda t: F.concat(t["doc_id"], F.lit(":"), t["n"].cast("string"))), ",")
     left = singles.join(F.broadcast(batch.select("rule_id")), "rule_id", "left_anti")  # a row a rule, a few dozen
     return systemic, batch.select("rule_id", "findings", "documents", named.alias("top_docs")), left
@@ -132,17 +134,10 @@ def merged_gold(verdicts: DataFrame) -> DataFrame:
 
 
 def numbered(findings: DataFrame) -> DataFrame:
-    """findings with no, from 1 by severity, document, page and key. Rows are numbered within their rank and archive; the counts of these, summed up in order, give each range its offset."""
+    """findings with no, from 1 by severity, document, page and key."""
     columns = [c for c in findings.columns if c != "no"]
-    findings = findings.withColumn("_rank", level_rank(F.col("level"), 3))
-    sizes = findings.groupBy("_rank", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("_before", F.sum("n").over(Window.partitionBy("_rank").orderBy("doc_id")) - F.col("n"))
-    ranks = sizes.groupBy("_rank").agg(F.sum("n").alias("n"))
-    above = ranks.alias("r").join(F.broadcast(ranks.alias("a")), F.expr("a._rank < r._rank"), "left").groupBy("r._rank").agg(F.coalesce(F.sum("a.n"), F.lit(0)).alias("_above"))  # four rows at most
-    offsets = before.join(F.broadcast(above), "_rank").select("_rank", F.col("doc_id").alias("_doc"), (F.col("_above") + F.col("_before")).alias("_offset"))
-    findings = findings.join(offsets, (findings["_rank"] == offsets["_rank"]) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop(offsets["_rank"])
-    w = Window.partitionBy("_rank", "doc_id").orderBy("page_no", "finding_key")
-    return findings.select((F.row_number().over(w) + F.col("_offset")).cast("int").alias("no"), *columns)
+    ranked = findings.select(*columns, level_rank(F.col("level"), 3).alias("_rank"))
+    return ranges.row_numbers(ranked, "_rank", "doc_id", "page_no", "finding_key").select(F.col("no").cast("int"), *columns)
 
 
 def ledger(findings: DataFrame) -> DataFrame:

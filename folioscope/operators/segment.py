@@ -2,8 +2,9 @@
 
 Input is page_digest: doc_id, page_no, form_type, keys (map of field to value), marker (current, total; may be null), has_title,
 text_len, fingerprint. The fold runs inside one SQL aggregate per archive, in page order; archives are what one task
-holds, and their pages are few. Longer ones (thousands of pages) take `segment_long`, a grouped Arrow function with the
-same rules, since the fold copies its output array.
+holds, and their pages are few. Longer ones are cut at every page numbered 1, where the fold starts anew whatever came before
+(`page_units(split=True)`, `segment_long`); the pieces are folded on their own and their units counted through. The fold
+copies its output array, so pieces of thousands of pages take `segment_long`, a grouped Arrow function of the same rules.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import catalog as c
+from . import ranges
 
 _STATE = """named_struct('unit', 0, 'form', CAST(NULL AS STRING), 'keys', CAST(map() AS map<string,string>), 'last', CAST(NULL AS struct<current:int,total:int>),
   'declared', CAST(NULL AS INT), 'marked', false, 'pages', 0, 'out', CAST(array() AS array<int>))"""
@@ -35,13 +37,29 @@ _STEP = """transform(array(STARTS), new -> named_struct(
   'marked', (NOT new AND s.marked) OR d.marker IS NOT NULL, 'pages', if(new, 1, s.pages + 1), 'out', concat(s.out, array(s.unit + if(new, 1, 0)))))[0]"""
 
 
-def page_units(digests: DataFrame) -> DataFrame:
-    """digests with unit_no, the number of a page's unit within its archive before joining."""
+def stretches(digests: DataFrame) -> DataFrame:
+    """digests with stretch: the number of the last page 1 up to the page, 0 before the first. A page 1 starts a unit whatever came before, so that stretches don't depend on each other."""
+    first = F.when(F.col("marker.current") == 1, F.col("page_no"))
+    return ranges.running(digests, "doc_id", "page_no", first, "stretch", how="max").withColumn("stretch", F.coalesce("stretch", F.lit(0)))
+
+
+def _behind(numbered: DataFrame) -> DataFrame:
+    """Unit numbers within stretches (doc_id, stretch, unit_no, ...) as those within archives."""
+    sizes = numbered.groupBy("doc_id", "stretch").agg(F.max("unit_no").alias("n"))
+    before = ranges.running(sizes, "doc_id", "stretch", F.col("n"), "before", own=False).select(F.col("doc_id").alias("_doc"), F.col("stretch").alias("_stretch"), "before")
+    joined = numbered.join(before, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("stretch") == F.col("_stretch")))
+    return joined.withColumn("unit_no", (F.col("unit_no") + F.coalesce("before", F.lit(0))).cast("int")).drop("_doc", "_stretch", "before", "stretch")
+
+
+def page_units(digests: DataFrame, *, split: bool = False) -> DataFrame:
+    """digests with unit_no, the number of a page's unit within its archive before joining. split: archives are cut at pages 1 and folded piece by piece, for archives of more pages than a task should hold."""
     entry = "named_struct('page_no', page_no, 'form_type', form_type, 'keys', map_entries(keys), 'marker', marker, 'has_title', has_title, 'text_len', text_len, 'fingerprint', fingerprint)"
-    grouped = digests.groupBy("doc_id").agg(F.expr(f"array_sort(collect_list({entry}))").alias("pages"))
+    key = ("doc_id", "stretch") if split else ("doc_id",)
+    grouped = (stretches(digests) if split else digests).groupBy(*key).agg(F.expr(f"array_sort(collect_list({entry}))").alias("pages"))
     pages = "transform(pages, p -> named_struct('page_no', p.page_no, 'form_type', p.form_type, 'keys', map_from_entries(p.keys), 'marker', p.marker, 'has_title', p.has_title, 'text_len', p.text_len, 'fingerprint', p.fingerprint))"
     units = f"aggregate(ds, {_STATE}, (s, d) -> {_STEP.replace('STARTS', _STARTS)}, s -> s.out)"
-    return grouped.select("doc_id", F.expr(pages).alias("ds")).select("doc_id", F.explode(F.expr(f"zip_with(ds, {units}, (d, u) -> named_struct('d', d, 'unit_no', u))")).alias("x")).select("doc_id", "x.d.*", "x.unit_no")
+    out = grouped.select(*key, F.expr(pages).alias("ds")).select(*key, F.explode(F.expr(f"zip_with(ds, {units}, (d, u) -> named_struct('d', d, 'unit_no', u))")).alias("x")).select(*key, "x.d.*", "x.unit_no")
+    return _behind(out) if split else out
 
 
 def unit_numbers(rows: list[dict]) -> list[int]:
@@ -68,14 +86,15 @@ def unit_numbers(rows: list[dict]) -> list[int]:
 
 
 def segment_long(digests: DataFrame) -> DataFrame:
-    """The same unit numbers by a loop over each archive, for archives of very many pages."""
+    """The same unit numbers by a loop over each stretch of an archive, for archives of very many pages: doc_id, page_no, unit_no."""
 
     def number(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["page_no"])
-        columns = [r["doc_id"] for r in rows], [r["page_no"] for r in rows], unit_numbers(rows)
-        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "page_no", "unit_no"])
+        columns = [r["doc_id"] for r in rows], [r["stretch"] for r in rows], [r["page_no"] for r in rows], unit_numbers(rows)
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "stretch", "page_no", "unit_no"])
 
-    return digests.select("doc_id", "page_no", "form_type", "keys", "marker", "has_title").groupBy("doc_id").applyInArrow(number, "doc_id string, page_no int, unit_no int")
+    cut = stretches(digests.select("doc_id", "page_no", "form_type", "keys", "marker", "has_title"))
+    return _behind(cut.groupBy("doc_id", "stretch").applyInArrow(number, "doc_id string, stretch int, page_no int, unit_no int")).select("doc_id", "page_no", "unit_no")
 
 
 def units(paged: DataFrame) -> DataFrame:
