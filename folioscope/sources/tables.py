@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Suffixes of page images; PDFs are documents of their own.
@@ -66,6 +70,32 @@ def uncached(pages: DataFrame, cached: DataFrame) -> DataFrame:
     return pages.join(cached.select("page_hash").distinct(), "page_hash", "left_anti")
 
 
+def _check(lines: str = "lines") -> Column:
+    return F.sha1(F.concat_ws("|", "page_hash", F.to_json(lines, {"ignoreNullFields": "false"})))
+
+
+def read_cache(spark: SparkSession, path: str, kind: T.DataType) -> DataFrame:
+    """page_hash, lines of a cache written by recognised(). Rows whose check sum doesn't fit and files that can't be read count as absent."""
+    schema = T.StructType([T.StructField("page_hash", T.StringType()), T.StructField("lines", kind), T.StructField("check", T.StringType())])
+    try:
+        rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
+    except AnalysisException:  # no cache yet
+        return spark.createDataFrame([], schema).drop("check")
+    return rows.where(F.col("check") == _check()).groupBy("page_hash").agg(F.first("lines").alias("lines"))
+
+
+def recognised(pages: DataFrame, path: str, recognise: Callable[[DataFrame], DataFrame], kind: str) -> DataFrame:
+    """pages (with page_hash) with their lines, of SQL type `kind`: from the cache at path where it has them, else from recognise().
+
+    recognise() takes pages of which no two have the same hash and returns page_hash and lines; what it finds is added to the
+    cache before it is read, so that a second run recognises nothing. Pages without a hash have null lines."""
+    spark, type_ = pages.sparkSession, T._parse_datatype_string(kind)
+    new = uncached(pages.where("page_hash IS NOT NULL"), read_cache(spark, path, type_)).dropDuplicates(["page_hash"])
+    found = recognise(new).select("page_hash", F.col("lines").cast(type_).alias("lines"))
+    found.withColumn("check", _check()).write.mode("append").parquet(path)
+    return pages.join(read_cache(spark, path, type_), "page_hash", "left")
+
+
 def log_tail(spark: SparkSession, path: str, lines: int = 400) -> DataFrame:
     """line_no, value: the last lines of one text file, in order. Blocks of a file are numbered by where they start, so numbers grow along it."""
     at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
