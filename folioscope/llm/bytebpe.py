@@ -4,10 +4,11 @@ Method. A text is cut into words by the tokenizer's pattern, and the words of al
 words, those above a count that FREQUENT words reach become arrays of byte ids, each element with the rank of the pair that
 it begins; aggregate() folds over the word's length, each step merging the pair of the smallest rank, the leftmost of equals,
 and looking up its two new neighbours, until no pair has a rank. Ranks stand in one literal: an array of small maps, picked by
-the hash of the pair, as a Spark map is searched from its start. The ids of the folded words are a second literal of this form,
-in which the main job looks up every word of every text. Words that aren't there, rare or long ones, are merged in Arrow
-batches by a heap over the same ranks, and put in their places: folding them where they stand takes some 40 microseconds a
-word. What is frequent decides about speed alone, never about ids. Decoding turns ids into binary pieces and concatenates them.
+the hash of the pair, as a Spark map is searched from its start. The folded words are broadcast, FREQUENT at most with the
+vocabulary's own. In Arrow batches the words of texts are numbered, each distinct one is looked up there, and words that are
+rarer, or longer than FREQUENT_BYTES, are merged by a heap over the same ranks: folding every word where it stands takes some
+40 microseconds a word, and looking all up in a literal one more. What is frequent decides about speed alone, never about ids.
+Decoding takes the binary pieces of ids, one after the other.
 
 The vocabulary is a file of base64 pieces and ranks, a line each. A word that is a piece itself is that piece; ids equal
 those of the tiktoken library with the same pattern, which knows the letters of Unicode 16: the pattern for texts with
@@ -27,8 +28,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import trim
 from .common import settle
@@ -120,6 +123,11 @@ class Ranks:
                 if a is not None and b is not None:
                     yield a, b, rank
 
+    def as_array(self) -> pa.Array:
+        if not hasattr(self, "array"):
+            self.array = pa.array(self.pieces, pa.binary())
+        return self.array
+
     def learn(self, word: str) -> np.ndarray:
         """The ids of a word, from the cache if it is there."""
         ids = self.cache.get(word)
@@ -237,45 +245,57 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     r = ranks(path)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     pieces = {piece.decode(): rank for piece, rank in r.ids.items() if _is_text(piece)}
-    whole = spark.createDataFrame(pa.table({"word": pa.array(pieces, pa.string()), "id": pa.array(pieces.values(), pa.int32())})).select("word", F.array("id").alias("ids"))
-    counted = frequent_words(docs, pattern, frequent).join(whole.select("word"), "word", "left_anti")
-    ranked = counted.select("word", _rank_literal(spark, r, buckets).alias("ranks"))
-    learned = ranked.select("word", F.expr(f"transform(array(ranks), ranks -> {_fold('word', r, buckets)})[0]").alias("ids"))
-    known = _as_literal(whole.unionByName(learned), "word", "ids", buckets, "bpe-known")
-
-    look = f"known[pmod(hash(word), {buckets})][word]"
-    words = docs.select("doc_id", words_of(F.col("text"), pattern).alias("words"), known.alias("known"))
-    found = words.select("doc_id", "words", F.expr(f"transform(array(known), known -> transform(words, word -> {look}))[0]").alias("found"))
-    rare = found.select("doc_id", "found", F.expr("filter(words, (word, i) -> found[i] IS NULL)").alias("rare"))
-
-    def fill(batches):
+    whole = spark.createDataFrame(pa.table({"word": pa.array(pieces, pa.string())}))
+    ranked = frequent_words(docs, pattern, frequent).join(whole, "word", "left_anti").select("word", _rank_literal(spark, r, buckets).alias("ranks"))
+    folded = ranked.select("word", F.expr(f"transform(array(ranks), ranks -> {_fold('word', r, buckets)})[0]").alias("ids")).toArrow()
+    known = pa.concat_arrays([pa.array(pieces, pa.string()), *folded["word"].chunks]), pa.concat_arrays([pa.array([[x] for x in pieces.values()], _IDS), *(c.cast(_IDS) for c in folded["ids"].chunks)])
+    shared = spark.sparkContext.broadcast(known)
+
+    def encode(batches):
         v = ranks(path)
         for batch in batches:
-            ids = _filled(batch.column("found"), batch.column("rare"), v)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+            ids = encoded(batch.column("words"), v, *shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded(ids, v)], names=["doc_id", "ids", "decoded"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return decode(rare.mapInArrow(fill, f"doc_id {id_type}, ids array<int>"), path)
-
-
-def _filled(found: pa.Array, rare: pa.Array, r: Ranks) -> pa.Array:
-    """The ids of texts: those found, with the ids of the rare words in the places of nulls."""
-    by_word = found.flatten()  # an array of ids, or null, for each word
-    gaps = np.flatnonzero(by_word.is_null().to_numpy(zero_copy_only=False))
-    filling = [r.learn(word) for word in rare.flatten().to_pylist()]
-    sizes = np.diff(by_word.offsets.to_numpy()).astype(np.int64)
-    sizes[gaps] = [len(x) for x in filling]
-    ends = np.concatenate(([0], np.cumsum(sizes)))
-    ids = np.empty(ends[-1], dtype=np.int32)
-    taken = np.zeros(ends[-1] + 1, dtype=np.int8)  # 1 within the places of rare words
-    np.add.at(taken, ends[gaps], 1)
-    np.add.at(taken, ends[gaps + 1], -1)
-    inside = np.cumsum(taken[:-1], dtype=np.int8).astype(bool)
-    ids[~inside] = by_word.flatten().to_numpy()
-    if filling:
-        ids[inside] = np.concatenate(filling)
-    of_texts = found.offsets.to_numpy() - found.offsets[0].as_py()
-    return pa.ListArray.from_arrays(pa.array(ends[of_texts], pa.int32()), pa.array(ids, pa.int32()))
+    return docs.select("doc_id", words_of(F.col("text"), pattern).alias("words")).mapInArrow(encode, f"doc_id {id_type}, ids array<int>, decoded binary")
+
+
+_IDS = pa.list_(pa.int32())
+
+
+def encoded(words: pa.Array, r: Ranks, known: pa.Array, known_ids: pa.Array) -> pa.Array:
+    """The ids of texts given as lists of words: known words have their ids beside them, others are merged."""
+    flat = words.flatten().dictionary_encode()
+    at = pc.index_in(flat.dictionary, known)
+    others = [r.learn(word) for word in flat.dictionary.filter(at.is_null()).to_pylist()]
+    ends = np.cumsum([0, *map(len, others)])
+    merged = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *others]), pa.int32()))
+    place = at.fill_null(0).to_numpy().astype(np.int64)
+    place[at.is_null().to_numpy(zero_copy_only=False)] = len(known) + np.arange(len(others))
+    by_word = pa.concat_arrays([known_ids, merged]).take(pa.array(place[flat.indices.to_numpy()], pa.int64()))
+    of_texts = words.offsets.to_numpy() - words.offsets[0].as_py()
+    return pa.ListArray.from_arrays(pa.array(by_word.offsets.to_numpy()[of_texts] - by_word.offsets[0].as_py(), pa.int32()), by_word.flatten())
+
+
+def decoded(ids: pa.Array, r: Ranks) -> pa.Array:
+    """The bytes of lists of ids; unknown ids are left out."""
+    flat = ids.flatten().to_numpy()
+    pieces = r.as_array().take(pa.array(np.where((flat >= 0) & (flat < r.edge), flat, 0), pa.int64(), mask=(flat < 0) | (flat >= r.edge)))
+    ends = np.frombuffer(pieces.buffers()[1], dtype=np.int32)[: len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
+    of_texts = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends[of_texts].tobytes()), pieces.buffers()[2] or pa.py_buffer(b"")])
+
+
+def decode(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df, which has ids, with a column decoded: the pieces of the ids, one after the other. Unknown ids are left out."""
+    path = path or default_vocabulary()
+
+    def pieces(batches):
+        for batch in batches:
+            yield batch.append_column("decoded", decoded(batch.column("ids").cast(_IDS), ranks(path)))
+
+    return df.mapInArrow(pieces, T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def _is_text(piece: bytes) -> bool:
@@ -286,14 +306,6 @@ def _is_text(piece: bytes) -> bool:
     return True
 
 
-def decode(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df with a column decoded: the pieces of its ids, concatenated. Unknown ids are left out; bytes pass through array_join() as they are."""
-    r = ranks(path or default_vocabulary())
-    pieces = df.sparkSession.createDataFrame([(r.pieces,)], "pieces array<binary>").select(F.transform("pieces", lambda p: p.cast("string")).alias("pieces")).scalar()
-    looked = "transform(array(_pieces), pieces -> transform(ids, id -> get(pieces, id)))[0]"
-    return df.withColumn("_pieces", pieces).select("*", F.expr(f"cast(array_join({looked}, '') as binary)").alias("decoded")).drop("_pieces")
-
-
 def op11_byte_bpe(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     e = encode_documents(docs, path, **options)
     return e.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -59,13 +59,16 @@ def test_a_small_vocabulary_of_its_own(spark, table, tmp_path):
         assert got == {i: own.encode_ordinary(t) for i, t in texts}
 
 
-def test_rare_words_go_to_their_places():
+def test_known_and_other_words_go_to_their_places():
     r = bytebpe.ranks(bytebpe.default_vocabulary())
-    found = pa.array([[[9]], [], [[1, 2], None, None, [3]], [None], [[4]]], pa.list_(pa.list_(pa.int32())))
-    rare = pa.array([[], [], ["a", "hello there"], [" zqx"], []], pa.list_(pa.string()))
-    a, b, c = (r.merge(w) for w in (b"a", b"hello there", b" zqx"))
-    for cut in (0, 1, 2):
-        assert bytebpe._filled(found.slice(cut), rare.slice(cut), r).to_pylist() == [[9], [], [1, 2, *a, *b, 3], c, [4]][cut:]
+    words = pa.array([["k"], [], ["k", "hello there", " zqx", "k", "l"], [" zqx"], ["l"]], pa.list_(pa.string()))
+    known, ids = pa.array(["l", "k"]), pa.array([[4], [1, 2]], pa.list_(pa.int32()))
+    b, c = (r.merge(w) for w in (b"hello there", b" zqx"))
+    for cut in (0, 1, 2, 5):
+        assert bytebpe.encoded(words.slice(cut), r, known, ids).to_pylist() == [[1, 2], [], [1, 2, *b, *c, 1, 2, 4], c, [4]][cut:]
+    some = pa.array([[0, 1], [], [10**7, 5, -1]], pa.list_(pa.int32()))
+    for cut in (0, 1, 2, 3):
+        assert bytebpe.decoded(some.slice(cut), r).to_pylist() == [r.pieces[0] + r.pieces[1], b"", r.pieces[5]][cut:]
 
 
 def test_empty_table_and_clashing_columns(spark, table):
