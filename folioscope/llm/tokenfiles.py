@@ -15,15 +15,17 @@ escapes: the whole next word is one id (for ids of 60 bits or more). The last wo
 says; `sizes` tells how many count. Encoding and decoding work on all words of one selector at a time.
 
 Method. Executors encode texts map-side; ids cross the one exchange as 16-bit (or 32-bit) numbers, dealt by doc_id into
-ranges whose bounds come from the doc_id column alone, so no text is read twice for sampling. A task sorts its range and
+ranges whose bounds come from the doc_id column alone, so no text is read twice for sampling. Bounds are broadcast and found
+by binary search, 8 bytes a part. A task sorts its range and
 cuts blocks at documents; a document never spans blocks.
 
 Defined results. Null text is empty: its one id is the end id. A null doc_id sorts first. Documents that share a doc_id
-keep a row each, ordered by their ids. An empty table gives an empty data set.
+keep a row each, ordered by their ids within a part. An empty table gives an empty data set.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from functools import lru_cache
@@ -43,6 +45,9 @@ _BITS = np.array([i.bit_length() for i in range(1 << 16)], dtype=np.uint8)
 #: Ids after which a block ends, and words between two offsets.
 BLOCK_IDS = 1 << 17
 STRIDE = 1024
+#: Text bytes of a part at most, as a rule, and the rows that their mean size is measured on.
+PART_BYTES = 256 << 20
+MEASURED = 10_000
 #: Chunks whose ids a worker remembers.
 CACHE_CHUNKS = 1_000_000
 
@@ -208,18 +213,32 @@ def _encoder(path: str, kind: str) -> LibraryEncoder:
     return LibraryEncoder(path, kind)
 
 
-def encode_ids(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame:
-    """doc_id and ids (binary, 16 or 32 bits each), the end id after each document."""
+def encode_ids(docs: DataFrame, path: str, end_id: int, wide: bool, bounds: np.ndarray) -> DataFrame:
+    """part, doc_id and ids (binary, 16 or 32 bits each), the end id after each document. bounds, in order: parts begin behind them; a doc_id that is a bound several times has as many parts."""
     kind = "<u4" if wide else "<u2"
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(bounds))
 
     def encode(batches):
         e, end = _encoder(path, kind), np.array([end_id], dtype=kind).tobytes()
         for batch in batches:
             for first, texts in byte_chunks(batch.column("text")):
                 ids = [x + end for x in e.encode([t.decode("utf-8", "replace") for t in texts])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)).cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                of = batch.column("doc_id").slice(first, len(texts)).cast(pa.int64())
+                key = of.fill_null(0).to_numpy()
+                below = np.searchsorted(shared.value, key, "left")
+                alike = np.searchsorted(shared.value, key, "right") - below
+                if alike.max() > 1:
+                    below += np.fromiter(map(zlib.crc32, ids), np.int64, len(ids)) % np.maximum(alike, 1)
+                part = np.where(of.is_null().to_numpy(zero_copy_only=False), 0, below)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), of, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id bigint, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(encode, "part int, doc_id bigint, ids binary")
+
+
+def default_parts(docs: DataFrame) -> int:
+    """As many parts as a shuffle has, more where the texts would make parts of over PART_BYTES; their mean size is that of MEASURED rows."""
+    mean = docs.select("text").limit(MEASURED).agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() * mean / PART_BYTES))
 
 
 def _blocks(kind: str):
@@ -266,19 +285,14 @@ SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.in
 
 
 def write_token_files(docs: DataFrame, out: str, *, path: str | None = None, end_id: int = 2, parts: int | None = None) -> None:
-    """Writes the documents' ids to `out` in ascending doc_id order, in `parts` tasks (by default as many as a shuffle has; at 100 TB, one for some 256 MB)."""
+    """Writes the documents' ids to `out`, by doc_id, in `parts` tasks. Documents of one doc_id stand by their ids; where it has several parts, they are dealt over them by a hash of their ids and stand in order within each."""
     path = path or default_vocabulary()
-    spark = docs.sparkSession
     wide = max(max(vocabulary(path).tokens), end_id) >= 1 << 16
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(int(c)) for c in sorted(cuts)]) if parts > 1 and cuts else F.array().cast("array<bigint>")
-    below = F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))
-    alike = F.size(F.filter(bounds, lambda b: b == F.col("doc_id")))  # a hot doc_id is a bound several times, and has as many parts
-    part = (below + F.pmod(F.xxhash64("ids"), F.greatest(alike, F.lit(1)))).cast("int")
-    ids = encode_ids(docs, path, end_id, wide).withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part))
+    parts = parts or default_parts(docs)
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 4 * parts))).first()[0] or []
+    ids = encode_ids(docs, path, end_id, wide, np.array(cuts if parts > 1 else [], dtype=np.int64))
     dealt = ids.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
-    dealt.select("part", "doc_id", "ids").mapInArrow(_blocks("<u4" if wide else "<u2"), BLOCK).write.parquet(out)
+    dealt.mapInArrow(_blocks("<u4" if wide else "<u2"), BLOCK).write.parquet(out)
 
 
 def read_token_files(spark, out: str) -> DataFrame:

@@ -285,6 +285,25 @@ def test_a_hot_doc_id_has_parts_of_its_own(spark, words):
     assert {(d, n, c) for d, _, n, c in got if d is not None} == want
 
 
+def test_parts_follow_the_bytes_and_any_number_of_bounds_costs_a_search(spark, table, words, monkeypatch):
+    import time
+
+    docs = table([(i, words(i, 200)) for i in range(300)])
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tokenfiles.default_parts(docs) == shuffle and tokenfiles.default_parts(table([])) == shuffle
+    monkeypatch.setattr(tokenfiles, "PART_BYTES", 10_000)
+    assert 20 <= tokenfiles.default_parts(docs) <= 40
+    path, took = tokenfiles.default_vocabulary(), []
+    for n in (10, 100_000):
+        ids = tokenfiles.encode_ids(docs, path, 2, False, np.arange(1, n) * 300 // n)
+        start = time.time()
+        parts = {r.doc_id: r.part for r in ids.select("doc_id", "part").collect()}
+        took.append(time.time() - start)
+        assert all(parts[i] <= parts[i + 1] for i in range(299)) and parts[0] >= 0 and parts[299] <= n
+        assert len(ids._jdf.queryExecution().optimizedPlan().toString()) < 5_000
+    assert took[1] < 3 * took[0] + 2
+
+
 # 5 personal data
 
 import plain_pii  # noqa: E402
