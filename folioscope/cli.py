@@ -25,11 +25,13 @@ from .sources import rulefiles, sinks, tables
 
 def audit(spark: SparkSession, a: argparse.Namespace) -> None:
     rules, pages = a.rules.split(",") if a.rules else (), spark.read.parquet(a.pages)
+    if a.limit:  # the first pages by archive and number
+        pages = pages.orderBy("doc_id", "page_no").limit(a.limit)
     book, forms, _ = rulefiles.load(a.catalog, None if a.no_packs else "auto") if a.catalog else (catalog.BOOK, None, [])
     if rules or "cells" not in pages.columns:
         found = flow.page_findings(pages, *rules, book=book)
     else:
-        found, units = flow.audit(pages, book=book, forms=forms)
+        found, units = flow.audit(pages, book=book, forms=forms, long_archives=a.long_archives)
         if a.units:
             store.import_run(units.withColumn("run_id", F.lit(a.run)), a.units)
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "rule_id", "message", "box"))
@@ -66,6 +68,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             p.add_argument("--catalog", default="")
             p.add_argument("--no-packs", action="store_true")
             p.add_argument("--units", default="")
+            p.add_argument("--limit", type=int, default=0, help="audit so many pages at most")
+            p.add_argument("--long-archives", action="store_true", help="cut archives at pages 1")
         if run is gold:
             p.add_argument("reviews", nargs="+")
         p.set_defaults(run_=run)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..plans import catalog as c
-from . import classify, findings, page_rules, segment
+from . import classify, findings, page_rules, ranges, segment
 
 #: Rules whose number is a cell's or a seal's; all others name lines.
 CELL_RULES, SEAL_RULES = ("B04", "F01", "F09"), ("B01", "B02", "B03")
@@ -72,10 +72,11 @@ def audit(pages: DataFrame, *, book: dict[str, c.Rule] | None = None, forms: cla
 def report(found: DataFrame, pages: DataFrame) -> DataFrame:
     """kind, doc_id, rule_id, findings, spread: what collapses within an archive (systemic; spread: pages), over archives (batch; documents), and what stays single.
 
-    Everything follows from one aggregate by archive and rule, whose exchange is used twice."""
+    Everything follows from one aggregate by archive and rule, which is written once: the rules run once, whatever reads it."""
     size = pages.groupBy("doc_id").agg(F.countDistinct("page_no").alias("doc_pages"))
     per = found.groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("page_no").alias("spread"))
     systemic = (F.col("findings") >= findings.SYSTEMIC_FINDINGS) & (F.col("spread") >= findings.SYSTEMIC_SHARE * F.col("doc_pages"))
+    per = ranges.written(per, "report")
     judged = per.join(size, "doc_id", "left").withColumn("wide", F.coalesce(systemic, F.lit(False)))
     rules = judged.where("not wide").groupBy("rule_id").agg(F.sum("findings").alias("total")).where(F.col("total") >= findings.BATCH_FINDINGS)  # a row a rule, a few dozen
     kind = F.when(F.col("wide"), "systemic").when(F.col("total").isNotNull(), "batch").otherwise("single")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import findings as f
-from ..operators import store
-from ..sources import derived
+from ..operators import ranges, store
+from ..sources import derived, labels
 from ..sources.tables import table
 
 _FIND, _KEYED, _VERD = derived.FINDING, derived.KEYED, derived.VERDICT
@@ -275,6 +275,15 @@ def _(spark, d):
     return _verdicts(spark, d).groupBy("reviewer").agg(F.count(F.lit(1)).alias("n"), F.max("decided_at").alias("last"))
 
 
+_LABELER = "CASE WHEN doc_id % 5 = 0 THEN '合成' WHEN doc_id % 7 = 0 THEN '几何粗筛' ELSE 'u' || CAST(doc_id % 3 AS STRING) END"
+
+
+@_add("ag_human_labels", f"SELECT count(*) AS n FROM (SELECT doc_id, {_LABELER} AS labeler FROM labels) l JOIN ({_SAMPLES}) s ON s.sample_id = l.doc_id WHERE NOT s.synthetic AND l.labeler NOT IN ('合成', '几何粗筛')")
+def _(spark, d):
+    s, l = _samples(spark, d)
+    return labels.human_labels(s, l.select(F.col("doc_id").alias("sample_id"), F.expr(_LABELER).alias("labeler")))
+
+
 @_add("ag_sample_docs", "SELECT DISTINCT source AS doc FROM documents WHERE source <> ''")
 def _(spark, d):
     return table(spark, d, "documents").where("source <> ''").select(F.col("source").alias("doc")).distinct().orderBy("doc")
@@ -289,7 +298,7 @@ def _(spark, d):
 @_add("wn_top_docs", f"SELECT rule_id, doc_id, n, CAST(pos AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY n DESC, doc_id) AS pos FROM (SELECT rule_id, doc_id, count(*) AS n FROM ({_FIND}) x GROUP BY ALL) y) z WHERE pos <= 10")
 def _(spark, d):
     n = _find(spark, d).groupBy("rule_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.partitionBy("rule_id").orderBy(F.desc("n"), "doc_id"))).where("place <= 10")
+    return ranges.top(n, "rule_id", 10, F.desc("n"), F.asc("doc_id"), spread="doc_id", name="place")
 
 
 @_add("so_lookup", f"SELECT finding_key, level, verdict FROM ({_JUDGED}) j WHERE finding_key = 'run0|7|8|A03|1'")

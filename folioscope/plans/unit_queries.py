@@ -55,7 +55,7 @@ _SEG = f"""WITH RECURSIVE dg AS MATERIALIZED ({_DIGEST}), st AS (
   SELECT doc_id, min(unit) AS unit, arg_min(form, unit) AS form, list_sort(flatten(list(pages))) AS pages, arg_min(declared, unit) FILTER (WHERE declared IS NOT NULL) AS declared, list(unit) AS parts
   FROM parts GROUP BY doc_id, CASE WHEN k IS NULL THEN '#' || unit ELSE form || '|' || k END
 ), um AS (SELECT u.doc_id, u.unit, list(m.marker ORDER BY m.unit, m.page_no) AS seq, list(m.page_no) AS at FROM un u JOIN marks m ON m.doc_id = u.doc_id AND list_contains(u.parts, m.unit) GROUP BY ALL
-), full_u AS (SELECT u.doc_id, u.doc_id || '#U' || lpad(CAST(u.unit AS VARCHAR), 3, '0') AS unit_id, u.unit, u.form AS form_type, u.pages, len(u.pages) AS page_count, u.declared, coalesce(m.seq, []) AS seq, coalesce(m.at, []) AS at_pages FROM un u LEFT JOIN um m USING (doc_id, unit))"""
+), full_u AS (SELECT u.doc_id, u.doc_id || '#U' || lpad(CAST(u.unit AS VARCHAR), CAST(greatest(3, length(CAST(u.unit AS VARCHAR))) AS INT), '0') AS unit_id, u.unit, u.form AS form_type, u.pages, len(u.pages) AS page_count, u.declared, coalesce(m.seq, []) AS seq, coalesce(m.at, []) AS at_pages FROM un u LEFT JOIN um m USING (doc_id, unit))"""
 _SHORT = "coalesce(declared, 0) > 0 AND page_count < declared"
 
 

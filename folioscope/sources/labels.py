@@ -96,3 +96,14 @@ def linear_predictions(rows: DataFrame, model: DataFrame, features: Column) -> D
     total = F.aggregate(F.transform("s", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
     label = F.element_at("classes", F.array_position("s", F.col("top")).cast("int"))
     return scores.select(*rows.columns, label.alias("label"), (1 / total).alias("p"))
+
+
+#: Labelers that are no people (synthetic, rough geometry).
+AUTO_LABELERS = ("合成", "几何粗筛")
+
+
+def human_labels(samples: DataFrame, labels: DataFrame, automatic: tuple[str, ...] = AUTO_LABELERS) -> DataFrame:
+    """One row, n: labels of real samples by people. samples: sample_id, synthetic; labels: sample_id, labeler."""
+    real = samples.where(~F.col("synthetic")).select("sample_id")
+    people = labels.where(~F.coalesce(F.col("labeler"), F.lit("")).isin(*automatic))
+    return people.join(real, "sample_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))

@@ -32,6 +32,21 @@ def scan_pages(spark: SparkSession, root: str) -> DataFrame:
     return images.select("doc_id", number.alias("page_no"), F.col("path").alias("source"), "length")
 
 
+def scan_file(spark: SparkSession, path: str) -> DataFrame:
+    """One page image as a document of its own: doc_id, page_no, source, length. Any other kind of file is an error."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    stem, _, suffix = name.rpartition(".")
+    if suffix.lower() not in IMAGES:
+        raise ValueError(f"no page image: {path}")
+    return spark.read.format("binaryFile").load(path).select(F.lit(stem).alias("doc_id"), F.lit(1).alias("page_no"), F.col("path").alias("source"), "length")
+
+
+def page_list(pages: str = "pages", start: str = "start_page", end: str = "end_page") -> str:
+    """SQL for a unit's pages: the JSON list of page numbers where it is one and not empty, else all from its first to its last page."""
+    listed = f"filter(from_json({pages}, 'array<int>'), p -> p IS NOT NULL)"
+    return f"if(size({listed}) > 0, {listed}, if({start} <= {end}, sequence(CAST({start} AS INT), CAST({end} AS INT)), CAST(array() AS array<int>)))"
+
+
 def page_counts(pages: DataFrame) -> DataFrame:
     """doc_id, page_count: documents of one name from several folders add up."""
     return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_count"))
