@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ TOP = 2000
 #: Suffixes in a group at most: what one task holds, some 100 bytes each.
 BUDGET = 1 << 20
 #: Text bytes within which a task counts repeated suffixes once.
-CHUNK = 16 << 20
+CHUNK = 3 << 20
 #: Bits of the bitmaps of words and pairs that may be frequent (16 MB each).
 BITMAP_BITS = 27
 #: Bits of the bins that prefixes fall in, at most.
@@ -109,6 +110,7 @@ def _chunks(batches):
             mine = batch.column("text").filter(pc.equal(langs.indices, k))
             for _, texts in byte_chunks(mine, CHUNK):
                 yield Words(lang, texts)
+                pa.default_memory_pool().release_unused()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -122,9 +124,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+def pair_counts(texts: DataFrame, bitmap: Broadcast) -> DataFrame:
     """pair (the hashes of two neighbouring words), n: occurrences at least."""
-    bitmap = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def count(batches):
         for w in _chunks(batches):
@@ -178,12 +179,12 @@ class Groups:
 SUFFIX = "grp int, lang string, suffix string, partial boolean, n bigint"
 
 
-def suffixes(texts: DataFrame, frequent: np.ndarray, pairs: np.ndarray, groups: Groups) -> DataFrame:
+def suffixes(texts: DataFrame, bitmap: Broadcast, pairs: np.ndarray, groups: Groups) -> DataFrame:
     """The suffixes of 2 to DEPTH words whose pairs may all be frequent, with their group and how often a chunk has them."""
-    shared = texts.sparkSession.sparkContext.broadcast((frequent, pairs, groups))
+    shared = texts.sparkSession.sparkContext.broadcast((pairs, groups))
 
     def cut(batches):
-        words, likely, grouping = shared.value
+        words, (likely, grouping) = bitmap.value, shared.value
         for w in _chunks(batches):
             h = w.hashed(words)
             at = np.flatnonzero(w.linked)
@@ -249,7 +250,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, budget: int = BUDGET)
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(word_hashes(lang, batch.column("word").filter(pc.equal(langs.indices, k)).to_pylist()))], names=["place"])
 
-    frequent = _bitmap(words.where(F.col("n") >= least).mapInArrow(place, "place bigint"))
+    frequent = docs.sparkSession.sparkContext.broadcast(_bitmap(words.where(F.col("n") >= least).mapInArrow(place, "place bigint")))
     pairs = settle(pair_counts(texts, frequent).where(F.col("n") >= least), "pairs")
     likely = _bitmap(pairs.select((F.shiftrightunsigned("pair", 32) * _FACTOR + F.col("pair").bitwiseAND((1 << 32) - 1)).alias("place")))
     nodes = suffixes(texts, frequent, likely, Groups(pairs, budget)).groupBy("grp").applyInArrow(lambda t: subtree(t, least), "lang string, phrase string, size int, a bigint")

@@ -53,7 +53,7 @@ def test_a_pair_over_the_budget_is_dealt_out(spark, table):
     words = co.word_counts(df)
     assert {(r.word, r.n) for r in words.collect()} == {("x", 3000), ("y", 3000)}
     places = spark.createDataFrame([(int(h),) for h in co.word_hashes("en", ["x", "y"])], "place bigint")
-    pairs = co.pair_counts(df, co._bitmap(places))
+    pairs = co.pair_counts(df, spark.sparkContext.broadcast(co._bitmap(places)))
     groups = co.Groups(pairs, 1000)
     assert groups.budget == 1000 and sorted(r.n for r in pairs.collect()) == [2999, 3000] and len(groups.over) == 2 and groups.spread == 6
     x, y = co.word_hashes("en", ["x", "y"])
