@@ -191,16 +191,17 @@ def pooled(bins: list[tuple[float, int, float]]) -> tuple[np.ndarray, np.ndarray
 def score_documents(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with one more column, the score; no exchange."""
     keep = [c for c in docs.columns if c != column]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(column, T.DoubleType())])
+    rows = docs.select(F.struct(*columns(keep)).alias("row"))  # one column, as Python functions over a table resolve dots in names
 
     def score(batches):
         for batch in batches:
-            for first, texts in byte_chunks(batch.column("text")):
+            row = batch.column("row")
+            for first, texts in byte_chunks(row.field("text")):
                 s = model.score(np.array([statistics(t) for t in texts]))
-                part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, column])
+                yield pa.RecordBatch.from_arrays([row.slice(first, len(texts)), pa.array(s, pa.float64())], names=["row", "score"])
 
-    return docs.select(*columns(keep)).mapInArrow(score, schema)
+    scored = rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return scored.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("score").alias(column))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
