@@ -176,7 +176,8 @@ class Groups:
         return np.where(partial, self.count + whole % self.spread, group), partial
 
 
-SUFFIX = "grp int, lang string, suffix string, partial boolean, n bigint"
+#: A row holds the suffixes of one lang and chunk that go to one group, as lists of equal length.
+SUFFIX = "grp int, lang string, suffixes array<string>, partial array<boolean>, n array<bigint>"
 
 
 def suffixes(texts: DataFrame, bitmap: Broadcast, pairs: np.ndarray, groups: Groups) -> DataFrame:
@@ -206,15 +207,23 @@ def suffixes(texts: DataFrame, bitmap: Broadcast, pairs: np.ndarray, groups: Gro
                 whole = (whole * _FACTOR + np.where(size > k, h[np.minimum(at + k, len(h) - 1)], 0)) & ((1 << 40) - 1)
             group, partial = grouping(h[at], h[at + 1], whole)
             text = pc.binary_join_element_wise(*columns, " ", null_handling="skip")
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array([w.lang] * len(at), pa.string()), text, pa.array(partial), pa.array(n, pa.int64())], names=["grp", "lang", "suffix", "partial", "n"])
+            order = np.argsort(group, kind="stable")
+            first = np.flatnonzero(np.diff(group[order], prepend=-1))
+            listed = lambda values: pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), values)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group[order][first], pa.int32()), pa.array([w.lang] * len(first), pa.string()), listed(text.take(pa.array(order))), listed(pa.array(partial[order])), listed(pa.array(n[order], pa.int64()))],
+                names=["grp", "lang", "suffixes", "partial", "n"],
+            )
 
     return texts.mapInArrow(cut, SUFFIX)
 
 
 def subtree(table: pa.Table, least: int) -> pa.Table:
     """The nodes of depth 2 to DEPTH over a group's suffixes: lang, phrase, size, a. Partial ones of any count, others from `least` on."""
-    langs = table["lang"].combine_chunks().dictionary_encode()
-    lists = pc.split_pattern(table["suffix"].combine_chunks(), " ")
+    table = table.combine_chunks()
+    of_row = np.repeat(np.arange(len(table)), pc.list_value_length(table["n"]).to_numpy())
+    langs = table["lang"].take(pa.array(of_row)).combine_chunks().dictionary_encode()
+    lists = pc.split_pattern(pc.list_flatten(table["suffixes"]).combine_chunks(), " ")
     words = lists.flatten().dictionary_encode()
     sizes = np.diff(lists.offsets.to_numpy())
     m = np.full((len(sizes), DEPTH), -1, dtype=np.int32)
@@ -222,8 +231,8 @@ def subtree(table: pa.Table, least: int) -> pa.Table:
     m[rows, np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = words.indices.to_numpy()
     lang = langs.indices.to_numpy()
     order = np.lexsort((*[m[:, k] for k in reversed(range(DEPTH))], lang))
-    m, lang, n = m[order], lang[order], table["n"].to_numpy()[order]
-    partial = table["partial"].to_numpy()[order]
+    m, lang, n = m[order], lang[order], pc.list_flatten(table["n"]).to_numpy()[order]
+    partial = pc.list_flatten(table["partial"]).to_numpy()[order]
     new = np.concatenate(([True], lang[1:] != lang[:-1]))
     out = []
     for depth in range(1, DEPTH + 1):

@@ -64,7 +64,7 @@ def test_a_pair_over_the_budget_is_dealt_out(spark, table):
 
 
 def test_nodes_read_their_counts_from_leaves():
-    t = pa.table({"lang": ["en"] * 4 + ["de"], "suffix": ["a b c", "a b", "a b d e f", "b c", "a b"], "partial": [False] * 5, "n": [3, 4, 2, 1, 5]})
+    t = pa.table({"lang": ["en", "de", "en"], "suffixes": [["a b c", "a b"], ["a b"], ["a b d e f", "b c"]], "partial": [[False] * 2, [False], [False] * 2], "n": [[3, 4], [5], [2, 1]]})
     got = sorted(tuple(r.values()) for r in co.subtree(t, 2).to_pylist())
     assert got == [("de", "a b", 2, 5), ("en", "a b", 2, 9), ("en", "a b c", 3, 3), ("en", "a b d", 3, 2), ("en", "a b d e", 4, 2), ("en", "a b d e f", 5, 2)]
 
