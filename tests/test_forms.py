@@ -20,7 +20,7 @@ def test_rules_find_what_the_manifest_says(spark, tmp_path):
     for r in pages.collect():
         assert len(r.seals) == (r.stamp is not None)
         for s in r.seals:
-            assert abs(s.angle - r.stamp.angle) < 1.0 and abs(s.x + s.w / 2 - r.stamp.x) < 2 and abs(s.y + s.h / 2 - r.stamp.y) < 2 and s.rect > 0.9
+            assert abs(s.angle - r.stamp.angle) < 2.0 and abs(s.x + s.w / 2 - r.stamp.x) < 2 and abs(s.y + s.h / 2 - r.stamp.y) < 2 and s.rect > 0.9
         assert len([c for c in r.cells if c.y > 380]) == 12 and abs(r.skew) <= 0.1  # a stamp has an inside, too
     forms.write_manifest(drawn, str(tmp_path / "manifest"))
     back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "manifest"))
