@@ -34,7 +34,7 @@ from .common import byte_chunks
 #: Bytes of a word from which on the heap takes over from the scan.
 LONG_WORD = 256
 #: Chunks and words that a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d a-z0-9]+")
 _FULL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
