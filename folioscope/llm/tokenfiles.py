@@ -15,9 +15,9 @@ escapes: the whole next word is one id (for ids of 60 bits or more). The last wo
 says; `sizes` tells how many count. Encoding and decoding work on all words of one selector at a time.
 
 Method. Executors encode texts map-side; ids cross the one exchange as 16-bit (or 32-bit) numbers, dealt by doc_id into
-ranges whose bounds come from the doc_id column alone, so no text is read twice for sampling. Bounds are broadcast and found
-by binary search, 8 bytes a part. A task sorts its range and
-cuts blocks at documents; a document never spans blocks.
+ranges whose bounds come from the doc_id column alone. The number of ranges follows the texts' bytes, summed where they are
+read; no text is moved or sampled for it. Bounds are broadcast and found by binary search, 8 bytes a part. A task sorts its
+range and cuts blocks at documents; a document never spans blocks.
 
 Defined results. Null text is empty: its one id is the end id. A null doc_id sorts first. Documents that share a doc_id
 keep a row each, ordered by their ids within a part. An empty table gives an empty data set.
@@ -45,9 +45,8 @@ _BITS = np.array([i.bit_length() for i in range(1 << 16)], dtype=np.uint8)
 #: Ids after which a block ends, and words between two offsets.
 BLOCK_IDS = 1 << 17
 STRIDE = 1024
-#: Text bytes of a part at most, as a rule, and the rows that their mean size is measured on.
+#: Text bytes of a part at most, as a rule.
 PART_BYTES = 256 << 20
-MEASURED = 10_000
 #: Chunks whose ids a worker remembers.
 CACHE_CHUNKS = 1_000_000
 
@@ -236,9 +235,9 @@ def encode_ids(docs: DataFrame, path: str, end_id: int, wide: bool, bounds: np.n
 
 
 def default_parts(docs: DataFrame) -> int:
-    """As many parts as a shuffle has, more where the texts would make parts of over PART_BYTES; their mean size is that of MEASURED rows."""
-    mean = docs.select("text").limit(MEASURED).agg(F.avg(F.octet_length("text"))).first()[0] or 0
-    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() * mean / PART_BYTES))
+    """As many parts as a shuffle has, more where the texts would make parts of over PART_BYTES. Sizes are summed where the texts are read: no text is moved for it."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
 
 
 def _blocks(kind: str):

@@ -304,6 +304,27 @@ def test_parts_follow_the_bytes_and_any_number_of_bounds_costs_a_search(spark, t
     assert took[1] < 3 * took[0] + 2
 
 
+def test_the_number_of_parts_moves_no_text(spark, tmp_path, monkeypatch):
+    """The texts themselves must not be shuffled to be measured, and late long texts count."""
+    import random
+
+    r = random.Random(8)
+    rows = [(i, r.randbytes(500).hex()) for i in range(2_000)] + [(i, r.randbytes(20_000).hex()) for i in range(2_000, 2_040)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(4, "doc_id").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    monkeypatch.setattr(tokenfiles, "PART_BYTES", 40_000)
+    spark.sparkContext.setJobGroup("parts", "parts")
+    try:
+        parts = tokenfiles.default_parts(docs)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    took = {i for j in tracker.getJobIdsForGroup("parts") for i in tracker.getJobInfo(j).stageIds}
+    moved = sum(store.lastStageAttempt(i).shuffleWriteBytes() for i in took)
+    assert parts == 90 and moved < 10_000
+
+
 # 5 personal data
 
 import plain_pii  # noqa: E402
