@@ -19,8 +19,8 @@ PARTS = (
 )
 
 
-def pages_for(spark, sf_dir: str, *parts: str):
-    df = derived.pages(spark, sf_dir, *parts)
+def pages_for(spark, sf_dir: str, *parts: str, apart: bool = False):
+    df = derived.pages(spark, sf_dir, *parts, apart=apart)
     for name in ("rows", "notes"):
         if name in parts:
             df = df.withColumnRenamed(name, "lines")
@@ -184,7 +184,7 @@ def all_text_rules(spark, sf_dir: str):
     """Every enabled rule that reads lines alone, over all pages, in one scan: findings with the catalog's level and title."""
     from pyspark.sql import functions as F
 
-    found = page_rules.findings(pages_for(spark, sf_dir, "lines"))
+    found = page_rules.findings(pages_for(spark, sf_dir, "lines", apart=True))
     return found.join(F.broadcast(c.as_table(spark)), "rule_id").select("doc_id", "page_no", "rule_id", "level", "title", "no", "evidence", "detail", "confidence")
 
 
@@ -228,7 +228,7 @@ def odd_pages(spark, sf_dir: str):
     """The text rules and B01 over damaged pages: what is sound is found all the same, and rules that can't be checked say so."""
     from pyspark.sql import functions as F
 
-    df, when = pages_for(spark, sf_dir, "lines", "seals"), {k: v[0] for k, v in _DAMAGE.items()}
+    df, when = pages_for(spark, sf_dir, "lines", "seals", apart=True), {k: v[0] for k, v in _DAMAGE.items()}
     hurt = f"transform(lines, l -> named_struct('line_no', l.line_no, 'text', if({when['text']} AND l.line_no = 2, NULL, l.text), 'x', if({when['far']} AND l.line_no = 5, 2147483647, l.x), 'y', l.y, 'w', l.w, 'h', l.h, 'red_ratio', l.red_ratio))"
     df = df.withColumn("lines", F.expr(f"if({when['line']}, concat(array(NULL), {hurt}), {hurt})"))
     df = df.withColumns({"form_type": F.expr(f"if({when['form']}, NULL, form_type)"), "seals": F.expr(f"if({when['seals']}, NULL, seals)"), "height": F.expr(f"if({when['height']}, 0, height)")})
